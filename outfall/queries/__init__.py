@@ -1,0 +1,4 @@
+"""Registered queries, by group."""
+
+from outfall.queries.registry import ORACLES, QUERIES  # noqa: F401
+from outfall.queries import text  # noqa: F401
