@@ -140,7 +140,7 @@ def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | N
     groups = group_evidence(places)
     unknown = groups.join(rules, "rule_id", "left_anti").groupBy("run_id", "rule_id").agg(F.count("*").alias("dropped"))
     known = groups
-    suppressed = groups.join(rules, "rule_id", "left_semi").limit(0).select(*GROUP)
+    suppressed = groups.select(*GROUP).where(F.lit(False))
     if suppressions is not None:
         suppressed = suppressed_groups(groups.join(rules, "rule_id", "left_semi"), suppressions, "left_semi").select(*GROUP)
         known = suppressed_groups(groups, suppressions, "left_anti")
@@ -161,7 +161,7 @@ def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | N
         .groupBy("run_id", "finding_id", "path_in_tree", "byte_offset")
         .agg(F.min(F.struct("member_id", "encoding"))["encoding"].alias("encoding"))
     )
-    return Correlation(in_order(findings), locations, suppressed, unknown)
+    return Correlation(findings, locations, suppressed, unknown)
 
 
 def in_order(findings: DataFrame) -> DataFrame:
