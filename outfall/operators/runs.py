@@ -137,17 +137,19 @@ def fleet_posture(summary: DataFrame) -> DataFrame:
 
     ``summary``: run_summary plus created_at.  Failed and degraded runs are told apart.
     """
-    done = summary.where("status = 'completed'")
-    current = done.join(latest_per_artifact(done).select("run_id"), "run_id", "left_semi")
-    totals = current.agg(
-        F.count("*").alias("artifacts"), *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SEVERITIES],
-        F.coalesce(F.sum(F.col("critical") + F.col("high")), F.lit(0)).alias("blocking"),
-        F.coalesce(F.sum("artifact_count"), F.lit(0)).alias("files_analysed"))
-    every = summary.agg(
-        F.coalesce(F.sum(F.when(F.col("status") == "completed", F.coalesce("new_since_previous", F.lit(0)))), F.lit(0)).alias("introduced"),
+    done = F.col("status") == "completed"
+    latest = latest_per_artifact(summary.where(done)).select("run_id", F.lit(True).alias("_current"))
+    marked = summary.join(latest, "run_id", "left").withColumn("_current", F.coalesce("_current", F.lit(False)))
+
+    def total(value: Column, when: Column = F.col("_current")) -> Column:
+        return F.coalesce(F.sum(F.when(when, value)), F.lit(0))
+
+    return marked.agg(
+        F.count(F.when(F.col("_current"), 1)).alias("artifacts"), *[total(F.col(s)).alias(s) for s in SEVERITIES],
+        total(F.col("critical") + F.col("high")).alias("blocking"), total(F.col("artifact_count")).alias("files_analysed"),
+        total(F.col("new_since_previous"), done).alias("introduced"),
         F.count(F.when(F.col("status") == "failed", 1)).alias("failed_runs"),
         F.count(F.when(F.col("status") == "degraded", 1)).alias("degraded_runs"))
-    return totals.withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def severity_trend(runs: DataFrame, findings: DataFrame) -> DataFrame:
