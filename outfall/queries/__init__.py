@@ -1,4 +1,4 @@
 """Registered queries, by group."""
 
 from outfall.queries.registry import ORACLES, QUERIES  # noqa: F401
-from outfall.queries import findings, gate, history, inventory, text  # noqa: F401
+from outfall.queries import findings, gate, history, inventory, reading, text  # noqa: F401
