@@ -77,45 +77,49 @@ def is_probably_text(content: Column) -> Column:
     return (F.octet_length(content) > 0) & ~F.contains(head, F.lit("\u0000")) & (printable_ratio(head) > 0.90)
 
 
+def _with_coff(files: DataFrame, content: Column) -> DataFrame:
+    """Stage the executable header as columns, so that later tests do not repeat its expression."""
+    staged = files.withColumn("_at", _number(_bytes(content, 0x3C, 4), 4))
+    return staged.withColumn("_coff", _bytes(content, F.col("_at"), 24))
+
+
 def identify(files: DataFrame, content: str = "content") -> DataFrame:
     """Add kind, media_type, architecture, is_dll, elf_class."""
-    c = F.col(content)
-    head = _bytes(c, 0, 16)
-    text = looks_like_text(c)
-    kind, media = F.when(text, "text").otherwise("unknown"), F.when(text, "text/plain")
+    c, head = F.col(content), F.col("_head")
+    staged = _with_coff(files, c).withColumns({"_head": _bytes(c, 0, 24), "_text": looks_like_text(c)})
+    kind, media = F.when(F.col("_text"), "text").otherwise("unknown"), F.when(F.col("_text"), "text/plain")
     for magic, name, media_type in reversed(SIGNATURES):
         kind = F.when(head.startswith(magic), name).otherwise(kind)
         media = F.when(head.startswith(magic), media_type).otherwise(media)
-    coff = _bytes(c, _number(_bytes(c, 0x3C, 4), 4), 24)
-    pe = (F.col("kind") == "pe") & coff.startswith("50450000")
+    staged = staged.withColumns({"kind": kind, "media_type": media})
+    pe = (F.col("kind") == "pe") & F.col("_coff").startswith("50450000")
     elf = (F.col("kind") == "elf") & (F.octet_length(c) >= 20)
-    little = _bytes(c, 5, 1) == "01"
-    machine = F.when(pe, _name(_number(F.substring(coff, 9, 4), 2), PE_MACHINES, 4)).when(
-        elf, _name(_number(_bytes(c, 18, 2), 2, little), ELF_MACHINES, 2))
-    flags = _number(F.substring(coff, 45, 4), 2)
-    return files.withColumns({"kind": kind, "media_type": media}).withColumns({
-        "architecture": machine,
-        "is_dll": F.when(pe, flags.bitwiseAND(F.lit(0x2000).cast("bigint")) > 0),
-        "elf_class": F.when(elf, F.when(_bytes(c, 4, 1) == "02", "64-bit").otherwise("32-bit"))})
-
-
-def overlay_offset(content: Column) -> Column:
-    """Where data appended to an executable begins: the end of its last raw section, or null."""
-    size = F.octet_length(content)
-    at = _number(_bytes(content, 0x3C, 4), 4)
-    coff = _bytes(content, at, 24)
-    sections, optional = _number(F.substring(coff, 13, 4), 2), _number(F.substring(coff, 41, 4), 2)
-    table = at + 24 + optional
-
-    def section_end(i: Column) -> Column:
-        entry = _bytes(content, table + i * 40, 40)
-        raw_size, raw_at = _number(F.substring(entry, 33, 8), 4), _number(F.substring(entry, 41, 8), 4)
-        return F.when((F.length(entry) == 80) & (raw_size > 0) & (raw_at > 0), raw_size + raw_at).otherwise(F.lit(0).cast("bigint"))
-
-    ok = coff.startswith("50450000") & (F.length(coff) == 48) & sections.between(1, 96) & (at > 0)
-    ends = F.transform(F.sequence(F.lit(0).cast("bigint"), F.when(ok, sections).otherwise(F.lit(1).cast("bigint")) - 1), section_end)
-    end = F.array_max(ends)
-    return F.when(ok & (end > 0) & (end < size), end)
+    little = F.substring(head, 11, 2) == "01"
+    staged = staged.withColumns({
+        "_machine": F.when(pe, _number(F.substring("_coff", 9, 4), 2)).when(elf, _number(F.substring(head, 37, 4), 2, little)),
+        "_flags": F.when(pe, _number(F.substring("_coff", 45, 4), 2)), "_elf": elf})
+    machine = F.col("_machine")
+    return staged.withColumns({
+        "architecture": F.when(F.col("_elf"), _name(machine, ELF_MACHINES, 2)).otherwise(_name(machine, PE_MACHINES, 4)),
+        "is_dll": F.col("_flags").bitwiseAND(F.lit(0x2000).cast("bigint")) > 0,
+        "elf_class": F.when(F.col("_elf"), F.when(F.substring(head, 9, 2) == "02", "64-bit").otherwise("32-bit"))}).drop(
+            "_at", "_coff", "_head", "_text", "_machine", "_flags", "_elf")
+
+
+def with_overlay_offset(files: DataFrame, content: Column) -> DataFrame:
+    """Add ``_overlay``: where data appended to an executable begins (the end of its last raw section), or null."""
+    coff = F.col("_coff")
+    ok = coff.startswith("50450000") & (F.length(coff) == 48) & (F.col("_at") > 0)
+    staged = _with_coff(files, content).withColumn("_sections", F.when(ok, _number(F.substring(coff, 13, 4), 2)))
+    staged = staged.withColumn("_table", F.when(F.col("_sections").between(1, 96), F.col("_at") + 24 + _number(F.substring(coff, 41, 4), 2)))
+    count = F.when(F.col("_table").isNotNull(), F.col("_sections"))
+    entries = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), lambda i: _bytes(content, F.col("_table") + i * 40, 40))
+    staged = staged.withColumn("_entries", F.filter(entries, lambda e: F.length(e) == 80))
+    parsed = F.transform("_entries", lambda e: F.struct(_number(F.substring(e, 33, 8), 4).alias("size"), _number(F.substring(e, 41, 8), 4).alias("at")))
+    ends = F.transform(F.filter(parsed, lambda p: (p["size"] > 0) & (p["at"] > 0)), lambda p: p["size"] + p["at"])
+    staged = staged.withColumn("_end", F.array_max(ends))
+    inside = (F.col("_end") > 0) & (F.col("_end") < F.octet_length(content))
+    return staged.withColumn("_overlay", F.when(inside, F.col("_end"))).drop("_at", "_coff", "_sections", "_table", "_entries", "_end")
 
 
 def detect_container(files: DataFrame, path: str = "path_in_tree", content: str = "content") -> DataFrame:
@@ -129,13 +133,17 @@ def detect_container(files: DataFrame, path: str = "path_in_tree", content: str
         reason = F.lit(reason) if isinstance(reason, str) else reason
         return F.struct(container.alias("container"), F.lit(confidence).alias("confidence"), reason.alias("reason"))
 
-    start = F.coalesce(overlay_offset(c), size.cast("bigint"))
-    windows = F.concat(F.substring(c, 1, SNIFF_BYTES), F.substring(c, start.cast("int") + 1, F.lit(OVERLAY_BYTES)),
-                       F.when(size > SNIFF_BYTES, F.substring(c, F.greatest(size - TAIL_BYTES, F.lit(0)) + 1, F.lit(TAIL_BYTES))).otherwise(F.lit(b"")))
+    files = with_overlay_offset(files, c)
+    overlay = F.when(F.col("_overlay").isNotNull(), F.substring(c, F.col("_overlay").cast("int") + 1, F.lit(OVERLAY_BYTES))).otherwise(F.lit(b""))
+    tail = F.when(size > SNIFF_BYTES, F.substring(c, F.greatest(size - TAIL_BYTES, F.lit(0)) + 1, F.lit(TAIL_BYTES))).otherwise(F.lit(b""))
+    is_pe = _bytes(c, 0, 2) == "4D5A"
+    windows = F.when(is_pe, latin1(F.concat(F.substring(c, 1, SNIFF_BYTES), overlay, tail)))
+    files = files.withColumns({"_windows": windows, "_pe": is_pe, "_suffix": suffix})
+    suffix = F.col("_suffix")
     found = verdict("none", 0.9, "PE with no installer payload detected")
     for marker, name in reversed(PE_MARKERS):
-        found = F.when(F.contains(latin1(windows), F.lit(marker)), verdict(name, 0.85, f"PE containing {marker!r}")).otherwise(found)
-    out = F.when(_bytes(c, 0, 2) == "4D5A", found).otherwise(verdict("none", 0.8, "no container signature"))
+        found = F.when(F.contains("_windows", F.lit(marker)), verdict(name, 0.85, f"PE containing {marker!r}")).otherwise(found)
+    out = F.when(F.col("_pe"), found).otherwise(verdict("none", 0.8, "no container signature"))
     for at, magic, name in reversed(CONTAINER_MAGIC):
         this = verdict(name, 0.95, f"magic at offset {at}")
         if name == "zip":
@@ -149,4 +157,4 @@ def detect_container(files: DataFrame, path: str = "path_in_tree", content: str
     marked = files.withColumn("_d", out)
     return marked.withColumns({
         "container": F.col("_d.container"), "container_confidence": F.col("_d.confidence"), "container_reason": F.col("_d.reason"),
-        "should_unpack": (F.col("_d.container") != "none") & (F.col("_d.confidence") >= UNPACK_CONFIDENCE)}).drop("_d")
+        "should_unpack": (F.col("_d.container") != "none") & (F.col("_d.confidence") >= UNPACK_CONFIDENCE)}).drop("_d", "_windows", "_pe", "_suffix", "_overlay")
