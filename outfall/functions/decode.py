@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from outfall.functions.ship import by_value
 from outfall.operators.extract import latin1
 
 CODECS = ("base64", "base64url", "hex", "url", "gzip", "zlib", "utf-16")  # fixed values
@@ -88,3 +89,6 @@ def byte_window(content: Column, offset: int, length: int) -> Column:
 
     lines = F.transform(F.sequence(F.lit(0), F.ceil(count / 16).cast("int") - 1), line)
     return F.when(count > 0, F.array_join(lines, "\n")).otherwise(F.lit(""))
+
+
+by_value(__name__)

@@ -45,25 +45,41 @@ OVERLAY_BYTES = 256 * 1024
 UNPACK_CONFIDENCE = 0.5
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` written once, however often the body reads it.
+
+    Filters on the results below are pushed through the projections; without
+    this the substituted expression would grow with every stage.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _bytes(content: Column, at: Column | int, count: int) -> Column:
     """Bytes at a 0-based position as hex; empty beyond the end or for absurd positions."""
-    at = F.lit(at).cast("bigint") if isinstance(at, int) else at.cast("bigint")
-    inside = (at >= 0) & (at < F.octet_length(content))
-    return F.when(inside, F.hex(F.substring(content, at.cast("int") + 1, F.lit(count)))).otherwise(F.lit(""))
+    if isinstance(at, int):
+        return F.hex(F.substring(content, at + 1, count))
+    size = F.octet_length(content)
+    return bind(at.cast("bigint"), lambda p: F.when((p >= 0) & (p < size), F.hex(F.substring(content, p.cast("int") + 1, F.lit(count)))).otherwise(F.lit("")))
 
 
 def _number(hexed: Column, count: int, little: Column | bool = True) -> Column:
     """An unsigned number from ``count`` bytes of hex; null when bytes are missing."""
-    swapped = F.concat(*[F.substring(hexed, 2 * i + 1, 2) for i in reversed(range(count))])
-    digits = swapped if little is True else F.when(little, swapped).otherwise(hexed)
-    return F.when(F.length(hexed) == 2 * count, F.conv(digits, 16, 10).cast("bigint"))
+    def read(h: Column) -> Column:
+        swapped = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(count))])
+        digits = swapped if little is True else F.when(little, swapped).otherwise(h)
+        return F.when(F.length(h) == 2 * count, F.conv(digits, 16, 10).cast("bigint"))
+
+    return bind(hexed, read)
 
 
 def _name(number: Column, names: dict[int, str], digits: int) -> Column:
-    out = F.when(number.isNotNull(), F.concat(F.lit("unknown(0x"), F.lower(F.lpad(F.hex(number), digits, "0")), F.lit(")")))
-    for value, name in names.items():
-        out = F.when(number == value, name).otherwise(out)
-    return out
+    def look_up(n: Column) -> Column:
+        out = F.when(n.isNotNull(), F.concat(F.lit("unknown(0x"), F.lower(F.lpad(F.hex(n), digits, "0")), F.lit(")")))
+        for value, name in names.items():
+            out = F.when(n == value, name).otherwise(out)
+        return out
+
+    return bind(number, look_up)
 
 
 def looks_like_text(content: Column) -> Column:
@@ -118,8 +134,8 @@ def with_overlay_offset(files: DataFrame, content: Column) -> DataFrame:
     parsed = F.transform("_entries", lambda e: F.struct(_number(F.substring(e, 33, 8), 4).alias("size"), _number(F.substring(e, 41, 8), 4).alias("at")))
     ends = F.transform(F.filter(parsed, lambda p: (p["size"] > 0) & (p["at"] > 0)), lambda p: p["size"] + p["at"])
     staged = staged.withColumn("_end", F.array_max(ends))
-    inside = (F.col("_end") > 0) & (F.col("_end") < F.octet_length(content))
-    return staged.withColumn("_overlay", F.when(inside, F.col("_end"))).drop("_at", "_coff", "_sections", "_table", "_entries", "_end")
+    overlay = bind(F.col("_end"), lambda e: F.when((e > 0) & (e < F.octet_length(content)), e))
+    return staged.withColumn("_overlay", overlay).drop("_at", "_coff", "_sections", "_table", "_entries", "_end")
 
 
 def detect_container(files: DataFrame, path: str = "path_in_tree", content: str = "content") -> DataFrame:
@@ -134,27 +150,32 @@ def detect_container(files: DataFrame, path: str = "path_in_tree", content: str
         return F.struct(container.alias("container"), F.lit(confidence).alias("confidence"), reason.alias("reason"))
 
     files = with_overlay_offset(files, c)
-    overlay = F.when(F.col("_overlay").isNotNull(), F.substring(c, F.col("_overlay").cast("int") + 1, F.lit(OVERLAY_BYTES))).otherwise(F.lit(b""))
+    overlay = F.coalesce(F.substring(c, F.col("_overlay").cast("int") + 1, F.lit(OVERLAY_BYTES)), F.lit(b""))
     tail = F.when(size > SNIFF_BYTES, F.substring(c, F.greatest(size - TAIL_BYTES, F.lit(0)) + 1, F.lit(TAIL_BYTES))).otherwise(F.lit(b""))
     is_pe = _bytes(c, 0, 2) == "4D5A"
     windows = F.when(is_pe, latin1(F.concat(F.substring(c, 1, SNIFF_BYTES), overlay, tail)))
-    files = files.withColumns({"_windows": windows, "_pe": is_pe, "_suffix": suffix})
-    suffix = F.col("_suffix")
-    found = verdict("none", 0.9, "PE with no installer payload detected")
-    for marker, name in reversed(PE_MARKERS):
-        found = F.when(F.contains("_windows", F.lit(marker)), verdict(name, 0.85, f"PE containing {marker!r}")).otherwise(found)
-    out = F.when(F.col("_pe"), found).otherwise(verdict("none", 0.8, "no container signature"))
-    for at, magic, name in reversed(CONTAINER_MAGIC):
-        this = verdict(name, 0.95, f"magic at offset {at}")
-        if name == "zip":
-            for extension, special in ZIP_FAMILY.items():
-                this = F.when(suffix == extension, verdict(special, 0.95, f"zip signature with {extension}")).otherwise(this)
-        out = F.when(_bytes(c, at, len(magic) // 2) == magic, this).otherwise(out)
-    for extension, name in BY_EXTENSION.items():
-        out = F.when(suffix == extension, verdict(name, 0.7, f"extension {extension}")).otherwise(out)
-    out = F.when(size < 16, verdict("none", 1.0, "too small to be a container")).otherwise(out)
+
+    def installer(text: Column) -> Column:
+        found = verdict("none", 0.9, "PE with no installer payload detected")
+        for marker, name in reversed(PE_MARKERS):
+            found = F.when(F.contains(text, F.lit(marker)), verdict(name, 0.85, f"PE containing {marker!r}")).otherwise(found)
+        return found
+
+    def by_content(ending: Column) -> Column:
+        out = F.when(is_pe, bind(windows, installer)).otherwise(verdict("none", 0.8, "no container signature"))
+        for at, magic, name in reversed(CONTAINER_MAGIC):
+            this = verdict(name, 0.95, f"magic at offset {at}")
+            if name == "zip":
+                for extension, special in ZIP_FAMILY.items():
+                    this = F.when(ending == extension, verdict(special, 0.95, f"zip signature with {extension}")).otherwise(this)
+            out = F.when(_bytes(c, at, len(magic) // 2) == magic, this).otherwise(out)
+        for extension, name in BY_EXTENSION.items():
+            out = F.when(ending == extension, verdict(name, 0.7, f"extension {extension}")).otherwise(out)
+        return F.when(size < 16, verdict("none", 1.0, "too small to be a container")).otherwise(out)
+
+    out = bind(suffix, by_content)
     # the struct is read four times: keep it a column of its own
     marked = files.withColumn("_d", out)
     return marked.withColumns({
         "container": F.col("_d.container"), "container_confidence": F.col("_d.confidence"), "container_reason": F.col("_d.reason"),
-        "should_unpack": (F.col("_d.container") != "none") & (F.col("_d.confidence") >= UNPACK_CONFIDENCE)}).drop("_d", "_windows", "_pe", "_suffix", "_overlay")
+        "should_unpack": (F.col("_d.container") != "none") & (F.col("_d.confidence") >= UNPACK_CONFIDENCE)}).drop("_d", "_overlay")

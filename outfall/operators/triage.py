@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from outfall.functions import text as T
+from outfall.functions.ship import by_value
 
 # Fixed values
 FLOOR_RANK = 1  # at or above "high" a model cannot dismiss
@@ -150,3 +151,6 @@ def status_changes(findings: DataFrame, patches: DataFrame) -> tuple[DataFrame,
         "run_id", "id", F.lit("finding_status_changed").alias("action"), F.col("status").alias("old_status"), "new_status", "note")
     updated = joined.withColumn("status", F.coalesce("new_status", "status")).drop("new_status", "note")
     return updated, audit, rejected
+
+
+by_value(__name__)

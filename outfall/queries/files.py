@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from outfall.functions import decode as DC
 from outfall.functions import text as T
+from outfall.functions.ship import by_value
 from outfall.operators import identify as I
 from outfall.operators import unpack as U
 from outfall.queries.inputs import Inputs
@@ -224,3 +225,6 @@ SELECT p_partkey, string_agg(printf('%08x', i * 16) || '  ' || rpad(trim(regexp_
 def _(t):
     content = F.encode(F.concat("p_name", F.lit(" "), "p_type"), "UTF-8")
     return t.table("part").select("p_partkey", DC.byte_window(content, 0, 512).alias("lines"))
+
+
+by_value(__name__)

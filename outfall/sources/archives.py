@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outfall.functions.ship import by_value
 from outfall.operators.identify import detect_container
 from outfall.operators.unpack import MAX_BYTES, MAX_DEPTH, MAX_FILES, safe_member
 from outfall.session import cut
@@ -125,3 +126,6 @@ def archive_expand(artifacts: DataFrame, max_depth: int = MAX_DEPTH, max_bytes:
     for more in levels[1:]:
         result = result.unionByName(more)
     return result.withColumn("size_bytes", F.octet_length("content").cast("bigint")).drop("should_unpack")
+
+
+by_value(__name__)
