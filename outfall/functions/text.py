@@ -129,13 +129,17 @@ def purl(ecosystem: Column, name: Column, version: Column) -> Column:
 
 def tolerant_json(text: Column) -> Column:
     """The JSON object inside a reply: as is, without its code fence, or from first ``{`` to last ``}``."""
-    body = F.trim(text)
+    def strip(value: Column) -> Column:
+        return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+    body = strip(text)
     unfenced = F.when(
         body.startswith("```"), F.regexp_replace(F.regexp_replace(body, r"^```[^\n]*\n", ""), r"(?s)```[^`]*$", "")
     ).otherwise(body)
+    unfenced = strip(unfenced)
     span = F.regexp_extract(unfenced, r"(?s)\{.*\}", 0)
     return (
-        F.when(F.try_parse_json(unfenced).isNotNull() & F.trim(unfenced).startswith("{"), F.trim(unfenced))
+        F.when(F.try_parse_json(unfenced).isNotNull() & unfenced.startswith("{"), unfenced)
         .when((span != "") & F.try_parse_json(span).isNotNull(), span)
     )
 

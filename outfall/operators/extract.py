@@ -129,11 +129,11 @@ def strings_sql(content: str = "content") -> str:
     text = f"decode({content}, 'ISO-8859-1')"
     # string literals in SQL text: a backslash is written twice
     run = ASCII_RUN.replace("\\", "\\\\")
-    lens = f"transform(split({text}, '{run}', -1), g -> length(g))"
-    runs = f"regexp_extract_all({text}, '{run}', 0)"
+    once = f"named_struct('r', regexp_extract_all({text}, '{run}', 0), 'g', transform(split({text}, '{run}', -1), g -> length(g)))"
+    # the array of one struct binds matches and gaps once per row
     return (
-        f"transform(sequence(0, size({runs}) - 1), i -> named_struct("
-        f"'value', {runs}[i], 'byte_offset',"
-        f" aggregate(slice({lens}, 1, i + 1), 0L, (a, x) -> a + x)"
-        f" + aggregate(slice({runs}, 1, i), 0L, (a, m) -> a + length(m)), 'encoding', 'ascii'))"
+        f"flatten(transform(array({once}), t -> transform(filter(sequence(0, size(t.r)), i -> i < size(t.r)), i -> named_struct("
+        f"'value', t.r[i], 'byte_offset',"
+        f" aggregate(slice(t.g, 1, i + 1), 0L, (a, x) -> a + x)"
+        f" + aggregate(slice(t.r, 1, i), 0L, (a, m) -> a + length(m)), 'encoding', 'ascii'))))"
     )

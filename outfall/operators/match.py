@@ -19,21 +19,26 @@ from outfall.rules.pack import RulePack
 CONTEXT = 60  # fixed value: bytes kept on each side of a hit
 
 
-def possible(pattern: dict, text: Column, lowered: Column) -> Column:
-    """True unless a literal the pattern needs is missing from ``text``."""
-    test = F.lit(True)
-    for group in pattern["needs"]:
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def possible(needs: list[list[str]], text: str, lowered: str) -> str:
+    """SQL condition: false when a literal the pattern needs is missing from column ``text``.
+
+    The pack expands to some hundred tests, so they are written as one SQL
+    text instead of one call per expression node.
+    """
+    tests = []
+    for group in needs:
         if group[0] == "re:":
-            test = test & text.rlike(group[1])
-            continue
-        folded = group[0] == "(?i)"
-        literals = group[1:] if folded else group
-        subject = lowered if folded else text
-        any_of = F.contains(subject, F.lit(literals[0]))
-        for literal in literals[1:]:
-            any_of = any_of | F.contains(subject, F.lit(literal))
-        test = test & any_of
-    return test
+            tests.append(f"rlike({text}, {literal(group[1])})")
+        else:
+            folded = group[0] == "(?i)"
+            subject, literals = (lowered, group[1:]) if folded else (text, group)
+            tests.append("(" + " OR ".join(f"contains({subject}, {literal(x)})" for x in literals) + ")")
+    return " AND ".join(tests) or "true"
 
 
 def hit_strings(artifacts: DataFrame, pack: RulePack, keys: list[str], content: str = "content") -> DataFrame:
@@ -43,38 +48,27 @@ def hit_strings(artifacts: DataFrame, pack: RulePack, keys: list[str], content:
     # wide strings read through without their zero bytes; ASCII strings have none
     df = df.withColumn("_t", F.when(F.contains("_l0", F.lit(NUL)), F.replace("_l0", F.lit(NUL), F.lit(""))).otherwise(F.col("_l0")))
     df = df.withColumn("_tl", F.lower("_t"))
-    df = df.withColumn("_flags", F.array(*[possible(p, F.col("_t"), F.col("_tl")) for p in patterns]))
+    flags = "array(" + ", ".join(possible(p["needs"], "_t", "_tl") for p in patterns) + ")"
+    df = df.withColumn("_flags", F.expr(flags))
     df = df.select(
         *keys, "_c", "_flags", F.when(F.array_contains("_flags", F.lit(True)), F.col("_l0")).alias("_l")
     )
-    df = with_string_columns(df)
-
-    def matches(s: Column) -> Column:
-        found = F.lit(False)
-        for i, p in enumerate(patterns):
-            found = found | (F.get(F.col("_flags"), F.lit(i)) & s["value"].rlike(p["regex"]))
-        return found
-
-    def with_window(s: Column) -> Column:
-        first = F.greatest(s["byte_offset"] - CONTEXT, F.lit(0))
-        width = s["byte_offset"] + 2 * F.length(s["value"]) + CONTEXT - first
-        return F.struct(
-            s["value"].alias("string"),
-            s["byte_offset"].alias("string_offset"),
-            s["encoding"].alias("encoding"),
-            first.alias("window_offset"),
-            F.substring(F.col("_c"), first.cast("int") + 1, width.cast("int")).alias("window"),
-        )
-
-    return df.select(*keys, F.inline(F.transform(F.filter(string_array(), matches), with_window)))
+    df = with_string_columns(df).withColumn("_strings", string_array())
+    matches = " OR ".join(f"(get(_flags, {i}) AND rlike(s.value, {literal(p['regex'])}))" for i, p in enumerate(patterns))
+    first = f"greatest(s.byte_offset - {CONTEXT}, 0)"
+    window = (
+        f"named_struct('string', s.value, 'string_offset', s.byte_offset, 'encoding', s.encoding, 'window_offset', {first},"
+        f" 'window', substring(_c, CAST({first} AS INT) + 1, CAST(s.byte_offset + 2 * length(s.value) + {CONTEXT} - {first} AS INT)))"
+    )
+    return df.select(*keys, F.expr(f"inline(transform(filter(_strings, s -> {matches}), s -> {window}))"))
 
 
 def _pattern_ids(pack: RulePack) -> Column:
-    value, lowered = F.col("string"), F.lower(F.col("string"))
     hits = [
-        F.when(possible(p, value, lowered) & value.rlike(p["regex"]), F.lit(i)) for i, p in enumerate(pack.patterns())
+        f"CASE WHEN {possible(p['needs'], 'string', '_lowered')} AND rlike(string, {literal(p['regex'])}) THEN {i} END"
+        for i, p in enumerate(pack.patterns())
     ]
-    return F.array_compact(F.array(*hits))
+    return F.expr(f"array_compact(array({', '.join(hits)}))")
 
 
 def raw_matches(artifacts: DataFrame, pack: RulePack, keys: list[str], content: str = "content") -> DataFrame:
@@ -84,7 +78,7 @@ def raw_matches(artifacts: DataFrame, pack: RulePack, keys: list[str], content:
     """
     spark = artifacts.sparkSession
     hits = hit_strings(artifacts, pack, keys, content)
-    hits = hits.select("*", F.explode(_pattern_ids(pack)).alias("pattern_ix"))
+    hits = hits.withColumn("_lowered", F.lower("string")).select("*", F.explode(_pattern_ids(pack)).alias("pattern_ix"))
     hits = hits.join(pack.patterns_df(spark), "pattern_ix")
     gates = ["severity", "encodings", "min_entropy", "min_length", "max_length", "rejects", "requires_nearby",
              "nearby_window", "shape_policy", "require_mixed_case"]

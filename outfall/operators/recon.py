@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from outfall.operators.match import possible
+from outfall.operators.match import literal, possible
 
 # Probes in claim order, limits, residue expressions.
 PROBES = (
@@ -44,21 +44,20 @@ BORING = (
 )
 
 
-def claim(value: Column) -> Column:
-    """(category, value) of the first probe that matches, or null."""
-    lowered = F.lower(value)
-    found = F.lit(None).cast("struct<category:string,found:string>")
-    for name, regex, needs in reversed(PROBES):
-        pattern = "(?i)" + regex
-        hit = possible({"needs": needs}, value, lowered) & value.rlike(pattern)
-        text = F.substring(F.regexp_extract(value, pattern, 1), 1, VALUE_CHARS)
-        found = F.when(hit, F.struct(F.lit(name).alias("category"), text.alias("found"))).otherwise(found)
-    return found
+def claim(value: str, lowered: str) -> Column:
+    """(category, found) of the first probe that matches column ``value``, or null."""
+    branches = []
+    for name, regex, needs in PROBES:
+        pattern = literal("(?i)" + regex)
+        found = f"substring(regexp_extract({value}, {pattern}, 1), 1, {VALUE_CHARS})"
+        branches.append(f"WHEN {possible(needs, value, lowered)} AND rlike({value}, {pattern}) THEN named_struct('category', '{name}', 'found', {found})")
+    return F.expr(f"CASE {' '.join(branches)} END")
 
 
 def claims(strings: DataFrame, by: list[str]) -> DataFrame:
     """Claimed strings: by, path_in_tree, byte_offset, encoding, category, found."""
-    claimed = strings.select(*by, "path_in_tree", "byte_offset", "encoding", claim(F.col("value")).alias("c"))
+    lowered = strings.withColumn("_lowered", F.lower("value"))
+    claimed = lowered.select(*by, "path_in_tree", "byte_offset", "encoding", claim("value", "_lowered").alias("c"))
     return claimed.where("c IS NOT NULL").select(*by, "path_in_tree", "byte_offset", "encoding", "c.category", "c.found")
 
 

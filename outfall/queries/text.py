@@ -11,6 +11,7 @@ from outfall.queries import oracle as O
 from outfall.queries.inputs import Inputs, spread
 from outfall.queries.registry import query
 from outfall.rules.pack import builtin_pack
+from outfall.session import cut
 from outfall.sources import artifacts as A
 
 KEY = ["path_in_tree"]
@@ -22,7 +23,8 @@ def _evidence(t: Inputs) -> DataFrame:
 
 def text_findings(t: Inputs) -> DataFrame:
     """Findings of one run over every text row."""
-    evidence = match.scan(t.artifacts(), builtin_pack(), KEY).withColumn("run_id", F.lit("texts"))
+    # evidence is small next to the content: cut here, so that its readers do not scan again
+    evidence = cut(match.scan(t.artifacts(), builtin_pack(), KEY).withColumn("run_id", F.lit("texts")))
     result = correlate.correlate(evidence, builtin_pack().rules_df(t.spark).withColumnRenamed("name", "title"))
     return result.findings.select("id", "rule_id", "category", "title", "severity", "confidence", "value_masked", "value_hash", "evidence_count")
 
