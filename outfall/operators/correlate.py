@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outfall.functions import text as T
+from outfall.session import cut
 
 # Scores and clusters must stay comparable.
 ENTROPY_STRONG = 4.5
@@ -135,7 +136,11 @@ def cluster_rules(findings: DataFrame, above: int = CLUSTER_ABOVE, flat: int = F
 
 
 def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | None = None) -> Correlation:
-    """Deduplicated, scored findings with every place they occur."""
+    """Deduplicated, scored findings with every place they occur.
+
+    The scored groups (one row per run, rule and value) feed the cluster sizes,
+    the clusters, the findings and the locations, so they are checkpointed once.
+    """
     places = evidence_places(evidence)
     groups = group_evidence(places)
     unknown = groups.join(rules, "rule_id", "left_anti").groupBy("run_id", "rule_id").agg(F.count("*").alias("dropped"))
@@ -144,7 +149,7 @@ def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | N
     if suppressions is not None:
         suppressed = suppressed_groups(groups.join(rules, "rule_id", "left_semi"), suppressions, "left_semi").select(*GROUP)
         known = suppressed_groups(groups, suppressions, "left_anti")
-    single = score_groups(known, rules)
+    single = cut(score_groups(known, rules))
     clusters = cluster_rules(single)
     heads = clusters.select("run_id", "rule_id", F.col("id").alias("cluster_id"))
     marked = single.join(heads, ["run_id", "rule_id"], "left")

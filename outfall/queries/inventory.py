@@ -128,7 +128,7 @@ def declared(t: Inputs):
 
 
 def inventory(t: Inputs):
-    return M.component_inventory(declared(t).withColumn("run_id", F.lit("r1")), ["run_id"])
+    return M.component_inventory(declared(t).withColumn("run_id", F.substring_index("path_in_tree", " → ", 1)), ["run_id"])
 
 
 def _one(name: str, ecosystem: str):
@@ -157,7 +157,7 @@ def _(t):
     return declared(t)
 
 
-@query("agg_09_component_inventory", f"WITH {INVENTORY} SELECT *, 'declared' AS confidence, {PURL} AS purl, false AS truncated, 'r1' AS run_id FROM inv", ("manifest_files",))
+@query("agg_09_component_inventory", f"WITH {INVENTORY} SELECT *, 'declared' AS confidence, {PURL} AS purl, false AS truncated, 'app.asar' AS run_id FROM inv", ("manifest_files",))
 def _(t):
     return inventory(t)
 
@@ -184,7 +184,7 @@ def _(t):
     return t.table("orders").select("o_orderkey", T.clean(v).alias("cleaned"), T.spdx_expression(T.clean(v)).alias("expression"))
 
 
-@query("snk_03_cyclonedx_components", f"""WITH {INVENTORY} SELECT 'r1' AS run_id, {PURL} AS bom_ref, name, version, licence, evidence, path_in_tree, 1.0::DOUBLE AS confidence_score, 'manifest-analysis' AS technique,
- 'urn:uuid:' || concat_ws('-', substr(sha256('sbom:r1'), 1, 8), substr(sha256('sbom:r1'), 9, 4), substr(sha256('sbom:r1'), 13, 4), substr(sha256('sbom:r1'), 17, 4), substr(sha256('sbom:r1'), 21, 12)) AS serial FROM inv""", ("manifest_files",))
+@query("snk_03_cyclonedx_components", f"""WITH {INVENTORY} SELECT 'app.asar' AS run_id, {PURL} AS bom_ref, name, version, licence, evidence, path_in_tree, 1.0::DOUBLE AS confidence_score, 'manifest-analysis' AS technique,
+ 'urn:uuid:' || concat_ws('-', substr(sha256('sbom:app.asar'), 1, 8), substr(sha256('sbom:app.asar'), 9, 4), substr(sha256('sbom:app.asar'), 13, 4), substr(sha256('sbom:app.asar'), 17, 4), substr(sha256('sbom:app.asar'), 21, 12)) AS serial FROM inv""", ("manifest_files",))
 def _(t):
     return X.cyclonedx_rows(inventory(t))

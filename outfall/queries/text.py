@@ -92,7 +92,7 @@ def _(t):
 
 @query("ext_03_extract_strings", f"{STRINGS} SELECT path_in_tree, value, byte_offset, 'ascii' AS encoding FROM strings", ("texts",))
 def _(t):
-    return extract.extract_strings(t.artifacts(), KEY).orderBy("path_in_tree", "byte_offset", "encoding", "value")
+    return extract.extract_strings(t.artifacts(), KEY)
 
 
 @query("set_01_encoding_union", f"""WITH {O.strings_ctes()}
@@ -120,7 +120,7 @@ RAW = "raw JOIN rules USING (rule_id)"
 def _(t):
     pack = builtin_pack()
     kept = match.apply_gates(match.raw_matches(t.artifacts(), pack, KEY), pack)
-    return kept.select("path_in_tree", "rule_id", "pattern_no", "value", "byte_offset").orderBy("rule_id", "byte_offset", "value")
+    return kept.select("path_in_tree", "rule_id", "pattern_no", "value", "byte_offset")
 
 
 @query("mat_02_match_offset", f"{SCAN} SELECT path_in_tree, rule_id, CAST(pattern_no AS INT) AS pattern_no, val AS value, CAST(match_start AS BIGINT) AS match_start, CAST(match_end AS BIGINT) AS match_end, CAST(byte_offset AS BIGINT) AS byte_offset FROM raw", ("texts",))
@@ -199,11 +199,9 @@ def _(t):
 
 
 def match_report(evidence: DataFrame) -> DataFrame:
-    """Hits and share per rule; one small row per rule, so the total is a window over rules only."""
-    from pyspark.sql import Window as W
-
+    """Hits and share of all hits per rule."""
     per_rule = evidence.groupBy("rule_id").agg(F.count("*").alias("hits"))
-    total = F.sum("hits").over(W.partitionBy(F.lit(0)))
+    total = per_rule.select(F.sum("hits")).scalar()
     return per_rule.select("rule_id", "hits", F.round(100.0 * F.col("hits") / total, 3).alias("share")).orderBy(F.desc("hits"), "rule_id")
 
 
