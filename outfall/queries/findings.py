@@ -38,7 +38,7 @@ def rules(t: Inputs):
 
 
 def singles(t: Inputs):
-    return C.score_groups(C.group_evidence(C.evidence_places(t.view("evidence"))), rules(t))
+    return C.score_groups(C.group_evidence(C.evidence_places(t.evidence())), rules(t))
 
 
 @query("agg_01_correlate", f"WITH {ALL} SELECT run_id, rule_id, value_hash, id, value_masked, CAST(n AS BIGINT) AS evidence_count FROM singles", EV)
@@ -49,7 +49,7 @@ def _(t):
 @query("agg_02_locations", f"""WITH {ALL}, ids AS (SELECT r.run_id, r.rule_id, r.value_hash, r.id AS member_id, coalesce(c.id, r.id) AS finding_id FROM ranked r LEFT JOIN clusters c USING (run_id, rule_id))
 SELECT run_id, finding_id, path_in_tree, byte_offset, arg_min(encoding, member_id || encoding) AS encoding FROM evidence JOIN ids USING (run_id, rule_id, value_hash) GROUP BY run_id, finding_id, path_in_tree, byte_offset""", EV)
 def _(t):
-    return C.correlate(t.view("evidence"), rules(t)).locations
+    return C.correlate(t.evidence(), rules(t)).locations
 
 
 @query("agg_03_confidence", f"WITH {ALL} SELECT run_id, id, confidence FROM singles", EV)
@@ -79,7 +79,7 @@ def _(t):
     supplier = t.table("supplier").where("s_acctbal > 1000")
     number = (F.col("s_suppkey") % 100).cast("string")
     staged = supplier.select(F.concat(F.lit("rel.zip → f"), number).alias("path_in_tree"), F.md5(F.concat(F.lit("art"), number)).alias("artifact_id")).distinct()
-    return attach_artifacts(t.view("evidence"), staged, F.lit("root")).groupBy("run_id", "artifact_id", "defaulted").agg(F.count("*").alias("evidence"))
+    return attach_artifacts(t.evidence(), staged, F.lit("root")).groupBy("run_id", "artifact_id", "defaulted").agg(F.count("*").alias("evidence"))
 
 
 def attach_artifacts(evidence, artifacts, root):
@@ -90,13 +90,13 @@ def attach_artifacts(evidence, artifacts, root):
 @query("jon_03_unknown_rules", """SELECT run_id, rule_id, CAST(count(DISTINCT value_hash) AS BIGINT) AS dropped FROM evidence
 WHERE rule_id NOT IN (SELECT rule_id FROM rule_dim) GROUP BY run_id, rule_id""", EV)
 def _(t):
-    return C.correlate(t.view("evidence"), rules(t)).unknown_rules
+    return C.correlate(t.evidence(), rules(t)).unknown_rules
 
 
 @query("jon_04_suppression", f"""WITH {SUPPRESSED.replace(', singles AS', ', singles AS', 1)}, gone AS (SELECT run_id, count(*) AS n FROM grouped JOIN anchors USING (run_id, rule_id, value_hash) WHERE rule_id IN (SELECT rule_id FROM rule_dim) AND {EXEMPT} GROUP BY run_id)
 SELECT f.run_id, CAST(count(*) AS BIGINT) AS findings, CAST(coalesce(max(gone.n), 0) AS BIGINT) AS suppressed FROM final f LEFT JOIN gone USING (run_id) GROUP BY f.run_id""", ("evidence", "rule_dim", "suppressions"))
 def _(t):
-    result = C.correlate(t.view("evidence"), rules(t), t.view("suppressions"))
+    result = C.correlate(t.evidence(), rules(t), t.view("suppressions"))
     gone = result.suppressed.groupBy("run_id").agg(F.count("*").alias("suppressed"))
     kept = result.findings.groupBy("run_id").agg(F.count("*").alias("findings"))
     return kept.join(gone, "run_id", "left").na.fill(0)
@@ -104,5 +104,5 @@ def _(t):
 
 @query("srt_01_ordered_findings", f"WITH {ALL} SELECT run_id, id, rule_id, value_hash, title, category, severity, confidence, value_masked, entropy FROM final", EV)
 def _(t):
-    found = C.correlate(t.view("evidence"), rules(t)).findings
+    found = C.correlate(t.evidence(), rules(t)).findings
     return C.in_order(found).select("run_id", "id", "rule_id", "value_hash", "title", "category", "severity", "confidence", "value_masked", "entropy")

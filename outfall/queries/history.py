@@ -160,4 +160,4 @@ def _(t):
 @query("agg_12_stage_evidence", """SELECT run_id, CASE encoding WHEN 'ascii' THEN 'static' ELSE 'static-wide' END AS analyzer, CAST(count(*) AS BIGINT) AS evidence_count FROM evidence GROUP BY ALL""", ("evidence",))
 def _(t):
     analyzer = F.when(F.col("encoding") == "ascii", "static").otherwise("static-wide").alias("analyzer")
-    return t.view("evidence").groupBy("run_id", analyzer).agg(F.count("*").alias("evidence_count"))
+    return t.evidence().groupBy("run_id", analyzer).agg(F.count("*").alias("evidence_count"))

@@ -148,6 +148,10 @@ class Inputs:
                 self.table(table).createOrReplaceTempView(table)
         return self.spark.sql(text)
 
+    def evidence(self) -> DataFrame:
+        """``evidence`` spread by place, a key that no hot value or rule can skew."""
+        return spread(self.view("evidence"), "path_in_tree", "byte_offset")
+
     def artifacts(self) -> DataFrame:
         """``texts`` as bytes, spread over the cores when there are only a few files to split."""
         texts = self.view("texts").withColumn("content", F.encode("content", "UTF-8"))

@@ -84,7 +84,7 @@ SELECT run_id, finding_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(value,
 def _(t):
     from outfall.operators import correlate as C
 
-    evidence = t.view("evidence").withColumn("value_plaintext", F.concat(F.lit("plain-"), "value_hash"))
+    evidence = t.evidence().withColumn("value_plaintext", F.concat(F.lit("plain-"), "value_hash"))
     shown = D.plaintexts(C.correlate(evidence, QF.rules(t)).locations, evidence)
     return shown.select("run_id", "finding_id", F.size("values").cast("bigint").alias("n"), F.md5(F.array_join("values", ",")).alias("digest"))
 
@@ -106,7 +106,7 @@ def _(t):
 
 @query("jon_17_search_evidence", r"""SELECT run_id, rule_id, value_masked, path_in_tree, byte_offset FROM evidence WHERE regexp_matches(value_masked, '^v\*{3}[1-4]2$') QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY path_in_tree, byte_offset, rule_id) <= 40""", ("evidence",))
 def _(t):
-    return D.search_evidence(t.view("evidence"), r"^v\*{3}[1-4]2$").select("run_id", "rule_id", "value_masked", "path_in_tree", "byte_offset")
+    return D.search_evidence(t.evidence(), r"^v\*{3}[1-4]2$").select("run_id", "rule_id", "value_masked", "path_in_tree", "byte_offset")
 
 
 @query("agg_15_field_report", f"""WITH {QF.ALL}, fl AS (SELECT DISTINCT run_id, path_in_tree FROM evidence), a AS (SELECT run_id, count(*) AS files, sum(length(path_in_tree) * 100) AS bytes FROM fl GROUP BY run_id),
@@ -115,14 +115,14 @@ SELECT run_id, CAST(files AS BIGINT) AS files, CAST(bytes AS BIGINT) AS bytes, C
 def _(t):
     from outfall.operators import correlate as C
 
-    evidence = t.view("evidence")
+    evidence = t.evidence()
     artifacts = evidence.select("run_id", "path_in_tree").distinct().withColumn("size_bytes", (F.length("path_in_tree") * 100).cast("bigint"))
     return D.field_report(evidence, C.correlate(evidence, QF.rules(t)).findings, artifacts)
 
 
 @query("agg_15_rule_spread", "SELECT rule_id, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT run_id) AS BIGINT) AS artifacts FROM evidence GROUP BY rule_id", ("evidence",))
 def _(t):
-    return D.rule_spread(t.view("evidence"))
+    return D.rule_spread(t.evidence())
 
 
 @query("agg_18_summary_context", f"""WITH m AS (SELECT 'pkg-' || (CAST(substr(run_id, 2) AS BIGINT) % 7) AS run_id, id || '-' || run_id AS id, rule_id, title, severity, 'mask' AS value_masked FROM findings),

@@ -21,7 +21,7 @@ prompts AS (SELECT run_id, id, rule_id, value_hash, severity, 'Rule: ' || rule_i
 
 
 def placed(t: Inputs):
-    result = C.correlate(t.view("evidence"), rules(t))
+    result = C.correlate(t.evidence(), rules(t))
     return result.findings.join(first_locations(result.locations), ["run_id", "id"])
 
 
