@@ -6,6 +6,8 @@ start from the same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +146,7 @@ class Inputs:
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]
         for table in TABLES:
-            if table in text:
+            if re.search(rf"\b{table}\b", text):
                 self.table(table).createOrReplaceTempView(table)
         return self.spark.sql(text)
 
