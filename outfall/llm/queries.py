@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from outfall.llm.chat import chat_digest
 from outfall.llm.common import table
 from outfall.llm.sharding import shard_documents
+from outfall.llm.toxicity import toxicity
 
 QUERIES = {
+    "op8_kneser_ney_toxicity": lambda spark, sf_dir: toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op9_chat_format": lambda spark, sf_dir: chat_digest(table(spark, sf_dir, "conversations")),
     "op10_histogram_shards": lambda spark, sf_dir: shard_documents(table(spark, sf_dir, "documents")),
 }
 ORACLES: dict[str, str] = {}

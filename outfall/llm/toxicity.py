@@ -143,12 +143,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; x has a column of ones. The two classes weigh the same."""
+    """Weights of a ridge logistic regression by Newton steps; the last column of x is ones."""
     w = np.zeros(x.shape[1])
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (share * (p - y)) + ridge * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -163,29 +162,40 @@ def labelled_sample(labels: DataFrame, fit_rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Model, np.ndarray, np.ndarray]:
-    """The model of all training rows; scale and weights of the curve, fitted on fold 4 under a model without fold 4."""
-    sample = F.broadcast(labelled_sample(labels, fit_rows).select("doc_id", (F.col("toxic") + 2 * (fold(F.col("doc_id")) == 4).cast("int")).alias("kind")))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(sample, "doc_id").select("text", F.col("kind").cast("int").alias("kind"))
+    """The model of all training rows; scale and weights of the curve, fitted on rows scored by a model without their fold."""
+    sample = F.broadcast(labelled_sample(labels, fit_rows).select("doc_id", (F.col("toxic") + 2 * (fold(F.col("doc_id")) - 1)).cast("int").alias("kind")))
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(sample, "doc_id").select("text", "kind")
     counts = rows.mapInArrow(_counted, "gram long, kind int, n long").groupBy("gram").agg(
-        *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4))).toPandas().sort_values("gram")
-    gram, n = counts["gram"].to_numpy(np.int64), [counts[f"n{k}"].to_numpy(float) for k in range(4)]
-    early = (n[0] + n[1]) > 0
-    trial = docs.sparkSession.sparkContext.broadcast(fit(gram[early], n[1][early], n[0][early]))
-    unseen = rows.where("kind >= 2").mapInArrow(lambda batches: _scored(trial.value, None, batches, ["kind"]), "kind int, mean double, most double").toPandas()
-    x, y = unseen[["mean", "most"]].to_numpy(float), (unseen["kind"] == 3).to_numpy(float)
+        *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(8))).toPandas().sort_values("gram")
+    gram = counts["gram"].to_numpy(np.int64)
+    n = counts[[f"n{k}" for k in range(8)]].to_numpy(float).reshape(-1, 4, 2)
+    without = []
+    for left_out in range(4):
+        some = np.delete(n, left_out, axis=1).sum(axis=1)
+        seen = some.sum(axis=1) > 0
+        without.append(fit(gram[seen], some[seen, 1], some[seen, 0]))
+    trial = docs.sparkSession.sparkContext.broadcast(without)  # bounded by fit_rows
+    unseen = rows.mapInArrow(lambda batches: _out_of_fold(trial.value, batches), "kind int, mean double, most double").toPandas()
+    x, y = unseen[["mean", "most"]].to_numpy(float), (unseen["kind"] % 2).to_numpy(float)
     scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(2)
     weights = logistic(np.column_stack((x / scale, np.ones(len(x)))), y) if len(x) else np.zeros(3)
-    return fit(gram, n[1] + n[3], n[0] + n[2]), scale, weights
+    return fit(gram, n[:, :, 1].sum(axis=1), n[:, :, 0].sum(axis=1)), scale, weights
 
 
-def _scored(model: Model, curve: tuple[np.ndarray, np.ndarray] | None, batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _out_of_fold(models: list[Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text", 4 << 20):
+        kind = batch.column("kind").to_numpy()
+        for left_out in np.unique(kind // 2):
+            at = np.flatnonzero(kind // 2 == left_out)
+            found = features(models[left_out], batch.column("text").take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(kind[at]), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["kind", "mean", "most"])
+
+
+def _scored(model: Model, scale: np.ndarray, weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", 4 << 20):
         found = features(model, batch.column("text"))
-        columns = [batch.column(k) for k in keep] + [pa.array(found[:, 0]), pa.array(found[:, 1])]
-        if curve:
-            scale, weights = curve
-            columns.append(pa.array(1 / (1 + np.exp(-np.clip(found / scale @ weights[:2] + weights[2], -30, 30)))))
-        yield pa.RecordBatch.from_arrays(columns, names=[*keep, "mean", "most", *["score"] * bool(curve)])
+        score = 1 / (1 + np.exp(-np.clip(found / scale @ weights[:2] + weights[2], -30, 30)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(score)], names=["doc_id", "mean", "most", "score"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -195,7 +205,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     labels every score is 0.5. Repeated rows score alike; a null doc_id is not held out; other columns are left out. No documents: no rows.
     """
     model, scale, weights = train(docs, labels, fit_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((model, (scale, weights)))  # bounded by fit_rows
-    scored = docs.select("doc_id", "text").mapInArrow(lambda batches: _scored(*shared.value, batches, ["doc_id"]), "doc_id long, mean double, most double, score double")
+    shared = docs.sparkSession.sparkContext.broadcast((model, scale, weights))  # bounded by fit_rows
+    scored = docs.select("doc_id", "text").mapInArrow(lambda batches: _scored(*shared.value, batches), "doc_id long, mean double, most double, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("mean").alias("mean_log_ratio"), F.col("most").alias("largest_log_ratio"))
