@@ -19,7 +19,7 @@ from outfall.llm.common import pieces
 from outfall.llm.words import Words, joined, spans_hashed, split_words, sums, windows
 
 #: Labelled documents to fit on, at most.
-FIT_ROWS = 4_000
+FIT_ROWS = 2_000
 #: Share of words on content lines from which a document stays.
 CONTENT_SHARE = 0.5
 _SYMBOL = np.zeros(256, bool)
@@ -170,7 +170,7 @@ def _gradient(crf: Crf, x: np.ndarray, y: np.ndarray, bound: np.ndarray) -> tupl
     return likely, x.T @ (y - chance), d_step
 
 
-def train(x: np.ndarray, y: np.ndarray, bound: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> Crf:
+def train(x: np.ndarray, y: np.ndarray, bound: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> Crf:
     """Gradient ascent with a step size of its own for each weight."""
     crf = Crf(np.zeros(x.shape[1]), np.zeros((2, 2)))
     first, second = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
