@@ -22,7 +22,7 @@ from outfall.llm.words import Words, _LOWER, joined, split_words
 #: Bytes in an n-gram; six fit a long.
 ORDER = 6
 #: Labelled rows to fit on, at most; a larger set of labels is sampled by hash.
-FIT_ROWS = 200_000
+FIT_ROWS = 20_000
 END = 1
 _DISCOUNT = 0.75
 
