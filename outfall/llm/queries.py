@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from outfall.llm.chat import chat_digest
 from outfall.llm.common import table
+from outfall.llm.jaccard import similar_components
 from outfall.llm.lattice import link_vectors
 from outfall.llm.pages import extract
 from outfall.llm.pieces import token_digest
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_lattice_near_dup": lambda spark, sf_dir: link_vectors(table(spark, sf_dir, "embeddings")),
     "op4_line_crf_quality": lambda spark, sf_dir: quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]),
     "op5_sentencepiece_scan": lambda spark, sf_dir: token_digest(table(spark, sf_dir, "documents")),
+    "op6_token_group_join": lambda spark, sf_dir: similar_components(table(spark, sf_dir, "documents")),
     "op7_html_extract": lambda spark, sf_dir: extract(table(spark, sf_dir, "pages")),
     "op8_kneser_ney_toxicity": lambda spark, sf_dir: toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_chat_format": lambda spark, sf_dir: chat_digest(table(spark, sf_dir, "conversations")),
