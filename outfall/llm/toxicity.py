@@ -166,17 +166,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     sample = F.broadcast(labelled_sample(labels, fit_rows).select("doc_id", (F.col("toxic") + 2 * (fold(F.col("doc_id")) - 1)).cast("int").alias("kind")))
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(sample, "doc_id").select("text", "kind")
     counts = rows.mapInArrow(_counted, "gram long, kind int, n long").groupBy("gram").agg(
-        *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(8))).toPandas().sort_values("gram")
-    gram = counts["gram"].to_numpy(np.int64)
-    n = counts[[f"n{k}" for k in range(8)]].to_numpy(float).reshape(-1, 4, 2)
+        *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(8))).toArrow().sort_by("gram")
+    gram = counts["gram"].to_numpy()
+    n = np.column_stack([counts[f"n{k}"].to_numpy().astype(np.int32) for k in range(8)]).reshape(-1, 4, 2)
     without = []
     for left_out in range(4):
         some = np.delete(n, left_out, axis=1).sum(axis=1)
         seen = some.sum(axis=1) > 0
         without.append(fit(gram[seen], some[seen, 1], some[seen, 0]))
     trial = docs.sparkSession.sparkContext.broadcast(without)  # bounded by fit_rows
-    unseen = rows.mapInArrow(lambda batches: _out_of_fold(trial.value, batches), "kind int, mean double, most double").toPandas()
-    x, y = unseen[["mean", "most"]].to_numpy(float), (unseen["kind"] % 2).to_numpy(float)
+    unseen = rows.mapInArrow(lambda batches: _out_of_fold(trial.value, batches), "kind int, mean double, most double").toArrow()
+    x, y = np.column_stack((unseen["mean"].to_numpy(), unseen["most"].to_numpy())), (unseen["kind"].to_numpy() % 2).astype(float)
     scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(2)
     weights = logistic(np.column_stack((x / scale, np.ones(len(x)))), y) if len(x) else np.zeros(3)
     return fit(gram, n[:, :, 1].sum(axis=1), n[:, :, 0].sum(axis=1)), scale, weights
