@@ -6,6 +6,8 @@ from outfall.llm.chat import chat_digest
 from outfall.llm.common import table
 from outfall.llm.jaccard import similar_components
 from outfall.llm.lattice import link_vectors
+from outfall.llm.lines import line_digest
+from outfall.llm.mixing import mix_schedule
 from outfall.llm.pages import extract
 from outfall.llm.pieces import token_digest
 from outfall.llm.quality import quality
@@ -13,7 +15,9 @@ from outfall.llm.sharding import shard_documents
 from outfall.llm.toxicity import toxicity
 
 QUERIES = {
+    "op1_deletion_line_dedup": lambda spark, sf_dir: line_digest(table(spark, sf_dir, "documents")),
     "op2_lattice_near_dup": lambda spark, sf_dir: link_vectors(table(spark, sf_dir, "embeddings")),
+    "op3_temperature_mix": lambda spark, sf_dir: mix_schedule(table(spark, sf_dir, "documents")),
     "op4_line_crf_quality": lambda spark, sf_dir: quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]),
     "op5_sentencepiece_scan": lambda spark, sf_dir: token_digest(table(spark, sf_dir, "documents")),
     "op6_token_group_join": lambda spark, sf_dir: similar_components(table(spark, sf_dir, "documents")),
