@@ -77,7 +77,7 @@ def _assemble(first_mark: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     held = chunk = 0
 
     def row(last: bool) -> tuple:
-        sizes = np.array([len(s) for s, _ in segments])
+        sizes = np.array([len(s) for s, _ in segments], np.int64)
         ends = np.cumsum(sizes)
         change = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int8)
         learned = np.array([m for _, m in segments], bool)
