@@ -89,7 +89,7 @@ def vocabulary(raw: bytes) -> Vocabulary:
     size = 1 << (8 * len(normal) - 1).bit_length()
     keys, score, ids = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int32)
     for i in normal:
-        v = mix(points(names[i]))
+        v = mix(points(names[i]) + np.uint32(1))
         h = int(mix(np.array([(v * powers(len(v))[: len(v)]).sum(dtype=np.uint64)]))[0]) or 1
         slot = (h >> 40) & (size - 1)
         while keys[slot]:
@@ -107,7 +107,7 @@ def longest_paths(v: Vocabulary, cp: np.ndarray, start: np.ndarray, sizes: np.nd
     start: score to begin at a place, NONE if not. sizes: characters of a row. limit: pieces begin before it.
     """
     n, width = cp.shape
-    values = mix(cp)
+    values = mix(cp + np.uint32(1))
     h = np.zeros((n, width), np.uint64)
     slots = []
     power = powers(v.longest + 1)
@@ -170,7 +170,7 @@ def solve_words(v: Vocabulary, cp: np.ndarray, cuts: np.ndarray) -> tuple[np.nda
     if not len(size):
         return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
     within = np.arange(cuts[-1] - cuts[0]) - np.repeat(cuts[:-1] - cuts[0], size)
-    h = mix(np.add.reduceat(mix(cp[cuts[0]:cuts[-1]]) * powers(int(size.max()))[within], cuts[:-1] - cuts[0]) + size.astype(np.uint64))
+    h = mix(np.add.reduceat(mix(cp[cuts[0]:cuts[-1]] + np.uint32(1)) * powers(int(size.max()))[within], cuts[:-1] - cuts[0]) + size.astype(np.uint64))
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     order = np.argsort(size[first], kind="stable")
     tokens, counts, score = [], np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
