@@ -1,8 +1,8 @@
 """N-gram Jaccard join by a token-group matrix (operator 6).
 
-Documents are sets of word shingles; equal sets are one class. Two sets can only reach the threshold if they share a token among their
-first ones in one global order (rare tokens first). Classes that share such tokens are put into groups; the matrix has, for each
-token, the groups that hold it. A class is compared with the groups its first tokens lead to: first with each group's pivot, and only
+Documents are sets of word shingles; equal sets are one class. Two sets can only reach the threshold if they share tokens among their
+first ones in one global order (frequent tokens last). Classes that share such tokens are put into groups; the matrix has, for each
+token, the groups that hold it, and bounds what a class and a group have in common. A class is compared with the groups its first tokens lead to: first with each group's pivot, and only
 where that leaves a member of another component, the group is opened, block by block, if the overlap with the union of the block's tokens
 allows a link at all. Links inside a component are not needed and not listed; none between different components is lost.
 """
@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outfall.llm.common import components, pieces, stored
+from outfall.llm.common import components, pieces, row_key, stored
 from outfall.llm.words import joined, mix, shingles, split_words
 
 SIZE = 5
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
+#: Percent of a set by which its first tokens are more than are needed to share one: similar sets share as many of them (see ``needed``).
+LEAD = 15
 #: Tokens that are sorted behind all others because they are frequent, at most. The order is free; results don't depend on it.
 FREQUENT = 200_000
 #: Documents of one piece of text from which a token is reported as frequent.
@@ -49,35 +51,48 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = np.unique(flat, return_counts=True)
         token, count = token[count >= OFTEN].view(np.int64), count[count >= OFTEN]
         kind = np.repeat([0, 1], [len(n), len(token)]).astype(np.int32)
-        ids = pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(len(token), pa.int64())])
+        ids, rows = (pa.concat_arrays([batch.column(c).cast(pa.int64()), pa.nulls(len(token), pa.int64())]) for c in ("doc_id", "rk"))
         key = pa.array(np.concatenate((sig, token)), mask=np.concatenate((n == 0, np.zeros(len(token), bool))))
-        yield pa.RecordBatch.from_arrays([pa.array(kind), ids, key, pa.array(np.concatenate((n, count)).astype(np.int64))], names=["kind", "doc_id", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), ids, rows, key, pa.array(np.concatenate((n, count)).astype(np.int64))], names=["kind", "doc_id", "rk", "key", "n"])
+
+
+def first_count(n: np.ndarray) -> np.ndarray:
+    """How many first tokens a set emits: all but PERCENT of them, and the lead. Two sets that share PERCENT of the larger share at least the smaller lead."""
+    return np.minimum(n, n + (-n * PERCENT // 100) + np.maximum(1, n * LEAD // 100))
+
+
+def needed(n: str) -> str:
+    """SQL: first tokens that a set of size ``n`` shares with any set similar to it, at least: the lead of the smallest such set."""
+    return f"greatest(1, ((({n} * {PERCENT} + 99) div 100) * {LEAD}) div 100)"
 
 
 def _first_tokens(frequent: tuple[np.ndarray, np.ndarray], buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first tokens of each set, packed by bucket of the token; frequent ones in bucket -1."""
+    """The first tokens of each set, packed by bucket of the token; frequent ones in buckets below zero, by set."""
     known, rank = frequent
     for batch in pieces(batches, "text", _PIECE):
         flat, bound, sig = token_sets(batch.column("text"))
-        n = np.diff(bound)
-        doc = np.repeat(np.arange(len(n)), n)
-        at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-        often = known[at] == flat if len(known) else np.zeros(len(flat), bool)
-        late = np.where(often, rank[at], 0) if len(known) else np.zeros(len(flat), np.int64)
+        _, once = np.unique(sig, return_index=True)  # of equal sets one
+        n = np.diff(bound)[once]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bound[:-1][once], n)
+        flat, sig, doc = flat[at], sig[once], np.repeat(np.arange(len(n)), n)
+        late = np.zeros(len(flat), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            late = np.where(known[at] == flat, rank[at], 0)
         order = np.lexsort((flat, late, doc))
-        place = np.arange(len(flat)) - np.repeat(bound[:-1], n)
-        first = n + (-n * PERCENT // 100) + 1  # n - ceil(n * PERCENT / 100) + 1
-        chosen = order[place < np.repeat(first, n)]
-        pair = np.unique(np.column_stack((flat[chosen], sig[doc[chosen]].view(np.uint64), often[chosen].astype(np.uint64))), axis=0) if len(chosen) else np.zeros((0, 3), np.uint64)
-        bucket = np.where(pair[:, 2] == 1, -1, ((pair[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        chosen = order[place < np.repeat(first_count(n), n)]
+        token, owner, often = flat[chosen], sig[doc[chosen]].view(np.uint64), late[chosen] > 0
+        spread = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        bucket = np.where(often, -1 - spread(owner), spread(token))
         order = np.argsort(bucket, kind="stable")
-        cut = np.flatnonzero(np.diff(bucket[order], prepend=-2))
-        blobs = [np.ascontiguousarray(part[:, :2]).tobytes() for part in np.split(pair[order], cut[1:])] if len(order) else []
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+        cut = np.flatnonzero(np.diff(bucket[order], prepend=-(1 << 40)))
+        pair = np.column_stack((token, owner))[order]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32)), pa.array([np.ascontiguousarray(x).tobytes() for x in np.split(pair, cut[1:])] if len(cut) else [], pa.binary())], names=["bucket", "packed"])
 
 
 def _shared(frame):
-    """(token, sig) of the tokens of a bucket that two sets or more hold."""
+    """(token, sig) of the tokens of a bucket that two sets or more hold, and of all frequent ones."""
     import pandas as pd
 
     pair = np.frombuffer(b"".join(frame["packed"]), np.uint64).reshape(-1, 2)
@@ -86,16 +101,10 @@ def _shared(frame):
     new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
     pair = pair[new]
     same = pair[1:, 0] == pair[:-1, 0]
-    many = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    many = np.concatenate((same, [False])) | np.concatenate(([False], same)) | (frame["bucket"].iloc[0] < 0)
     return pd.DataFrame({"token": pair[many, 0].view(np.int64), "sig": pair[many, 1].view(np.int64)})
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pair = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["token", "sig"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", _PIECE):
         flat, bound, sig = token_sets(batch.column("text"))
@@ -166,32 +175,34 @@ def _labels(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text): the smallest doc_id reachable by links.
+    """doc_id, rk, n_shingles, comp, component_id of each row of ``docs`` (doc_id, text): the smallest doc_id reachable by links.
+
+    rk is the row's content key; comp is the component's own number, null for a row without shingles.
 
     A null or empty text and one without words have no shingles and link with nothing. Equal sets are linked, so repeated rows are. A null doc_id is never
     the smallest unless no other is reachable. A text with fewer than five words is one shingle. Other columns are left out. No documents: no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    survey = stored(texts.mapInArrow(_survey, "kind int, doc_id long, key long, n long"), "survey")
-    found = survey.where("kind = 0").select("doc_id", F.col("key").alias("sig"), "n")
+    texts = docs.select("doc_id", "text", row_key(docs).alias("rk"))
+    survey = stored(texts.mapInArrow(_survey, "kind int, doc_id long, rk long, key long, n long"), "survey")
+    found = survey.where("kind = 0").select("doc_id", "rk", F.col("key").alias("sig"), "n")
     often = survey.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     key = often["key"].to_numpy().view(np.uint64)
     by = np.argsort(key)
     frequent = spark.sparkContext.broadcast((key[by], often["n"].to_numpy()[by]))  # at most FREQUENT tokens
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(64, total * (100 - PERCENT) // 100 // BUCKET)
+    buckets = max(64, total * (100 - PERCENT + LEAD) // 100 // BUCKET)
 
-    packed = stored(texts.mapInArrow(lambda batches: _first_tokens(frequent.value, buckets, batches), "bucket int, packed binary"), "packed")
-    rare = packed.where("bucket >= 0").groupBy("bucket").applyInPandas(_shared, "token long, sig long")
-    common = packed.where("bucket < 0").select("packed").mapInArrow(_unpacked, "token long, sig long").distinct()
-    shared = stored(rare.union(common), "shared")
+    packed = texts.mapInArrow(lambda batches: _first_tokens(frequent.value, buckets, batches), "bucket int, packed binary")
+    shared = stored(packed.groupBy("bucket").applyInPandas(_shared, "token long, sig long"), "shared")
 
-    members = stored(shared.groupBy("sig").agg(F.min("token").alias("g"), F.count(F.lit(1)).alias("held")), "members")
-    matrix = stored(shared.join(members.select("sig", "g"), "sig").select("token", "g").distinct(), "matrix")
-    led = stored(shared.join(matrix, "token").select("sig", "g").distinct(), "led")
+    # A set that shares fewer first tokens than a similar one would has none.
     least = stored(found.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    named = stored(members.join(least, "sig").select("sig", "g", "held", "doc_id", "n"), "named")
+    members = stored(shared.groupBy("sig").agg(F.min("token").alias("g"), F.count(F.lit(1)).alias("held")), "members")
+    named = stored(members.join(least, "sig").where(f"held >= {needed('n')}"), "named")
+    kept = stored(shared.join(named.select("sig", "g", "n"), "sig"), "kept")
+    matrix = stored(kept.select("token", "g").distinct(), "matrix")
+    led = stored(kept.select("token", "sig", "n").join(matrix, "token").groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}").select("sig", "g"), "led")
     wanted = named.select("sig", F.col("doc_id").alias("least"))
     sets = stored(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "sig").mapInArrow(_sets, "sig long, tokens binary").dropDuplicates(["sig"]), "sets")
 
@@ -217,5 +228,18 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     whole = stored(least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("comp")), "whole")
     lowest = stored(whole.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "lowest")
-    facts = stored(whole.join(lowest, "comp").select("sig", "component_id"), "facts")
-    return found.join(facts, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    facts = stored(whole.join(lowest, "comp").select("sig", "comp", "component_id"), "facts")
+    return found.join(facts, "sig", "left").select("doc_id", "rk", F.col("n").alias("n_shingles"), "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest doc_id (null last), then content key; rows without shingles stay.
+
+    Of fully repeated rows (equal doc_id and text) that are chosen, one stays.
+    """
+    rows = stored(similar_components(docs), "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
+    best = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min(first).alias("b")).select("b.doc_id", "b.rk")
+    kept = best.union(rows.where("comp IS NULL").select("doc_id", "rk")).distinct().select(F.col("doc_id").alias("__doc"), F.col("rk").alias("__key"))
+    numbered = docs.withColumn("__rk", row_key(docs)).join(kept, F.expr("__rk = __key AND doc_id <=> __doc"))
+    return numbered.dropDuplicates(["__rk", "__doc"]).select(*docs.columns)

@@ -20,7 +20,7 @@ QUERIES = {
     "op3_temperature_mix": lambda spark, sf_dir: mix_schedule(table(spark, sf_dir, "documents")),
     "op4_line_crf_quality": lambda spark, sf_dir: quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]),
     "op5_sentencepiece_scan": lambda spark, sf_dir: token_digest(table(spark, sf_dir, "documents")),
-    "op6_token_group_join": lambda spark, sf_dir: similar_components(table(spark, sf_dir, "documents")),
+    "op6_token_group_join": lambda spark, sf_dir: similar_components(table(spark, sf_dir, "documents")).drop("rk", "comp"),
     "op7_html_extract": lambda spark, sf_dir: extract(table(spark, sf_dir, "pages")),
     "op8_kneser_ney_toxicity": lambda spark, sf_dir: toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_chat_format": lambda spark, sf_dir: chat_digest(table(spark, sf_dir, "conversations")),
