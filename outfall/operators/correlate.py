@@ -14,7 +14,6 @@ from outfall.session import cut
 ENTROPY_STRONG = 4.5
 ENTROPY_WEAK = 2.5
 CLUSTER_ABOVE = 20
-FLAT_MEMBERS = 65_536  # ours: larger clusters are hashed in two levels
 
 GROUP = ["run_id", "rule_id", "value_hash"]
 
@@ -28,10 +27,26 @@ class Correlation:
 
 
 def glob_regex(pattern: Column) -> Column:
-    """Shell pattern as a whole-string expression; ``*`` also crosses ``/``."""
-    escaped = F.regexp_replace(pattern, r"([\\.^$+{}()|])", r"\\$1")
-    body = F.replace(F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("[!"), F.lit("[^"))
-    return F.concat(F.lit("(?s)^"), body, F.lit("$"))
+    """Shell pattern as a whole-string expression; ``*`` also crosses ``/``.
+
+    The pattern is cut into stars, question marks, closed brackets and single characters. A bracket that does not close is a
+    character; ranges that run backwards hold nothing, so no pattern makes the matching fail.
+    """
+    def quoted(c: Column) -> Column:
+        return F.when(c.rlike(r"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]$"), F.concat(F.lit("\\"), c)).otherwise(c)
+
+    def bracket(part: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(part, r"^\[!?", ""), r"\]$", "")
+        members = F.regexp_extract_all(inner, F.lit(r"([\s\S]-[\s\S]|[\s\S])"), 1)
+        members = F.filter(members, lambda m: (F.length(m) == 1) | (F.substring(m, 1, 1) <= F.substring(m, 3, 1)))
+        one = F.transform(members, lambda m: F.when(F.length(m) == 1, quoted(m)).otherwise(F.concat(quoted(F.substring(m, 1, 1)), F.lit("-"), quoted(F.substring(m, 3, 1)))))
+        other = F.substring(part, 2, 1) == "!"
+        return F.when(F.size(members) == 0, F.when(other, F.lit(".")).otherwise(F.lit("(?!)"))).otherwise(
+            F.concat(F.when(other, F.lit("[^")).otherwise(F.lit("[")), F.array_join(one, ""), F.lit("]")))
+
+    parts = F.regexp_extract_all(pattern, F.lit(r"(\[!?+\]?+[^\]]*\]|[\s\S])"), 1)
+    body = F.transform(parts, lambda x: F.when(x == "*", F.lit(".*")).when(x == "?", F.lit(".")).when(F.length(x) > 1, bracket(x)).otherwise(quoted(x)))
+    return F.concat(F.lit("(?s)^"), F.array_join(body, ""), F.lit("$"))
 
 
 def confidence(base: Column, min_entropy: Column, peak: Column, hits: Column, wide: Column) -> Column:
@@ -92,17 +107,15 @@ def score_groups(groups: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def cluster_rules(findings: DataFrame, above: int = CLUSTER_ABOVE, flat: int = FLAT_MEMBERS) -> DataFrame:
+def cluster_rules(findings: DataFrame, above: int = CLUSTER_ABOVE) -> DataFrame:
     """One row per (run, rule) with more than ``above`` findings.
 
-    The hash runs over the value hashes in id order.  Up to ``flat`` members
-    they are joined directly; beyond that by id prefix first, so no task ever
-    holds an unbounded list.
+    The hash runs over the hashes of id prefixes, each of them over the value
+    hashes in id order: one definition for every size, and no list grows with
+    the cluster by more than one in 65 536 of it.
     """
     sizes = findings.groupBy("run_id", "rule_id").agg(F.count("*").alias("members")).where(F.col("members") > above)
-    members = findings.join(sizes, ["run_id", "rule_id"]).withColumn(
-        "part", F.when(F.col("members") <= flat, F.lit("")).otherwise(F.substring("id", 1, 4))
-    )
+    members = findings.join(sizes, ["run_id", "rule_id"]).withColumn("part", F.substring("id", 1, 4))
     ordered = F.array_sort(F.collect_list(F.struct("id", "value_hash", "value_masked")))
     parts = members.groupBy("run_id", "rule_id", "members", "part").agg(
         ordered.alias("o"),
@@ -112,7 +125,7 @@ def cluster_rules(findings: DataFrame, above: int = CLUSTER_ABOVE, flat: int = F
     )
     text = F.concat_ws(",", F.transform("o", lambda x: x["value_hash"]))
     parts = parts.select(
-        "run_id", "rule_id", "members", "part", F.when(F.col("part") == "", text).otherwise(F.sha2(text, 256)).alias("text"),
+        "run_id", "rule_id", "members", "part", F.sha2(text, 256).alias("text"),
         F.slice("o", 1, 3).alias("top"), "confidence", "anchor", "rule",
     )
     merged = parts.groupBy("run_id", "rule_id", "members").agg(

@@ -81,31 +81,32 @@ def sarif_rule_json(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", "rule_index", F.to_json(rule).alias("json"))
 
 
-def _document(parts: list[tuple[int, DataFrame, list]], head: dict[int, Column]) -> DataFrame:
-    """Order the JSON lines of each run: section, then the section's own keys."""
+def _document(parts: list[tuple[int, DataFrame, list]], head: dict[int, Column], runs: DataFrame | None = None) -> DataFrame:
+    """Order the JSON lines of each run: section, then the section's own keys.  ``runs`` (run_id) get a document also without lines."""
     lines = None
     for section, rows, keys in parts:
         key = F.concat_ws("\x1f", *[k.cast("string") if isinstance(k, Column) else F.col(k).cast("string") for k in keys])
         piece = rows.select("run_id", F.lit(section).alias("section"), key.alias("key"), F.col("json").alias("line"))
         lines = piece if lines is None else lines.unionByName(piece)
-    first = lines.groupBy("run_id", "section").agg(F.min("key").alias("first"))
+    lines = lines.distinct()
+    first = lines.groupBy("run_id", "section").agg(F.min(F.struct("key", "line")).alias("first"))
     marked = lines.join(first, ["run_id", "section"])
-    comma = F.when(F.col("key") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    comma = F.when(F.struct("key", "line") == F.col("first"), F.lit("")).otherwise(F.lit(","))
     body = marked.select("run_id", "section", "key", F.concat(comma, "line").alias("line"))
-    runs = lines.select("run_id").distinct()
+    runs = lines.select("run_id").distinct() if runs is None else lines.select("run_id").union(runs.select("run_id")).distinct()
     fixed = F.array(*[F.struct(F.lit(s).alias("section"), F.lit("").alias("key"), text.alias("line")) for s, text in head.items()])
     return body.unionByName(runs.select("run_id", F.inline(fixed)))
 
 
-def sarif_lines(findings: DataFrame, version: str = "0.1.0") -> DataFrame:
-    """Lines of one SARIF log per run; in (section, key) order they are the document."""
+def sarif_lines(findings: DataFrame, version: str = "0.1.0", runs: DataFrame | None = None) -> DataFrame:
+    """Lines of one SARIF log per run; in (section, key) order they are the document.  ``runs``: also for clean ones."""
     rows = sarif_rows(findings)
     start = F.lit('{"$schema":"%s","version":"2.1.0","runs":[{"tool":{"driver":{"name":"%s","version":"%s","rules":[' % (SARIF_SCHEMA, TOOL, version))
     end = F.concat(F.lit('],"properties":'), F.to_json(F.struct(F.col("run_id").alias("runId"))), F.lit("}]}"))
     rank = F.lpad(T.severity_rank(F.col("severity")).cast("string"), 2, "0")
     parts = [(1, sarif_rule_json(sarif_rule_rows(findings)), [F.lpad(F.col("rule_index").cast("string"), 6, "0")]),
              (3, sarif_result_json(rows), [rank, "rule_id", "fingerprint"])]
-    return _document(parts, {0: start, 2: F.lit(']}},"results":['), 4: end})
+    return _document(parts, {0: start, 2: F.lit(']}},"results":['), 4: end}, runs)
 
 
 def write_documents(lines: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -10,7 +10,7 @@ from outfall.operators import gate as G
 from outfall.operators import match
 from outfall.rules.pack import RulePack
 from outfall.sources.policies import Policy
-from outfall.sources.sinks import write_run
+from outfall.sources.sinks import read_run, write_run
 
 
 def rule_dimension(pack: RulePack, spark) -> DataFrame:
@@ -22,24 +22,37 @@ def scan_to_tables(artifacts: DataFrame, pack: RulePack, base: str, suppressions
     """``artifacts``: run_id, path_in_tree, content.
 
     Evidence is written once and read back, so correlation does not scan the
-    content again for each of its outputs.
+    content again for each of its outputs.  Only the runs of ``artifacts`` are
+    correlated; all of them get a row in ``scanned``, those without findings too.
     """
     spark = artifacts.sparkSession
-    write_run(base, evidence=match.scan(artifacts, pack, ["run_id", "path_in_tree"], retain_plaintext=retain_plaintext))
-    correlate_table(spark.read.parquet(f"{base}/evidence"), pack, base, suppressions)
+    runs = artifacts.select("run_id").distinct()
+    write_run(base, scanned=runs.withColumn("status", F.lit("completed")))
+    evidence = match.scan(artifacts, pack, ["run_id", "path_in_tree"], retain_plaintext=retain_plaintext)
+    write_run(base, runs, evidence=evidence)
+    correlate_table(read_run(spark, base, "evidence", evidence), pack, base, suppressions, runs)
 
 
-def correlate_table(evidence: DataFrame, pack: RulePack, base: str, suppressions: DataFrame | None = None) -> None:
-    result = C.correlate(evidence, rule_dimension(pack, evidence.sparkSession), suppressions)
-    write_run(base, findings=result.findings, locations=result.locations)
+def correlate_table(evidence: DataFrame, pack: RulePack, base: str, suppressions: DataFrame | None = None, runs: DataFrame | None = None) -> None:
+    """Correlate the evidence of ``runs``, or all of it, and replace its findings and locations."""
+    some = evidence if runs is None else evidence.join(runs, "run_id", "left_semi")
+    result = C.correlate(some, rule_dimension(pack, evidence.sparkSession), suppressions)
+    write_run(base, runs, findings=result.findings, locations=result.locations)
 
 
-def gate_new(findings: DataFrame, locations: DataFrame, policies: list[Policy], today: Column) -> G.Gate:
-    """Gate freshly correlated findings: complete runs, no baseline, no waivers."""
+def gate_new(findings: DataFrame, locations: DataFrame, policies: list[Policy], today: Column, runs: DataFrame | None = None,
+             stages: DataFrame | None = None) -> G.Gate:
+    """Gate freshly correlated findings: no baseline, no waivers.
+
+    ``runs`` (run_id, status) has every run to judge, clean ones too; without it those with findings. ``stages`` (run_id, stages)
+    names degraded stages; without it all are complete.
+    """
     spark = findings.sparkSession
     fresh = findings.withColumns({"status": F.lit("open"), "llm_verdict": F.lit(None).cast("string")})
     none = findings.select("run_id", "id").where(F.lit(False))
-    runs = findings.select("run_id").distinct().withColumn("status", F.lit("completed"))
-    stages = spark.createDataFrame([], "run_id string, stages array<string>")
+    if runs is None:
+        runs = findings.select("run_id").distinct().withColumn("status", F.lit("completed"))
+    if stages is None:
+        stages = spark.createDataFrame([], "run_id string, stages array<string>")
     waivers = spark.createDataFrame([], "finding_id string, reason string, owner string, expires date")
     return G.evaluate(runs, G.gate_findings(fresh, locations, none), stages, waivers, policies, today)

@@ -19,9 +19,11 @@ singles AS (SELECT run_id, rule_id, value_hash, substr(sha256(rule_id || chr(31)
    + (CASE WHEN n > 1 THEN 0.05 ELSE 0 END)::DOUBLE + (CASE WHEN wide THEN 0.05 ELSE 0 END)::DOUBLE, 0.05), 0.99), 3) AS confidence,
   value_masked, entropy, path_in_tree AS anchor_path, n FROM grouped JOIN anchors USING (run_id, rule_id, value_hash) JOIN rule_dim USING (rule_id) WHERE {suppress}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, rule_id ORDER BY id) AS k, count(*) OVER (PARTITION BY run_id, rule_id) AS members FROM singles),
-heads AS (SELECT run_id, rule_id, members, sha256('cluster:' || rule_id || ':' || string_agg(value_hash, ',' ORDER BY id)) AS value_hash,
+parts AS (SELECT run_id, rule_id, substr(id, 1, 4) AS part, sha256(string_agg(value_hash, ',' ORDER BY id)) AS text FROM ranked WHERE members > 20 GROUP BY ALL),
+whole AS (SELECT run_id, rule_id, sha256('cluster:' || rule_id || ':' || string_agg(text, ',' ORDER BY part)) AS value_hash FROM parts GROUP BY run_id, rule_id),
+heads AS (SELECT run_id, rule_id, members, any_value(whole.value_hash) AS value_hash,
   string_agg(value_masked, ', ' ORDER BY id) FILTER (WHERE k <= 3) AS samples, max(confidence) AS confidence, arg_min(anchor_path, id) AS anchor_path,
-  arg_min(entropy, id) AS entropy, min(title) AS title, min(category) AS category, min(severity) AS severity FROM ranked WHERE members > 20 GROUP BY run_id, rule_id, members),
+  arg_min(entropy, id) AS entropy, min(title) AS title, min(category) AS category, min(severity) AS severity FROM ranked JOIN whole USING (run_id, rule_id) WHERE members > 20 GROUP BY run_id, rule_id, members),
 clusters AS (SELECT *, substr(sha256(rule_id || chr(31) || value_hash || chr(31) || anchor_path || chr(31) || '0'), 1, 32) AS id FROM heads),
 final AS (SELECT run_id, id, rule_id, value_hash, title, category, severity, confidence, value_masked, entropy FROM ranked WHERE members <= 20
   UNION ALL SELECT run_id, id, rule_id, value_hash, title || ' (' || members || ' distinct values)', category, severity, confidence,
@@ -69,16 +71,16 @@ def _(t):
     return C.cluster_rules(singles(t)).select("run_id", "rule_id", "title", "value_masked")
 
 
-STAGED = """staged AS (SELECT DISTINCT 'rel.zip → f' || (s_suppkey % 100) AS path_in_tree, md5('art' || (s_suppkey % 100)) AS artifact_id FROM supplier WHERE s_acctbal > 1000)"""
+STAGED = """staged AS (SELECT 'rel.zip → f' || (s_suppkey % 100) AS path_in_tree, CASE WHEN max(s_acctbal) > 1000 THEN md5('art' || (s_suppkey % 100)) END AS artifact_id FROM supplier GROUP BY s_suppkey % 100)"""
 
 
 @query("jon_02_evidence_artifact", f"""WITH {STAGED} SELECT run_id, coalesce(artifact_id, 'root') AS artifact_id, artifact_id IS NULL AS defaulted, CAST(count(*) AS BIGINT) AS evidence
 FROM evidence LEFT JOIN staged USING (path_in_tree) GROUP BY ALL""", ("evidence",))
 def _(t):
     """Evidence of a file the tree does not know goes to the root artifact."""
-    supplier = t.table("supplier").where("s_acctbal > 1000")
     number = (F.col("s_suppkey") % 100).cast("string")
-    staged = supplier.select(F.concat(F.lit("rel.zip → f"), number).alias("path_in_tree"), F.md5(F.concat(F.lit("art"), number)).alias("artifact_id")).distinct()
+    known = t.table("supplier").groupBy(number.alias("n")).agg((F.max("s_acctbal") > 1000).alias("known"))
+    staged = known.select(F.concat(F.lit("rel.zip → f"), "n").alias("path_in_tree"), F.when(F.col("known"), F.md5(F.concat(F.lit("art"), "n"))).alias("artifact_id"))
     return attach_artifacts(t.evidence(), staged, F.lit("root")).groupBy("run_id", "artifact_id", "defaulted").agg(F.count("*").alias("evidence"))
 
 

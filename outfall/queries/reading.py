@@ -96,10 +96,10 @@ def _(t):
     return D.retained(stored, places(t)).select("run_id", "path_in_tree")
 
 
-@query("jon_14_identification", """SELECT run_id, path_in_tree, CASE WHEN size_bytes > 20000 THEN 'text' ELSE 'unknown' END AS kind, CASE WHEN size_bytes > 20000 THEN 'text/plain' END AS media_type FROM artifacts""", NODES)
+@query("jon_14_identification", """SELECT run_id, path_in_tree, CASE WHEN size_bytes > 20000 THEN 'text' ELSE 'data' END AS kind, CASE WHEN size_bytes > 20000 THEN 'text/plain' ELSE 'application/octet-stream' END AS media_type FROM artifacts""", NODES)
 def _(t):
     artifacts = t.view("artifacts")
-    found = artifacts.where("size_bytes > 20000").select("run_id", "path_in_tree", F.lit("text").alias("kind"), F.lit("text/plain").alias("media_type"))
+    found = artifacts.select("run_id", "path_in_tree", F.expr("if(size_bytes > 20000, 'text', 'data')").alias("kind"), F.expr("if(size_bytes > 20000, 'text/plain', 'application/octet-stream')").alias("media_type"))
     bare = artifacts.withColumns({"kind": F.lit("unknown"), "media_type": F.lit(None).cast("string")})
     return D.apply_identification(bare, found).select("run_id", "path_in_tree", "kind", "media_type")
 

@@ -126,10 +126,10 @@ def _(t):
     return V.validate_proposals(rows).select("batch_id", "ordinal", "rule_id", "severity", "error")
 
 
-@query("tri_06_status_change", """WITH patches AS (SELECT id, run_id, CASE WHEN severity = 'low' THEN 'accepted_risk' WHEN severity = 'info' THEN 'closed' ELSE 'confirmed' END AS new_status FROM findings WHERE category IN ('cat-0', 'cat-3', 'cat-4'))
+@query("tri_06_status_change", """WITH patches AS (SELECT id, run_id, CASE WHEN severity = 'low' THEN 'accepted_risk' WHEN severity = 'info' THEN 'closed' ELSE 'confirmed' END AS new_status FROM findings)
 SELECT run_id, id, 'finding_status_changed' AS action, status AS old_status, new_status, 'by review' AS note FROM findings JOIN patches USING (run_id, id) WHERE new_status <> 'closed'""", ("findings",))
 def _(t):
     found = t.view("findings")
     new = F.when(F.col("severity") == "low", "accepted_risk").when(F.col("severity") == "info", "closed").otherwise("confirmed")
-    patches = found.where(F.col("category").isin("cat-0", "cat-3", "cat-4")).select("run_id", "id", new.alias("new_status"), F.lit("by review").alias("note"))
+    patches = found.select("run_id", "id", new.alias("new_status"), F.lit("by review").alias("note"))
     return V.status_changes(found, patches)[1]

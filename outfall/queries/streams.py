@@ -72,16 +72,21 @@ def _(t):
     return orphan_sweep(runs, requeue_attempts(audit), F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'"))
 
 
-@query("stm_04_claim_once", "SELECT run_id, arg_min(ts, (ts, event_id)) AS ts, arg_min(event_id, (ts, event_id)) AS event_id, CAST(count(*) AS BIGINT) AS deliveries FROM run_updates WHERE status = 'queued' GROUP BY run_id", U)
+def step():
+    return F.concat("run_id", F.lit(":"), "status")
+
+
+@query("stm_04_claim_once", "SELECT run_id || ':' || status AS run_id, arg_min(ts, (ts, event_id)) AS ts, arg_min(event_id, (ts, event_id)) AS event_id, CAST(count(*) AS BIGINT) AS deliveries FROM run_updates GROUP BY ALL", U)
 def _(t):
-    return PR.claim_once(t.view("run_updates").where("status = 'queued'"))
+    """Each step of a run is claimed once."""
+    return PR.claim_once(t.view("run_updates").withColumn("run_id", step()))
 
 
-@query("stm_04_claim_stream", "SELECT DISTINCT run_id FROM run_updates WHERE status = 'queued'", U)
+@query("stm_04_claim_stream", "SELECT DISTINCT run_id || ':' || status AS run_id FROM run_updates", U)
 def _(t):
     schema = t.table("events").schema
     t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).createOrReplaceTempView("events")
-    claims = t.spark.sql(VIEWS["run_updates"]).where("status = 'queued'").select("run_id", "ts", "event_id")
+    claims = t.spark.sql(VIEWS["run_updates"]).select(step().alias("run_id"), "ts", "event_id")
     return _drain(t, PR.claim_stream(claims, "3650 days"), "claims").select("run_id")
 
 

@@ -208,7 +208,7 @@ def match_report(evidence: DataFrame) -> DataFrame:
 @query("mat_15_recall_report", f"""{SCAN}, planted AS (SELECT path_in_tree, 'stripe-secret-key' AS rule_id, substr(content, 5) AS value FROM texts WHERE content LIKE 'pay sk\\_live\\_%' ESCAPE '\\'
  UNION ALL SELECT path_in_tree, 'github-token', substr(content, 4) FROM texts WHERE content LIKE 'gh ghp\\_%' ESCAPE '\\'
  UNION ALL SELECT path_in_tree, 'private-ip-address', substr(content, 9) FROM texts WHERE content LIKE 'gateway %'),
-found AS (SELECT DISTINCT path_in_tree, rule_id, val AS value FROM kept WHERE rule_id IN ('stripe-secret-key', 'github-token', 'private-ip-address'))
+found AS (SELECT DISTINCT path_in_tree, rule_id, val AS value FROM kept)
 SELECT rule_id, CAST(count(*) FILTER (WHERE p AND f) AS BIGINT) AS true_positive, CAST(count(*) FILTER (WHERE p AND NOT f) AS BIGINT) AS missed,
  CAST(count(*) FILTER (WHERE NOT p AND f) AS BIGINT) AS unplanned FROM (SELECT coalesce(a.rule_id, b.rule_id) AS rule_id, a.value IS NOT NULL AS p, b.value IS NOT NULL AS f
  FROM planted a FULL JOIN found b ON a.path_in_tree = b.path_in_tree AND a.rule_id = b.rule_id AND a.value = b.value) GROUP BY rule_id""", ("texts",))
@@ -221,8 +221,7 @@ def _(t):
         F.regexp_replace("content", "^(pay|gh|gateway) ", "").alias("value"),
     ).where("rule_id IS NOT NULL")
     pack = builtin_pack()
-    found = match.apply_gates(match.raw_matches(t.artifacts(), pack, KEY), pack).where(
-        F.col("rule_id").isin("stripe-secret-key", "github-token", "private-ip-address"))
+    found = match.apply_gates(match.raw_matches(t.artifacts(), pack, KEY), pack)
     return recall_report(planted, found.select("path_in_tree", "rule_id", "value"))
 
 

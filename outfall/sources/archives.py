@@ -43,13 +43,20 @@ def _tar(data: bytes, _name: str) -> Iterator[tuple[str, int, object]]:
                 yield member.name, member.size, lambda m=member: archive.extractfile(m).read()
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The content in pieces: its size is only known at the end, so the reader stops where the budget does."""
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as stream:
+        while piece := stream.read(1 << 20):
+            yield piece
+
+
 def _gzip(data: bytes, name: str) -> Iterator[tuple[str, int, object]]:
     try:
         with tarfile.open(fileobj=io.BytesIO(data)):
             pass
     except tarfile.TarError:
         stem = name.rsplit(".", 1)[0] if "." in name.strip(".") else name
-        yield stem or "decompressed", 0, lambda: gzip.decompress(data)
+        yield stem or "decompressed", 0, lambda: _inflated(data)
         return
     yield from _tar(data, name)
 
@@ -85,6 +92,14 @@ def _expander(max_bytes: int, max_files: int):
                         if files > max_files or total > max_bytes:  # declared sizes stop a bomb early
                             raise ValueError("extraction budget exceeded")
                         data = read()
+                        if not isinstance(data, bytes):
+                            parts = []
+                            for piece in data:
+                                total += len(piece)
+                                if total > max_bytes:
+                                    raise ValueError("extraction budget exceeded")
+                                parts.append(piece)
+                            data = b"".join(parts)
                         out.append((*head, member, row.depth + 1, row.container, data, None))
                         held += len(data)
                         if held > BATCH_BYTES:
@@ -102,7 +117,8 @@ def archive_expand(artifacts: DataFrame, max_depth: int = MAX_DEPTH, max_bytes:
     """Roots and every member below them.
 
     ``artifacts``: path_in_tree, content.  Result: root, path_in_tree, parent_path_in_tree, depth,
-    size_bytes, container, extracted_by, content, error.
+    size_bytes, container, extracted_by, content, error.  A recognised container that has no
+    reader here, or lies at ``max_depth``, keeps its row and says so in ``error``.
     """
     shape = ["root", "path_in_tree", "parent_path_in_tree", "depth", "container", "should_unpack", "extracted_by", "content", "error"]
     none = F.lit(None).cast("string")
@@ -125,6 +141,8 @@ def archive_expand(artifacts: DataFrame, max_depth: int = MAX_DEPTH, max_bytes:
     result = levels[0]
     for more in levels[1:]:
         result = result.unionByName(more)
+    unread = F.when(~F.col("container").isin(*EXPANDABLE), F.concat(F.lit("no reader for "), "container")).when(F.col("depth") >= max_depth, F.lit("nested too deep"))
+    result = result.withColumn("error", F.when(F.col("error").isNull() & F.col("should_unpack") & F.col("container").isNotNull(), unread).otherwise(F.col("error")))
     return result.withColumn("size_bytes", F.octet_length("content").cast("bigint")).drop("should_unpack")
 
 

@@ -9,10 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from outfall.session import ensure_checkpoint_dir
 
 
-def write_run(base: str, **tables: DataFrame) -> None:
-    """Write each table under ``base``, replacing only the runs it contains, so a rerun is idempotent."""
+def write_run(base: str, runs: DataFrame | None = None, **tables: DataFrame) -> None:
+    """Write each table under ``base``, replacing only its runs, so a rerun is idempotent.
+
+    ``runs`` (run_id) names all runs written; what an earlier write left of them goes first, also where they have no rows now.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/{name}")
+        path = f"{base}/{name}"
+        if runs is not None:
+            clear_runs(path, runs)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_run(spark: SparkSession, base: str, name: str, like: DataFrame) -> DataFrame:
+    """A table of ``write_run`` with the types it was written with: run ids stay text."""
+    return spark.read.schema(like.schema).parquet(f"{base}/{name}").select(*like.columns)
+
+
+def clear_runs(path: str, runs: DataFrame) -> None:
+    """Remove the partitions of ``runs`` that exist."""
+    spark = runs.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    there = [(unescape(n.removeprefix("run_id=")), n) for n in names if n.startswith("run_id=")]
+    if there:
+        known = spark.createDataFrame(there, "run_id string, folder string")
+        for row in known.join(runs.select(runs["run_id"].cast("string").alias("run_id")), "run_id", "left_semi").toLocalIterator():
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, row["folder"]), True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
