@@ -198,9 +198,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     # A set that shares fewer first tokens than a similar one would has none.
     least = stored(found.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    members = stored(shared.groupBy("sig").agg(F.min("token").alias("g"), F.count(F.lit(1)).alias("held")), "members")
-    named = stored(members.join(least, "sig").where(f"held >= {needed('n')}"), "named")
-    kept = stored(shared.join(named.select("sig", "g", "n"), "sig"), "kept")
+    held = stored(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("held")), "held")
+    able = stored(held.join(least, "sig").where(f"held >= {needed('n')}"), "able")
+    able_tokens = stored(shared.join(able.select("sig", "n"), "sig"), "tokens")
+    # A set joins the group of its most common token, so that copies of one text gather in few groups.
+    common = stored(able_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "common")
+    homes = stored(able_tokens.join(common, "token").groupBy("sig").agg(F.max(F.struct("df", "token")).alias("x")).select("sig", F.col("x.token").alias("g")), "homes")
+    named = stored(able.join(homes, "sig"), "named")
+    kept = stored(able_tokens.join(homes, "sig"), "kept")
     matrix = stored(kept.select("token", "g").distinct(), "matrix")
     led = stored(kept.select("token", "sig", "n").join(matrix, "token").groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}").select("sig", "g"), "led")
     wanted = named.select("sig", F.col("doc_id").alias("least"))
