@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from outfall.operators.extract import ASCII_RUN, latin1
 from outfall.session import cut
 
-GROUP_LIMIT = 1000  # up to this k Spark limits each group before the shuffle
 SALTS = 64
 
 
@@ -61,14 +60,12 @@ def ranged_bucket(df: DataFrame, order: list[str], partitions: int | None = None
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first ``k`` rows of each group.
 
-    For small ``k`` Spark itself keeps at most ``k`` rows per group and task
-    before the shuffle.  For a larger ``k`` the groups are salted first, so the
-    final task of a group sees at most ``SALTS * k`` rows.
+    Groups are salted first, so the final task of a group sees at most
+    ``SALTS * k`` rows, whatever ``k`` and the group are.
     """
-    if k > GROUP_LIMIT:
-        salted = W.partitionBy(*keys, "_salt").orderBy(*order)
-        spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-        df = spread.withColumn("_rank", F.row_number().over(salted)).where(F.col("_rank") <= k).drop("_rank", "_salt")
+    salted = W.partitionBy(*keys, "_salt").orderBy(*order)
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    df = spread.withColumn("_rank", F.row_number().over(salted)).where(F.col("_rank") <= k).drop("_rank", "_salt")
     final = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(final)).where(F.col("_rank") <= k).drop("_rank")
 

@@ -115,31 +115,31 @@ def _proposal_error(regex: pd.Series, example: pd.Series) -> pd.Series:
         try:
             compiled = re.compile(expression)
         except (re.error, OverflowError):
-            return "pattern does not compile"
+            return "the expression is not valid"
         if compiled.groups < 1:
-            return "pattern has no capture group; the value would be unidentifiable"
+            return "no group captures the value"
         if any(compiled.search(text) for text in BENIGN_TEXTS):
-            return "pattern matches ordinary text; too broad to merge"
+            return "fires on ordinary text"
         if sample and not compiled.search(sample):
-            return "pattern does not match the example it was proposed from"
+            return "misses its own example"
         return None
 
     return pd.Series([check(r, e) for r, e in zip(regex.fillna(""), example.fillna(""), strict=True)], dtype=object)
 
 
 def validate_proposals(proposals: DataFrame) -> DataFrame:
-    """First proposals of each batch with an ``error``: null means usable.
+    """All proposals with an ``error``: null means usable.  Those behind the first ones of a batch say so.
 
     ``proposals``: batch_id, ordinal, rule_id, severity, regex, example.
     """
     order = W.partitionBy("batch_id").orderBy("ordinal")
-    first = proposals.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= MAX_PROPOSALS).drop("_rank")
-    trimmed = first.withColumns({
+    trimmed = proposals.withColumn("_rank", F.row_number().over(order)).withColumns({
         "rule_id": F.when(F.trim(F.coalesce("rule_id", F.lit(""))) == "", "unnamed-proposal").otherwise(F.trim("rule_id")),
         "severity": F.when(F.col("severity").isin(*T.SEVERITY_RANKS), F.col("severity")).otherwise("low")})
     checked = trimmed.withColumn("_error", _proposal_error("regex", "example"))
-    error = F.when(F.coalesce("regex", F.lit("")) == "", "no pattern supplied").otherwise(F.col("_error"))
-    return checked.withColumn("error", error).drop("_error")
+    late = F.lit(f"behind the first {MAX_PROPOSALS} of its batch")
+    error = F.when(F.col("_rank") > MAX_PROPOSALS, late).when(F.coalesce("regex", F.lit("")) == "", "no expression given").otherwise(F.col("_error"))
+    return checked.withColumn("error", error).drop("_error", "_rank")
 
 
 def status_changes(findings: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -75,10 +75,9 @@ class RulePack:
 
 
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A broadcastable dimension; its size is checked here, where it is known."""
-    if len(rows) > MAX_DIMENSION_ROWS:
-        raise RulePackError(f"{len(rows)} rows are too many for a broadcast dimension")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A dimension; it is broadcast if its size, which is known here, allows it."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MAX_DIMENSION_ROWS else df
 
 
 def _java_pattern(expression: str) -> str:

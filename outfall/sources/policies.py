@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ except ImportError:  # pragma: no cover
     yaml = None
 
 UNLIMITED = -1
-MAX_POLICIES = 1000
+MAX_INLINE_POLICIES = 1000
 # Fixed values
 MODES = ("new_only", "all")
 POSTURES = ("fail", "warn", "pass")
@@ -57,9 +58,11 @@ class Policy:
 
 def with_policies(df: DataFrame, policies: list[Policy]) -> DataFrame:
     """Every row under every policy."""
-    if not 0 < len(policies) <= MAX_POLICIES:
-        raise PolicyError(f"expected 1 to {MAX_POLICIES} policies, got {len(policies)}")
-    return df.select("*", F.inline(F.array(*[p.struct() for p in policies])))
+    if not policies:
+        raise PolicyError("no policies")
+    blocks = [policies[i:i + MAX_INLINE_POLICIES] for i in range(0, len(policies), MAX_INLINE_POLICIES)]
+    every = [df.select("*", F.inline(F.array(*[p.struct() for p in block]))) for block in blocks]
+    return reduce(DataFrame.unionAll, every)
 
 
 def _mapping(raw, what: str) -> dict:
