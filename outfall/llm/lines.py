@@ -75,7 +75,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the wanted lines: the words, and a key for the line itself and for each deletion: without the place for insertions, with it for replacements."""
+    """Of the wanted lines: the hash and the words of the line itself (place -1), and the hash of each deletion with its place."""
     for batch in pieces(batches, "text"):
         data, starts = joined(batch.column("text"))
         words, doc, number, first, last = line_words(data, starts)
@@ -89,14 +89,12 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(pick)), n)
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         a, b = first[pick][of], last[pick][of]
-        left = prefix.run(a, a + place)
-        gone = mix(left + prefix.run(a + place + 1, b) * prefix.power[place] + (n[of] - 1).astype(np.uint64))
-        line = np.concatenate((np.arange(len(pick)), of, of))
-        key = np.concatenate((whole[pick].view(np.uint64), gone, mix(gone + (place + 1).astype(np.uint64) * _HALF))).view(np.int64)
-        kind = np.repeat([0, 1, 2], [len(pick), len(of), len(of)]).astype(np.int32)
+        gone = mix(prefix.run(a, a + place) + prefix.run(a + place + 1, b) * prefix.power[place] + (n[of] - 1).astype(np.uint64)).view(np.int64)
+        line = np.concatenate((np.arange(len(pick)), of))
         low = _LOWER[data]
         text = [" ".join(low[words.start[i]:words.end[j - 1]].tobytes().decode("utf-8", "replace").split()) for i, j in zip(first[pick].tolist(), last[pick].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(whole[pick][line]), pa.array(kind), pa.array(key), pa.array(text + [None] * (2 * len(of)), pa.string())], names=["h", "kind", "key", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(whole[pick][line]), pa.array(np.concatenate((np.full(len(pick), -1), place)).astype(np.int32)), pa.array(np.concatenate((whole[pick], gone))),
+                                          pa.array(text + [None] * len(of), pa.string())], names=["h", "place", "key", "words"])
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -127,18 +125,22 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     order = _place("doc_id", "rk", "line")
     kinds = stored(lines.groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("p0", "s0", "p1", "s1"))), "kinds")
     # Lines that share a half with another line.
-    half = kinds.where("p0 <> 0").select("h", "first", F.explode(F.array_distinct(F.array("p0", "s0", "p1", "s1"))).alias("half"))
+    half = kinds.where("p0 <> 0").select("h", F.explode(F.array_distinct(F.array("p0", "s0", "p1", "s1"))).alias("half"))
     busy = stored(half.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("half"), "busy")
-    near = stored(half.join(busy, "half").select("h", "first").distinct(), "near")
+    near = stored(kinds.select("h", "first").join(half.join(busy, "half").select("h").distinct(), "h"), "near")
     asked = near.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.rk").alias("rk")).agg(F.collect_list("first.line").alias("lines"))  # lines of one document
     chosen = rows.alias("r").join(asked.alias("a"), F.expr("r.rk = a.rk AND r.doc_id <=> a.doc_id")).select("r.text", "a.lines")
-    variants = stored(chosen.mapInArrow(_variants, "h long, kind int, key long, words string").join(near, "h"), "variants")
-    # Of each key the earliest line that is it (0), that has a word deleted anywhere (1), or at the same place (2).
-    earliest = [F.min(F.when(F.col("kind") == k, F.struct("first", "h"))).alias(f"e{k}") for k in range(3)]
-    small = stored(variants.groupBy("key").agg(*earliest, F.count(F.lit(1)).alias("m")).where("m > 1 AND (e2 IS NOT NULL OR (e0 IS NOT NULL AND e1 IS NOT NULL))").drop("m"), "small")
-    met = variants.join(small, "key").withColumn("e", F.expr("CASE kind WHEN 0 THEN e1 WHEN 1 THEN e0 ELSE e2 END"))
-    pairs = met.where("e.first < first AND e.h <> h").selectExpr("h", "e.h AS other").distinct()
-    words = stored(variants.where("kind = 0").select("h", "words").dropDuplicates(["h"]), "words")
+    variants = stored(chosen.mapInArrow(_variants, "h long, place int, key long, words string"), "variants")
+    words = stored(variants.where("place < 0").select("h", "words").dropDuplicates(["h"]), "words")
+    twice = stored(variants.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "twice")
+    hits = stored(variants.select("h", "place", "key").join(twice, "key").join(near, "h"), "hits")
+    # The earliest line that is this variant, that has it with a word deleted, and with one deleted at the same place.
+    own = F.struct("first", "h")
+    by_key = stored(hits.groupBy("key").agg(F.min(F.when(F.col("place") < 0, own)).alias("e0"), F.min(F.when(F.col("place") >= 0, own)).alias("e1")), "by_key")
+    by_place = stored(hits.where("place >= 0").groupBy("key", "place").agg(F.min(own).alias("e")), "by_place")
+    added = hits.join(by_key, "key").withColumn("e", F.expr("CASE WHEN place < 0 THEN e1 ELSE e0 END")).select("h", "first", "e")
+    replaced = hits.join(by_place, ["key", "place"]).select("h", "first", "e")
+    pairs = added.union(replaced).where("e.first < first AND e.h <> h").selectExpr("h", "e.h AS other").distinct()
     with_words = pairs.join(words.withColumnRenamed("words", "wa"), "h").join(words.select(F.col("h").alias("other"), F.col("words").alias("wb")), "other")
     close = stored(with_words.select("h", "wa", "wb").mapInArrow(_verified, "h long").distinct(), "close")
     repeats = lines.select("doc_id", "rk", "line", "h").join(kinds.where("n > 1").select("h", "first"), "h").where(order != F.col("first")).select("doc_id", "rk", "line", F.lit(True).alias("exact"))
