@@ -92,7 +92,7 @@ def _first_tokens(frequent: tuple[np.ndarray, np.ndarray], buckets: int, batches
 
 
 def _shared(frame):
-    """(token, sig) of the tokens of a bucket that two sets or more hold, and of all frequent ones."""
+    """(token, sig, df) of the tokens of a bucket that two sets or more hold, and of all frequent ones, whose df is that of the bucket."""
     import pandas as pd
 
     pair = np.frombuffer(b"".join(frame["packed"]), np.uint64).reshape(-1, 2)
@@ -100,9 +100,11 @@ def _shared(frame):
     new = np.ones(len(pair), bool)
     new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
     pair = pair[new]
-    same = pair[1:, 0] == pair[:-1, 0]
-    many = np.concatenate((same, [False])) | np.concatenate(([False], same)) | (frame["bucket"].iloc[0] < 0)
-    return pd.DataFrame({"token": pair[many, 0].view(np.int64), "sig": pair[many, 1].view(np.int64)})
+    begin = np.flatnonzero(np.concatenate(([True], pair[1:, 0] != pair[:-1, 0])))
+    df = np.repeat(np.diff(np.append(begin, len(pair))), np.diff(np.append(begin, len(pair))))
+    often = bool(frame["bucket"].iloc[0] < 0)
+    many = (df > 1) | often
+    return pd.DataFrame({"token": pair[many, 0].view(np.int64), "sig": pair[many, 1].view(np.int64), "df": np.full(int(many.sum()), 1 << 30) if often else df[many]})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,18 +196,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
     buckets = max(64, total * (100 - PERCENT + LEAD) // 100 // BUCKET)
 
     packed = texts.mapInArrow(lambda batches: _first_tokens(frequent.value, buckets, batches), "bucket int, packed binary")
-    shared = stored(packed.groupBy("bucket").applyInPandas(_shared, "token long, sig long"), "shared")
+    shared = stored(packed.groupBy("bucket").applyInPandas(_shared, "token long, sig long, df int"), "shared")
 
     # A set that shares fewer first tokens than a similar one would has none.
     least = stored(found.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    held = stored(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("held")), "held")
-    able = stored(held.join(least, "sig").where(f"held >= {needed('n')}"), "able")
-    able_tokens = stored(shared.join(able.select("sig", "n"), "sig"), "tokens")
-    # A set joins the group of its most common token, so that copies of one text gather in few groups.
-    common = stored(able_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "common")
-    homes = stored(able_tokens.join(common, "token").groupBy("sig").agg(F.max(F.struct("df", "token")).alias("x")).select("sig", F.col("x.token").alias("g")), "homes")
-    named = stored(able.join(homes, "sig"), "named")
-    kept = stored(able_tokens.join(homes, "sig"), "kept")
+    # A set joins the group of its most common token (frequent ones before all others), so that copies of one text gather in few groups.
+    members = shared.groupBy("sig").agg(F.max(F.struct("df", "token")).alias("x"), F.count(F.lit(1)).alias("held")).select("sig", F.col("x.token").alias("g"), "held")
+    named = stored(members.join(least, "sig").where(f"held >= {needed('n')}"), "named")
+    kept = stored(shared.select("token", "sig").join(named.select("sig", "g", "n"), "sig"), "kept")
     matrix = stored(kept.select("token", "g").distinct(), "matrix")
     led = stored(kept.select("token", "sig", "n").join(matrix, "token").groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}").select("sig", "g"), "led")
     wanted = named.select("sig", F.col("doc_id").alias("least"))
