@@ -32,7 +32,7 @@ NONE = -(1 << 60)
 #: Fixed value: how much worse than the worst piece an unknown character is.
 UNKNOWN_PENALTY = 10
 _SCALE = 1000
-_CELLS = 200_000
+_CELLS = 100_000
 
 
 @dataclass
@@ -349,7 +349,7 @@ def _chained(frame):
 
 def _encoded(raw: bytes, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     v = vocabulary(raw)
-    for batch in row_pieces(batches, "text", 2 << 20):
+    for batch in row_pieces(batches, "text"):
         flat, bound = encode_texts(v, batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(flat, pa.int32()))], names=[*keep, "ids"])
 
@@ -384,7 +384,7 @@ def _digested(raw: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     v = vocabulary(raw)
     is_byte = np.zeros(len(v.flat_at) - 1, bool)
     is_byte[v.byte] = True
-    for batch in row_pieces(batches, "text", 2 << 20):
+    for batch in row_pieces(batches, "text"):
         column = batch.column("ids")
         bound, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
         flat, bound = flat[bound[0]:bound[-1]], bound - bound[0]
