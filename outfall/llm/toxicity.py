@@ -4,6 +4,10 @@ Two models of the bytes inside words, one of toxic and one of ordinary rows, sha
 class, everything below are continuation counts of both. Log-likelihoods are compared normalised by length, for the whole
 text and for its most telling expression (word), because a few expressions in a long text decide. A logistic curve
 fitted on rows that the counts have not seen turns both into a score.
+
+All training rows are counted, and the n-gram types of all documents stand behind the shared orders. Counts, continuation counts and
+log-ratios are tables; texts are scored block by block, each block joined to the ratios of the n-grams that it has. Only the
+three numbers of the curve are fitted on a sample.
 """
 
 from __future__ import annotations
@@ -14,15 +18,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from outfall.llm.common import pieces
+from outfall.llm.common import pieces, stored
 from outfall.llm.words import Words, _LOWER, joined, split_words
 
 #: Bytes in an n-gram; six fit a long.
 ORDER = 6
-#: Labelled rows to fit on, at most; a larger set of labels is sampled by hash.
+#: Labelled rows to fit the logistic curve on, at most about; a larger set of labels is sampled by hash. Counts are of all rows.
 FIT_ROWS = 20_000
+#: Bytes of text in a block that is scored together, about.
+BLOCK = 16 << 20
 END = 1
 _DISCOUNT = 0.75
 
@@ -62,20 +69,6 @@ class Model:
     context: np.ndarray
     context_ratio: np.ndarray
 
-    def ratio(self, packed: np.ndarray) -> np.ndarray:
-        out, known = _found(self.gram, self.gram_ratio, packed)
-        rest = np.flatnonzero(~known)
-        out[rest] = _found(self.context, self.context_ratio, packed[rest] >> 8)[0]
-        return out
-
-
-def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    known = keys[at] == wanted
-    return np.where(known, values[at], 0.0), known
-
 
 def _grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     unique, inverse = np.unique(keys, return_inverse=True)
@@ -108,24 +101,6 @@ def fit(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     return Model(gram, logs[0] - logs[1], known, unseen[0] - unseen[1]) if len(gram) else Model(gram, gram.astype(float), gram, gram.astype(float))
 
 
-def features(model: Model, column: pa.Array) -> np.ndarray:
-    """Of each text: the length-normalised log-ratio of all its bytes, and the largest of a word. No words: zeros."""
-    data, starts = joined(column)
-    data = _LOWER[data]
-    words = split_words(data, starts)
-    out = np.zeros((len(starts) - 1, 2))
-    if len(words.hash):
-        first, inverse, size = distinct_words(data, words)
-        ratio = model.ratio(grams(data, words.start[first], size))
-        each = np.add.reduceat(ratio, np.cumsum(size + 1) - size - 1)
-        has = np.flatnonzero(np.diff(words.first))
-        begin = words.first[:-1][has]
-        lengths = np.add.reduceat((size + 1)[inverse], begin)
-        out[has, 0] = np.add.reduceat(each[inverse], begin) / lengths
-        out[has, 1] = np.maximum.reduceat((each / (size + 1))[inverse], begin)
-    return out
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", 4 << 20):
         data, starts = joined(batch.column("text"))
@@ -142,6 +117,117 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.full(len(unique), k, np.int32)), pa.array(total.astype(np.int64))], names=["gram", "kind", "n"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of about BLOCK bytes as one row: their ids and kinds, their distinct words, and for each text the numbers of its words and how often it has them."""
+    for batch in pieces(batches, "text", BLOCK):
+        data, starts = joined(batch.column("text"))
+        data = _LOWER[data]
+        words = split_words(data, starts)
+        first, inverse, size = distinct_words(data, words)
+        pairs, n = np.unique(words.doc * max(1, len(first)) + inverse, return_counts=True)
+        doc, word = np.divmod(pairs, max(1, len(first)))
+        ends = np.concatenate(([0], np.cumsum(size)))
+        flat = data[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(words.start[first], size)]
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        yield pa.RecordBatch.from_arrays([one(batch.column("doc_id").cast(pa.int64())), one(batch.column("kind").cast(pa.int32())), one(pa.array(np.searchsorted(doc, np.arange(len(starts))), pa.int32())),
+                                          one(pa.array(word, pa.int32())), one(pa.array(n, pa.int32())), pa.array([flat.tobytes()], pa.binary()), one(pa.array(size, pa.int32()))], names=_BLOCK_FIELDS)
+
+
+_BLOCK_FIELDS = ["doc", "kind", "bound", "word", "n", "flat", "size"]
+_BLOCK_ROW = "doc array<bigint>, kind array<int>, bound array<int>, word array<int>, n array<int>, flat binary, size array<int>"
+
+
+def _block_grams(flat: bytes, size: np.ndarray) -> np.ndarray:
+    return grams(np.frombuffer(flat, np.uint8), np.cumsum(size) - size, size)
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, flat, size in zip(batch.column("block").to_pylist(), batch.column("flat"), batch.column("size"), strict=True):
+            unique = np.unique(_block_grams(flat.as_py(), size.values.to_numpy().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), block)), pa.array(unique)], names=["block", "gram"])
+
+
+def stored_blocks(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, kind, text. A block gets its number where it is stored."""
+    return stored(rows.select("doc_id", "kind", "text").mapInArrow(_blocks, _BLOCK_ROW).withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def gram_rows(blocks: DataFrame) -> DataFrame:
+    """(block, gram): the distinct n-grams of each block."""
+    return blocks.select("block", "flat", "size").mapInArrow(_gram_rows, "block long, gram long")
+
+
+def _mask(order: int) -> Column:
+    return F.lit((1 << (8 * order)) - 1).cast("long")
+
+
+def backoff_table(types: DataFrame) -> DataFrame:
+    """(suffix, below): ``shared_backoff`` by aggregation, for the n-gram types (gram) of a table without repeats. A context has at most 256 successors."""
+    level, upper = {}, types.select("gram")
+    for order in range(ORDER - 1, 0, -1):
+        level[order] = upper = stored(upper.groupBy(F.col("gram").bitwiseAND(_mask(order)).alias("gram")).agg(F.count(F.lit(1)).alias("continued")), f"order-{order}")
+    lower = None
+    for order in range(1, ORDER):
+        same = W.partitionBy(F.shiftright("gram", 8))
+        now = level[order].select("gram", "continued", F.sum("continued").over(same).alias("total"), F.count(F.lit(1)).over(same).alias("kinds"))
+        if lower is None:
+            now = now.withColumn("below", F.lit(1 / 256))
+        else:
+            now = now.withColumn("suffix", F.col("gram").bitwiseAND(_mask(order - 1))).join(lower, "suffix")
+        lower = now.select(F.col("gram").alias("suffix"), ((F.greatest(F.col("continued") - _DISCOUNT, F.lit(0.0)) + _DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")).alias("below"))
+    return lower
+
+
+def ratio_table(counts: DataFrame) -> DataFrame:
+    """Log-ratio of each n-gram type: r0 to r3 of the models without a fold, r4 of the model of all.
+
+    counts: gram, n0 to n7 (fold x 2 + class), zeros for types that only texts without a label have; no repeats.
+    """
+    same = W.partitionBy(F.shiftright("gram", 8))
+    sets = [[f for f in range(4) if f != m] for m in range(5)]
+    some = counts.select("gram", *(sum((F.col(f"n{2 * f + c}") for f in folds), F.lit(0)).alias(f"c{m}{c}") for m, folds in enumerate(sets) for c in (0, 1)))
+    names = [f"{m}{c}" for m in range(5) for c in (0, 1)]
+    some = some.select("gram", *(f"c{x}" for x in names), *(F.sum(f"c{x}").over(same).alias(f"t{x}") for x in names), *(F.sum((F.col(f"c{x}") > 0).cast("long")).over(same).alias(f"k{x}") for x in names))
+    some = some.withColumn("suffix", F.col("gram").bitwiseAND(_mask(ORDER - 1))).join(backoff_table(counts), "suffix")
+
+    def log(x: str) -> Column:
+        total = F.col(f"t{x}")
+        weight = F.when(total > 0, _DISCOUNT * F.col(f"k{x}") / F.greatest(total, F.lit(1))).otherwise(F.lit(1.0))
+        return F.log(F.greatest(F.col(f"c{x}") - _DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1)) + weight * F.col("below"))
+
+    return some.select("gram", *((log(f"{m}1") - log(f"{m}0")).alias(f"r{m}") for m in range(5)))
+
+
+def _block_features(models: int):
+    def of_block(found: pa.Table, texts: pa.Table) -> pa.Table:
+        """Of each text of a block: the length-normalised log-ratio of all its bytes, and the largest of a word. No words: zeros."""
+        row = {c: texts.column(c).combine_chunks() for c in texts.column_names}
+        doc, kind, bound, word, n, size = (row[c].flatten() for c in ("doc", "kind", "bound", "word", "n", "size"))
+        bound, word, n, size = (x.to_numpy().astype(np.int64) for x in (bound, word, n, size))
+        out = np.zeros((len(doc), 2))
+        if len(word):
+            packed, order = _block_grams(row["flat"][0].as_py(), size), np.argsort(found.column("gram").to_numpy())
+            keys = found.column("gram").to_numpy()[order]
+            at, starts, has = np.searchsorted(keys, packed), np.cumsum(size + 1) - size - 1, np.flatnonzero(np.diff(bound))
+            lengths = np.add.reduceat((size + 1)[word] * n, bound[:-1][has])
+            model = (kind.to_numpy() // 2)[has] if models > 1 else np.zeros(len(has), np.int64)
+            for m in range(models):
+                each = np.add.reduceat(found.column(f"r{m}" if models > 1 else "r4").to_numpy()[order][at], starts)
+                mean, most = np.add.reduceat(each[word] * n, bound[:-1][has]) / lengths, np.maximum.reduceat((each / (size + 1))[word], bound[:-1][has])
+                mine = model == m
+                out[has[mine], 0], out[has[mine], 1] = mean[mine], most[mine]
+        return pa.table([doc, kind, pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc_id", "kind", "mean", "most"])
+    return of_block
+
+
+def block_features(blocks: DataFrame, ratios: DataFrame, models: int) -> DataFrame:
+    """doc_id, kind, mean, most of each text. models: 1 for the model of all rows, 4 for the one without the fold of a row's kind."""
+    columns = [f"r{m}" for m in range(models)] if models > 1 else ["r4"]
+    found = gram_rows(blocks).join(ratios.select("gram", *columns), "gram")
+    return found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_block_features(models), "doc_id long, kind int, mean double, most double")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; the last column of x is ones."""
     w = np.zeros(x.shape[1])
@@ -154,48 +240,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
-def labelled_sample(labels: DataFrame, fit_rows: int) -> DataFrame:
-    """(doc_id, toxic) of training rows, at most about ``fit_rows``, chosen by hash; of repeated labels the largest."""
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, kind) of all training rows; kind: fold x 2 + class; of repeated labels the largest."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return usable.select("doc_id", (F.col("toxic") + 2 * (fold(F.col("doc_id")) - 1)).cast("int").alias("kind"))
+
+
+def train(docs: DataFrame, labels: DataFrame, blocks: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The stored log-ratios of all training rows; scale and weights of the curve, fitted on rows scored by a model without their fold."""
+    usable = stored(usable_labels(labels), "labels")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(usable, "doc_id")
+    counts = rows.select("text", "kind").mapInArrow(_counted, "gram long, kind int, n long")
+    types = gram_rows(blocks).select("gram", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("n"))
+    counts = stored(counts.union(types).groupBy("gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(8))), "grams")
+    ratios = stored(ratio_table(counts), "ratios")
     share = min(1.0, fit_rows / max(1, usable.count()))
-    return usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Model, np.ndarray, np.ndarray]:
-    """The model of all training rows; scale and weights of the curve, fitted on rows scored by a model without their fold."""
-    sample = F.broadcast(labelled_sample(labels, fit_rows).select("doc_id", (F.col("toxic") + 2 * (fold(F.col("doc_id")) - 1)).cast("int").alias("kind")))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(sample, "doc_id").select("text", "kind")
-    counts = rows.mapInArrow(_counted, "gram long, kind int, n long").groupBy("gram").agg(
-        *(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(8))).toArrow().sort_by("gram")
-    gram = counts["gram"].to_numpy()
-    n = np.column_stack([counts[f"n{k}"].to_numpy().astype(np.int32) for k in range(8)]).reshape(-1, 4, 2)
-    without = []
-    for left_out in range(4):
-        some = np.delete(n, left_out, axis=1).sum(axis=1)
-        seen = some.sum(axis=1) > 0
-        without.append(fit(gram[seen], some[seen, 1], some[seen, 0]))
-    trial = docs.sparkSession.sparkContext.broadcast(without)  # bounded by fit_rows
-    unseen = rows.mapInArrow(lambda batches: _out_of_fold(trial.value, batches), "kind int, mean double, most double").toArrow()
+    trial = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    unseen = block_features(stored_blocks(trial), ratios, 4).select("kind", "mean", "most").toArrow()  # bounded by fit_rows
     x, y = np.column_stack((unseen["mean"].to_numpy(), unseen["most"].to_numpy())), (unseen["kind"].to_numpy() % 2).astype(float)
     scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(2)
     weights = logistic(np.column_stack((x / scale, np.ones(len(x)))), y) if len(x) else np.zeros(3)
-    return fit(gram, n[:, :, 1].sum(axis=1), n[:, :, 0].sum(axis=1)), scale, weights
-
-
-def _out_of_fold(models: list[Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 4 << 20):
-        kind = batch.column("kind").to_numpy()
-        for left_out in np.unique(kind // 2):
-            at = np.flatnonzero(kind // 2 == left_out)
-            found = features(models[left_out], batch.column("text").take(pa.array(at)))
-            yield pa.RecordBatch.from_arrays([pa.array(kind[at]), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["kind", "mean", "most"])
-
-
-def _scored(model: Model, scale: np.ndarray, weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 4 << 20):
-        found = features(model, batch.column("text"))
-        score = 1 / (1 + np.exp(-np.clip(found / scale @ weights[:2] + weights[2], -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(score)], names=["doc_id", "mean", "most", "score"])
+    return ratios, scale, weights
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -204,8 +269,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     Labels of rows whose crc32(doc_id) mod 5 is 0 are not used. A null or empty text scores what no evidence scores. Without
     labels every score is 0.5. Repeated rows score alike; a null doc_id is not held out; other columns are left out. No documents: no rows.
     """
-    model, scale, weights = train(docs, labels, fit_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((model, scale, weights))  # bounded by fit_rows
-    scored = docs.select("doc_id", "text").mapInArrow(lambda batches: _scored(*shared.value, batches), "doc_id long, mean double, most double, score double")
+    blocks = stored_blocks(docs.select("doc_id", F.lit(-1).alias("kind"), "text"))
+    ratios, scale, weights = train(docs, labels, blocks, fit_rows)
+    a, b, c = (float(w) for w in (weights[0] / scale[0], weights[1] / scale[1], weights[2]))
+    x = F.col("mean") * a + F.col("most") * b + c
+    scored = block_features(blocks, ratios, 1).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("mean").alias("mean_log_ratio"), F.col("most").alias("largest_log_ratio"))

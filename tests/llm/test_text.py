@@ -174,6 +174,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_counts_are_of_all_rows_whatever_the_curve_is_fitted_on(spark):
+    docs, labels = _train_rows(spark)
+    ratios = [{(r["doc_id"], r["mean_log_ratio"], r["largest_log_ratio"]) for r in toxicity.toxicity(docs, labels, n).collect()} for n in (60, 20_000)]
+    assert ratios[0] == ratios[1]
+
+
+def test_ratios_match_the_arrays(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(300)]
+    size = np.array([len(w) for w in words])
+    gram = np.unique(toxicity.grams(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum(size) - size, size))
+    n = rng.integers(0, 4, (len(gram), 8)) * (rng.random((len(gram), 1)) < 0.7)  # types without a label have no counts
+    counts = spark.createDataFrame([(g, *r) for g, r in zip(gram.tolist(), n.tolist(), strict=True)], "gram long, " + ", ".join(f"n{k} long" for k in range(8)))
+    got = {r["gram"]: r for r in toxicity.ratio_table(counts).collect()}
+    assert len(got) == len(gram)
+    for m in range(5):
+        some = [2 * f for f in range(4) if f != m]
+        model = toxicity.fit(gram, n[:, [k + 1 for k in some]].sum(axis=1).astype(float), n[:, some].sum(axis=1).astype(float))
+        assert np.allclose([got[g][f"r{m}"] for g in gram.tolist()], model.gram_ratio)
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abc"), rng.integers(1, 7))) for _ in range(200)]
