@@ -15,7 +15,7 @@ from outfall.llm.common import stored, table
 from outfall.llm.jaccard import keep_one
 from outfall.llm.lines import dedup_lines
 from outfall.llm.mixing import mixed
-from outfall.llm.pieces import encode
+from outfall.llm.pieces import encode_merges
 from outfall.llm.quality import quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text."""
-    ids = encode(docs, ["doc_id", "lang", "source", "n_chars"])
+    ids = encode_merges(docs, ["doc_id", "lang", "source", "n_chars"])
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join),
     ("mixing sources to target weights", mixing), ("SentencePiece encoding", sentencepiece),
 ]
-#: No SQL: the random field and the longest paths are not expressible.
+#: No SQL: the random field and the merges are not expressible.
 ORACLE_SQL: str | None = None
 
 

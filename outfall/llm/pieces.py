@@ -6,11 +6,16 @@ there are as many states as a piece has characters). A text longer than a chunk
 a document's matrices are combined, and every row is traced back on its own between the boundary states it is given. A shorter text is one
 stretch. Inside a stretch, paths meet wherever no piece can straddle (before a space that follows another character), so equal words are solved
 once, many at a time. Scores are integers, so the result does not depend on where texts are cut. Ties: the longest last piece.
+
+That is how a unigram model reads. The shipped model is one of merges (BPE): its scores are ranks, and ``encode_merges`` gives its own ids:
+in each word the adjacent pair of the best rank is merged until none is a piece. No piece straddles a word, so a long
+text is cut between words and its parts are encoded apart.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,6 +38,9 @@ NONE = -(1 << 60)
 UNKNOWN_PENALTY = 10
 _SCALE = 1000
 _CELLS = 100_000
+#: Characters of a word from which merges are taken from a heap.
+LONG_WORD = 64
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @dataclass
@@ -151,7 +159,11 @@ def trace(v: Vocabulary, cp: np.ndarray, back: np.ndarray, slots: np.ndarray, en
         token[live, begin] = np.where(slot >= 0, v.id[slot], cp[live, begin].astype(np.int64) + (1 << 32))
         at[live] = begin
     row, place = np.nonzero(token >= 0)
-    flat = token[row, place]
+    return *spelled(v, row, token[row, place], n), at
+
+
+def spelled(v: Vocabulary, row: np.ndarray, flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of n rows, flat with bounds; an unknown character (its code + 2**32) becomes bytes."""
     unknown = np.flatnonzero(flat >> 32)
     size = np.ones(len(flat), np.int64)
     code = flat[unknown] & 0xFFFFFFFF
@@ -161,7 +173,7 @@ def trace(v: Vocabulary, cp: np.ndarray, back: np.ndarray, slots: np.ndarray, en
     if len(unknown):
         spread = b"".join(chr(c).encode("utf-8", "surrogatepass") for c in code.tolist())
         out[np.repeat(flat >> 32 > 0, size)] = v.byte[np.frombuffer(spread, np.uint8)]
-    return out.astype(np.int32), bound, at
+    return out.astype(np.int32), bound
 
 
 def solve_words(v: Vocabulary, cp: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,6 +225,134 @@ def encode_texts(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     return flat, at[np.searchsorted(cuts, bound)]
 
 
+class _Spans:
+    """Hashes of any spans of the rows of ``cp``, from sums up to each place."""
+
+    def __init__(self, v: Vocabulary, cp: np.ndarray):
+        width = cp.shape[1]
+        self.v, self.sums = v, np.zeros((len(cp), width + 1), np.uint64)
+        np.cumsum(mix(cp + np.uint32(1)) * powers(width + 1)[:width], axis=1, out=self.sums[:, 1:])
+        self.back = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(width, _INVERSE))))
+
+    def slots(self, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = mix((self.sums[row, b] - self.sums[row, a]) * self.back[a])
+        h[h == 0] = 1
+        return self.v.find(h)
+
+    def score(self, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        slot = self.slots(row, a, b)
+        return np.where(slot >= 0, self.v.score[slot], NONE)
+
+
+def merges(spans: _Spans, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of each piece of rows of n characters: the pair of the best score is merged first, of equal ones the left."""
+    width = spans.sums.shape[1] - 1
+    place = np.arange(width)
+    alive = place[None, :] < n[:, None]
+    end, before = np.repeat(place[None, :] + 1, len(n), axis=0), np.repeat(place[None, :] - 1, len(n), axis=0)
+    gain = np.full((len(n), width), NONE)
+    row, a = np.nonzero(place[None, :] + 1 < n[:, None])
+    gain[row, a] = spans.score(row, a, a + 2)
+    live = np.arange(len(n))
+    while len(live):
+        at = gain[live].argmax(axis=1)
+        more = gain[live, at] > NONE
+        live, at = live[more], at[more]
+        middle = end[live, at]
+        stop = end[live, middle]
+        end[live, at], alive[live, middle], gain[live, middle], gain[live, at] = stop, False, NONE, NONE
+        right = np.flatnonzero(stop < n[live])
+        row, a, b = live[right], at[right], stop[right]
+        before[row, b] = a
+        gain[row, a] = spans.score(row, a, end[row, b])
+        left = np.flatnonzero(at > 0)
+        row = live[left]
+        a = before[row, at[left]]
+        gain[row, a] = spans.score(row, a, stop[left])
+    row, a = np.nonzero(alive)
+    return row, a, end[row, a]
+
+
+def merges_of_long_word(v: Vocabulary, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each piece, as ``merges`` has them, from a heap of pairs."""
+    spans, n = _Spans(v, word[None]), len(word)
+    table = [spans.score(np.zeros(n - k + 1, np.int64), np.arange(n - k + 1), np.arange(k, n + 1)).tolist() for k in range(2, min(v.longest, n) + 1)]
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap: list[tuple[int, int, int]] = []
+
+    def push(a: int, b: int) -> None:
+        if b - a <= v.longest and (score := table[b - a - 2][a]) > NONE:
+            heapq.heappush(heap, (-score, a, b))
+
+    for a in range(n - 1):
+        push(a, a + 2)
+    while heap:
+        _, a, b = heapq.heappop(heap)
+        middle = end[a]
+        if not alive[a] or middle >= b or end[middle] != b:
+            continue
+        end[a], alive[middle] = b, False
+        if b < n:
+            before[b] = a
+            push(a, end[b])
+        if a:
+            push(before[a], b)
+    begin = np.flatnonzero(alive)
+    return begin, np.array(end)[begin]
+
+
+def merge_words(v: Vocabulary, cp: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The model's tokens of the words cp[cuts[i]:cuts[i+1]], flat with bounds. Equal words are merged once."""
+    size = np.diff(cuts)
+    if not len(size):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    within = np.arange(cuts[-1] - cuts[0]) - np.repeat(cuts[:-1] - cuts[0], size)
+    h = mix(np.add.reduceat(mix(cp[cuts[0]:cuts[-1]] + np.uint32(1)) * powers(int(size.max()))[within], cuts[:-1] - cuts[0]) + size.astype(np.uint64))
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(size[first], kind="stable")
+    tokens, counts = [], np.zeros(len(first), np.int64)
+    at = 0
+    while at < len(order):
+        to, width = at + 1, int(size[first[order[at]]])
+        if width < LONG_WORD:
+            to = at + int(np.searchsorted(size[first[order[at:at + _CELLS // LONG_WORD]]], width + 2, "right"))
+        some = order[at:to]
+        n, width = size[first[some]], int(size[first[some]].max())
+        place = cuts[first[some]][:, None] + np.arange(width)[None, :]
+        part = np.where(np.arange(width)[None, :] < n[:, None], cp[np.minimum(place, len(cp) - 1)], 0).astype(np.uint32)
+        if width < LONG_WORD + 2:
+            spans = _Spans(v, part)
+            row, a, b = merges(spans, n)
+            slot = spans.slots(row, a, b)
+        else:
+            a, b = merges_of_long_word(v, part[0])
+            row = np.zeros(len(a), np.int64)
+            slot = _Spans(v, part).slots(row, a, b)
+        flat, bound = spelled(v, row, np.where(slot >= 0, v.id[slot].astype(np.int64), part[row, a].astype(np.int64) + (1 << 32)), len(some))
+        tokens.append(flat)
+        counts[some] = np.diff(bound)
+        at = to
+    flat = np.concatenate(tokens)
+    begin = np.zeros(len(first), np.int64)
+    begin[order] = np.cumsum(counts[order]) - counts[order]
+    many = counts[inverse]
+    bound = np.concatenate(([0], np.cumsum(many)))
+    return flat[np.arange(bound[-1]) - np.repeat(bound[:-1], many) + np.repeat(begin[inverse], many)], bound
+
+
+def merge_texts(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The model's tokens of texts that begin with ``▁`` and have no spaces, or are empty; flat with bounds."""
+    cp = points("".join(texts))
+    bound = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    cuts = np.unique(np.concatenate((bound, word_cuts(v, cp))))
+    flat, at = merge_words(v, cp, cuts)
+    return flat, at[np.searchsorted(cuts, bound)]
+
+
+def marked(text: str | None) -> str:
+    return f"▁{text}".replace(" ", "▁") if text else ""
+
+
 def decode_texts(v: Vocabulary, flat: np.ndarray, bound: np.ndarray) -> list[str]:
     """The texts of token lists: bytes of all pieces, spaces restored, the one in front dropped."""
     size = np.diff(v.flat_at)[flat]
@@ -380,6 +520,61 @@ def encode(docs: DataFrame, keep: list[str], model: str = MODEL, chunk: int = CH
     return done.union(long.select("row", "kept").join(whole, "row").select(*([f"kept.`{c}`" for c in keep]), "ids"))
 
 
+def _merged(raw: bytes, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(raw)
+    for batch in row_pieces(batches, "text"):
+        flat, bound = merge_texts(v, [marked(t) for t in batch.column("text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(flat, pa.int32()))], names=[*keep, "ids"])
+
+
+def parted(v: Vocabulary, whole: str, chunk: int) -> list[str]:
+    """Parts of about ``chunk`` characters, cut between words; a word is never cut."""
+    cuts = np.concatenate(([0], word_cuts(v, points(whole)), [len(whole)]))
+    ends = np.unique(cuts[np.searchsorted(cuts, np.arange(chunk, len(whole) + chunk, chunk).clip(max=len(whole)))])
+    return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _parts(raw: bytes, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(raw)
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for k, part in enumerate(parted(v, marked(text), chunk)):
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([part])], names=["row", "k", "part"])
+
+
+def _merged_parts(raw: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(raw)
+    for batch in row_pieces(batches, "part"):
+        flat, bound = merge_texts(v, batch.column("part").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(flat, pa.int32()))], names=["row", "k", "ids"])
+
+
+def _in_order(frame):
+    import pandas as pd
+
+    return pd.DataFrame({"row": [frame["row"].iloc[0]], "ids": [np.concatenate(frame.sort_values("k")["ids"].tolist())]})
+
+
+def encode_merges(docs: DataFrame, keep: list[str], model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """Columns ``keep`` of every document and the ids that the library gives it with this model of merges. Otherwise as ``encode``."""
+    spark = docs.sparkSession
+    raw = ship(spark, model)
+    if not vocabulary(raw).splits:
+        raise ValueError("a piece has a space behind another character")
+    shared = spark.sparkContext.broadcast(raw)  # of a size that ship() has checked
+    clean = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    kept = clean.select(*keep) if keep else clean.select()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    short = clean.where(F.length("text") < chunk).select(*dict.fromkeys([*keep, "text"]))
+    done = short.mapInArrow(lambda batches: _merged(shared.value, keep, batches), f"{kinds}{', ' if kinds else ''}ids array<int>")
+    # Rows get a number where the long ones are stored, so that repeated rows stay apart.
+    long = stored(clean.where(F.length("text") >= chunk).withColumn("__row", F.monotonically_increasing_id()).select(F.struct(*keep).alias("kept") if keep else F.lit(1).alias("kept"), "text", F.col("__row").alias("row")), "long")
+    parts = long.select("row", "text").mapInArrow(lambda batches: _parts(shared.value, chunk, batches), "row long, k int, part string").repartition("row", "k")
+    found = parts.mapInArrow(lambda batches: _merged_parts(shared.value, batches), "row long, k int, ids array<int>")
+    whole = found.groupBy("row").applyInPandas(_in_order, "row long, ids array<int>")
+    return done.union(long.select("row", "kept").join(whole, "row").select(*([f"kept.`{c}`" for c in keep]), "ids"))
+
+
 def _digested(raw: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     v = vocabulary(raw)
     is_byte = np.zeros(len(v.flat_at) - 1, bool)
@@ -399,5 +594,5 @@ def _digested(raw: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def token_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Of every document: the numbers of tokens and of byte tokens, a digest of the ids, and whether they decode to the text."""
     shared = docs.sparkSession.sparkContext.broadcast(ship(docs.sparkSession, model))
-    return encode(docs.select("doc_id", "text"), ["doc_id", "text"], model).mapInArrow(
+    return encode_merges(docs.select("doc_id", "text"), ["doc_id", "text"], model).mapInArrow(
         lambda batches: _digested(shared.value, batches), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, restored boolean")

@@ -97,6 +97,23 @@ def test_encoding_in_spark(spark, raw):
     assert pieces.encode(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_merges_match_the_library(spark, raw):
+    import sentencepiece
+
+    library, v, rng = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.vocabulary(raw), random.Random(9)
+    some = [t for t in texts() if t] + [" lead", "tail ", "a\x00b", "▁x", "the world has unemployment", "   ", "x" * 300, "=" * 70 + "ab" * 400, "no   three\t\n    four"]
+    some += ["".join(rng.choice("aabcdeth é\n梦" if n % 2 else "aaab  ") for _ in range(rng.randint(1, 200))) for n in range(200)]
+    expected = library.encode(some, num_threads=1)
+    flat, bound = pieces.merge_texts(v, [pieces.marked(t) for t in some])
+    for i, ids in enumerate(expected):
+        assert flat[bound[i]:bound[i + 1]].tolist() == ids, some[i]
+    for t in some:
+        assert "".join(pieces.parted(v, pieces.marked(t), 7)) == pieces.marked(t)
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode_merges(docs, ["doc_id"], chunk=150).collect()} == dict(enumerate(expected))
+    assert {r["doc_id"]: r["ids_sha256"] for r in pieces.token_digest(docs).collect()} == {i: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for i, ids in enumerate(expected)}
+
+
 def _counts(text):
     w = WORD.findall(text or "")
     seen, dup = set(), 0
