@@ -32,6 +32,8 @@ OFTEN = 6
 BUCKET = 400_000
 #: Members of a group in one block.
 BLOCK = 64
+#: Classes that ask a group in one part, about.
+PART = 256
 _PIECE = 4 << 20
 
 
@@ -172,6 +174,19 @@ def _opened(frame):
     return found.drop_duplicates(["a", "x"])[["a", "b"]]
 
 
+def openings(asking: DataFrame, placed: DataFrame, spread: DataFrame) -> DataFrame:
+    """(sig, g, comp, block, part, member): which members and which asking classes of a group meet in one frame, about BLOCK and PART of them.
+
+    asking: sig, g, comp, blocks. placed: the members' sig, g, comp. spread: g, blocks. Each asking class meets every block of its group once.
+    """
+    parts = stored(asking.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "parts")
+    inside = placed.join(spread.select("g", "blocks"), "g").join(parts, "g").select(
+        "sig", "g", "comp", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
+    queries = asking.join(parts, "g").select(
+        "sig", "g", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
+    return inside.union(queries)
+
+
 def _labels(edges: DataFrame, members: DataFrame) -> DataFrame:
     return stored(members.select("sig").join(components(edges).withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("label", "sig").alias("comp")), "labels")
 
@@ -222,11 +237,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     placed = named.select("sig", "g").join(labels, "sig").join(pivots, "g").where("sig <> pivot").select("sig", "g", "comp")
     spread = stored(placed.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "spread")
     asking = stored(led.join(labels, "sig").join(spread, "g").where("low <> comp OR high <> comp").select("sig", "g", "comp", "blocks"), "asking")
-    open_groups = asking.select("g").distinct()
-    inside = placed.join(spread.select("g", "blocks"), "g").join(open_groups, "g", "left_semi").select("sig", "g", "comp", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("member"))
-    queries = asking.select("sig", "g", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"))
-    tasks = inside.union(queries).join(sets, "sig")
-    opened = stored(tasks.groupBy("g", "block").applyInPandas(_opened, "a long, b long"), "opened")
+    tasks = openings(asking, placed, spread).join(sets, "sig")
+    opened = stored(tasks.groupBy("g", "block", "part").applyInPandas(_opened, "a long, b long"), "opened")
     labels = components(links.union(opened))
 
     whole = stored(least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("comp")), "whole")

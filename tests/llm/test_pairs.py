@@ -229,3 +229,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[1] == seen[2] == seen[3] == seen[4] == {d[0] for d in clean}
     assert now.where("n_tokens < 100").count() == 0
     assert {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens").collect()} == {tuple(r) for r in now.select("doc_id", "n_tokens").collect()}
+
+
+def test_asking_classes_are_dealt_into_parts(spark):
+    asking = spark.range(2000).selectExpr("id AS sig", "7L AS g", "id AS comp", "3 AS blocks")
+    placed = spark.range(5000, 5150).selectExpr("id AS sig", "7L AS g", "id AS comp")
+    met = jaccard.openings(asking, placed, spark.createDataFrame([(7, 3)], "g long, blocks int")).collect()
+    frames = {}
+    for r in met:
+        frames.setdefault((r["g"], r["block"], r["part"]), ([], []))[r["member"]].append(r["sig"])
+    assert max(len(q) for q, _ in frames.values()) < 2 * jaccard.PART and max(len(m) for _, m in frames.values()) < 2 * jaccard.BLOCK
+    pairs = [(q, m) for qs, ms in frames.values() for q in qs for m in ms]
+    assert len(pairs) == len(set(pairs)) == 2000 * 150
