@@ -9,10 +9,7 @@ from outfall.functions import text as T
 from outfall.operators.ordered import top_k
 
 # Fixed values
-MAX_MANIFEST = 512 * 1024
-MAX_COMPONENTS = 50_000
 MIN_GO_BINARY = 1_000_000
-MAX_GO_BYTES = 64 * 1024 * 1024
 GO_MARKER = "Go buildinf:"
 GO_LINE = r"(?:dep|mod)\t([\w./+~-]{3,180})\t(v[\w.+~-]{1,60})"
 NUSPEC_ID = r"(?i)<id>\s*([^<]{1,200})</id>"
@@ -64,7 +61,7 @@ def pypi(text: Column) -> Column:
 
 def golang(content: Column) -> Column:
     """Distinct (module, version) pairs stamped into the binary."""
-    text = F.decode(F.substring(content, 1, MAX_GO_BYTES), "ISO-8859-1")
+    text = F.decode(content, "ISO-8859-1")
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(GO_LINE), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(GO_LINE), F.lit(2)).alias("version"))
     modules = F.array_distinct(F.filter(pairs, lambda p: F.contains(p["name"], F.lit("."))))
     rows = F.transform(modules, lambda p: _component("golang", p["name"], p["version"], F.lit(""), "Go buildinfo"))
@@ -78,7 +75,7 @@ def detect_components(files: DataFrame, by: list[str]) -> DataFrame:
     """
     name, path, content = F.lower("filename"), F.lower("path_in_tree"), F.col("content")
     size = F.octet_length(content)
-    text = F.when(size <= MAX_MANIFEST, content.cast("string"))
+    text = content.cast("string")
     magic = F.hex(F.substring(content, 1, 4))
     declared = (
         F.when(name == "package.json", npm(text))
@@ -91,14 +88,17 @@ def detect_components(files: DataFrame, by: list[str]) -> DataFrame:
     return files.select(*by, "path_in_tree", F.inline(found))
 
 
-def component_inventory(components: DataFrame, by: list[str], cap: int = MAX_COMPONENTS) -> DataFrame:
-    """Distinct components with their first place, in inventory order, at most ``cap`` per artifact."""
+def component_inventory(components: DataFrame, by: list[str], cap: int | None = None) -> DataFrame:
+    """Distinct components with their first place, all of them; with a ``cap`` at most so many per artifact, in inventory order, and flagged."""
     key = [*by, "ecosystem", "name", "version"]
     first = F.min(F.struct("path_in_tree", "licence", "evidence"))
     distinct = components.groupBy(*key).agg(first.alias("f")).select(*key, "f.*")
-    sizes = distinct.groupBy(*by).agg((F.count("*") > cap).alias("truncated"))
-    kept = top_k(distinct, by, ["ecosystem", F.lower("name"), "version", "name"], cap)
-    flagged = kept.join(sizes, by) if by else kept
+    if cap is None:
+        flagged = distinct.withColumn("truncated", F.lit(False))
+    else:
+        sizes = distinct.groupBy(*by).agg((F.count("*") > cap).alias("truncated"))
+        kept = top_k(distinct, by, ["ecosystem", F.lower("name"), "version", "name"], cap)
+        flagged = kept.join(sizes, by) if by else kept
     return flagged.withColumns({"confidence": F.lit("declared"), "purl": T.purl(F.col("ecosystem"), F.col("name"), F.col("version"))})
 
 

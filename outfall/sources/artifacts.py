@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BYTES = 512 * 1024 * 1024  # fixed value: larger files are cut and flagged
 MAX_ARTIFACT_BYTES = 2 * 1024**3
 MIN_REFERENCE = 8
 MIN_SCANNABLE = 8
 
 
-def artifact_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Every file under ``path`` as one row; the listing and reading are Spark's."""
+def artifact_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Every file under ``path`` as one row, whole; the listing and reading are Spark's, which fail on a file of 2 GiB or more.
+
+    With ``max_bytes`` larger files are cut and flagged.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
     full = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
+    cut = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    content = F.col("content") if max_bytes is None else F.when(cut, F.substring("content", 1, max_bytes)).otherwise(F.col("content"))
     return files.select(
         F.regexp_replace(F.replace(full, F.lit(base), F.lit("")), "^/+", "").alias("path_in_tree"),
         F.col("length").alias("size_bytes"),
-        (F.col("length") > max_bytes).alias("truncated"),
-        F.when(F.col("length") > max_bytes, F.substring("content", 1, max_bytes)).otherwise(F.col("content")).alias("content"),
+        cut.alias("truncated"),
+        content.alias("content"),
     )
 
 

@@ -117,3 +117,18 @@ def test_every_inventory_row_has_a_query():
     have = {"-".join(k.split("_")[:2]).upper() for k in QUERIES}
     assert ids <= have
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_components_of_large_files_are_found(spark):
+    package = b'{"name": "big", "version": "1.0.0", "readme": "' + b"x" * 600_000 + b'"}'
+    small = spark.createDataFrame([("package.json", "package.json", package)], "path_in_tree string, filename string, content binary")
+    pad = F.repeat(F.lit("x"), 66 << 20)
+    binary = spark.range(1).select(F.lit("svc").alias("path_in_tree"), F.lit("svc").alias("filename"), F.encode(F.concat(F.lit("MZ"), pad, F.lit("Go buildinf:\n\ndep\tgithub.com/a/b\tv1.2.3\n")), "ISO-8859-1").alias("content"))
+    assert [(r.ecosystem, r.name, r.version) for r in M.detect_components(small, []).collect()] == [("npm", "big", "1.0.0")]
+    assert [(r.ecosystem, r.name, r.version) for r in M.detect_components(binary, []).collect()] == [("golang", "github.com/a/b", "v1.2.3")]
+
+
+def test_inventories_are_whole(spark):
+    many = spark.range(50_100).selectExpr("'r' AS run_id", "'npm' AS ecosystem", "concat('n', id) AS name", "'1' AS version", "'' AS licence", "'package.json' AS evidence", "'p' AS path_in_tree")
+    got = M.component_inventory(many, ["run_id"])
+    assert got.count() == 50_100 and got.where("truncated").count() == 0
