@@ -17,6 +17,7 @@ PRINTABLE = r"\t\x20-\x7e"
 ASCII_RUN = rf"[{PRINTABLE}]{{{MIN_STRING},{MAX_STRING}}}"
 WIDE_RUN = rf"(?:[{PRINTABLE}]\x00){{{MIN_STRING},{MAX_STRING}}}"
 NUL = "\u0000"
+CONTEXT = 60  # bytes kept on each side of a hit
 
 
 def prefix_sums(values: Column) -> Column:
@@ -76,26 +77,44 @@ def with_matches(df: DataFrame, text: str, regex: str | Column, prefix: str, whe
     return df.withColumn(f"{prefix}_pos", starts)
 
 
-def _structs(prefix: str, encoding: str) -> Column:
+def _structs(prefix: str, encoding: str, ranged: bool = False) -> Column:
+    """Strings of one encoding; of a range of a file those that start in it, at offsets of the file."""
     def value(run: Column) -> Column:
         return F.replace(run, F.lit(NUL), F.lit("")) if encoding == "utf-16le" else run
 
-    return F.zip_with(
+    skipped = F.col("content_start") + F.col("ascii_skip" if encoding == "ascii" else "wide_skip") if ranged else F.lit(0)
+    found = F.zip_with(
         F.col(f"{prefix}_all"),
         F.col(f"{prefix}_pos"),
-        lambda run, pos: F.struct(value(run).alias("value"), pos.alias("byte_offset"), F.lit(encoding).alias("encoding")),
+        lambda run, pos: F.struct(value(run).alias("value"), (pos + skipped).alias("byte_offset"), F.lit(encoding).alias("encoding")),
     )
+    own = lambda s: (s["byte_offset"] >= F.col("range_start")) & (s["byte_offset"] < F.col("range_end"))
+    return F.filter(found, own) if ranged else found
 
 
-def with_string_columns(df: DataFrame, latin1: str = "_l") -> DataFrame:
+def is_ranged(artifacts: DataFrame) -> bool:
+    """Rows of ``artifact_ranges`` instead of whole files."""
+    return {"range_start", "range_end", "content_start", "ascii_skip", "wide_skip"} <= set(artifacts.columns)
+
+
+def _latin1_rows(artifacts: DataFrame, keys: list[str], content: str) -> DataFrame:
+    if not is_ranged(artifacts):
+        text = latin1(F.col(content))
+        return artifacts.select(*keys, text.alias("_la"), text.alias("_lw"))
+    after = lambda skip: latin1(F.expr(f"substring(`{content}`, CAST({skip} AS INT) + 1)"))
+    own = ["range_start", "range_end", "content_start", "ascii_skip", "wide_skip"]
+    return artifacts.select(*keys, *(c for c in own if c not in keys), after("ascii_skip").alias("_la"), after("wide_skip").alias("_lw"))
+
+
+def with_string_columns(df: DataFrame) -> DataFrame:
     """Add the columns behind :func:`string_array` for both encodings."""
-    df = with_matches(df, latin1, ASCII_RUN, "_a")
-    return with_matches(df, latin1, WIDE_RUN, "_w", when=F.contains(F.col(latin1), F.lit(NUL)))
+    df = with_matches(df, "_la", ASCII_RUN, "_a")
+    return with_matches(df, "_lw", WIDE_RUN, "_w", when=F.contains(F.col("_lw"), F.lit(NUL)))
 
 
-def string_array() -> Column:
+def string_array(ranged: bool = False) -> Column:
     """All strings of the row.  Distinct already: one encoding has one string per offset."""
-    return F.concat(_structs("_a", "ascii"), _structs("_w", "utf-16le"))
+    return F.concat(_structs("_a", "ascii", ranged), _structs("_w", "utf-16le", ranged))
 
 
 def latin1(content: Column) -> Column:
@@ -103,22 +122,21 @@ def latin1(content: Column) -> Column:
 
 
 def extract_ascii(artifacts: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    df = artifacts.select(*keys, latin1(F.col(content)).alias("_l"))
-    df = with_matches(df, "_l", ASCII_RUN, "_a")
-    return df.select(*keys, F.inline(_structs("_a", "ascii")))
+    df = with_matches(_latin1_rows(artifacts, keys, content), "_la", ASCII_RUN, "_a")
+    return df.select(*keys, F.inline(_structs("_a", "ascii", is_ranged(artifacts))))
 
 
 def extract_utf16le(artifacts: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """Wide strings at both alignments: runs of different parity cannot overlap, so one pass finds all."""
-    df = artifacts.select(*keys, latin1(F.col(content)).alias("_l"))
-    df = with_matches(df, "_l", WIDE_RUN, "_w", when=F.contains(F.col("_l"), F.lit(NUL)))
-    return df.select(*keys, F.inline(_structs("_w", "utf-16le")))
+    df = _latin1_rows(artifacts, keys, content)
+    df = with_matches(df, "_lw", WIDE_RUN, "_w", when=F.contains(F.col("_lw"), F.lit(NUL)))
+    return df.select(*keys, F.inline(_structs("_w", "utf-16le", is_ranged(artifacts))))
 
 
 def extract_strings(artifacts: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """``strings``: keys, value, byte_offset, encoding."""
-    df = artifacts.select(*keys, latin1(F.col(content)).alias("_l"))
-    return with_string_columns(df).select(*keys, F.inline(string_array()))
+    """``strings``: keys, value, byte_offset, encoding, of whole files or of the ranges of ``artifact_ranges``."""
+    df = with_string_columns(_latin1_rows(artifacts, keys, content))
+    return df.select(*keys, F.inline(string_array(is_ranged(artifacts))))
 
 
 def strings_sql(content: str = "content") -> str:

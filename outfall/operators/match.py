@@ -1,9 +1,9 @@
 """Rule matching: strings to evidence.
 
-The hot part is one projection per file: literal presence tests on the whole
-content decide which expressions can match at all, and only those run on the
-strings.  Strings without a hit never leave the row.  The rest works on hits
-only: it joins the broadcast rule dimension and applies the gates.
+The hot part reads each content once: an automaton over the literals of all
+patterns finds the strings that can match, with the patterns to try, and other
+strings never leave the row.  The rest works on those only: it joins the
+pattern and rule dimensions, runs the expressions and applies the gates.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from outfall.functions import text as T
 from outfall.operators import shape
-from outfall.operators.extract import NUL, latin1, string_array, with_matches, with_string_columns
+from outfall.operators.candidates import candidate_strings
+from outfall.operators.extract import CONTEXT, latin1, with_matches
 from outfall.rules.pack import RulePack
 
-CONTEXT = 60  # fixed value: bytes kept on each side of a hit
-
 
 def literal(text: str) -> str:
     """A SQL string literal."""
@@ -41,48 +40,18 @@ def possible(needs: list[list[str]], text: str, lowered: str) -> str:
     return " AND ".join(tests) or "true"
 
 
-def hit_strings(artifacts: DataFrame, pack: RulePack, keys: list[str], content: str = "content") -> DataFrame:
-    """Strings that at least one pattern matches, with the bytes around them."""
-    patterns = pack.patterns()
-    df = artifacts.select(*keys, F.col(content).alias("_c"), latin1(F.col(content)).alias("_l0"))
-    # wide strings read through without their zero bytes; ASCII strings have none
-    df = df.withColumn("_t", F.when(F.contains("_l0", F.lit(NUL)), F.replace("_l0", F.lit(NUL), F.lit(""))).otherwise(F.col("_l0")))
-    df = df.withColumn("_tl", F.lower("_t"))
-    flags = "array(" + ", ".join(possible(p["needs"], "_t", "_tl") for p in patterns) + ")"
-    df = df.withColumn("_flags", F.expr(flags))
-    df = df.select(
-        *keys, "_c", "_flags", F.when(F.array_contains("_flags", F.lit(True)), F.col("_l0")).alias("_l")
-    )
-    df = with_string_columns(df).withColumn("_strings", string_array())
-    matches = " OR ".join(f"(get(_flags, {i}) AND rlike(s.value, {literal(p['regex'])}))" for i, p in enumerate(patterns))
-    first = f"greatest(s.byte_offset - {CONTEXT}, 0)"
-    window = (
-        f"named_struct('string', s.value, 'string_offset', s.byte_offset, 'encoding', s.encoding, 'window_offset', {first},"
-        f" 'window', substring(_c, CAST({first} AS INT) + 1, CAST(s.byte_offset + 2 * length(s.value) + {CONTEXT} - {first} AS INT)))"
-    )
-    return df.select(*keys, F.expr(f"inline(transform(filter(_strings, s -> {matches}), s -> {window}))"))
-
-
-def _pattern_ids(pack: RulePack) -> Column:
-    hits = [
-        f"CASE WHEN {possible(p['needs'], 'string', '_lowered')} AND rlike(string, {literal(p['regex'])}) THEN {i} END"
-        for i, p in enumerate(pack.patterns())
-    ]
-    return F.expr(f"array_compact(array({', '.join(hits)}))")
-
-
 def raw_matches(artifacts: DataFrame, pack: RulePack, keys: list[str], content: str = "content") -> DataFrame:
     """Every non-overlapping match of every enabled rule, before any gate.
 
     Adds the rule's gate columns so that :func:`apply_gates` needs no second join.
     """
     spark = artifacts.sparkSession
-    hits = hit_strings(artifacts, pack, keys, content)
-    hits = hits.withColumn("_lowered", F.lower("string")).select("*", F.explode(_pattern_ids(pack)).alias("pattern_ix"))
+    hits = candidate_strings(artifacts, pack.patterns(), keys, content)
+    hits = hits.select("*", F.explode("pattern_ixs").alias("pattern_ix")).drop("pattern_ixs")
     hits = hits.join(pack.patterns_df(spark), "pattern_ix")
     gates = ["severity", "encodings", "min_entropy", "min_length", "max_length", "rejects", "requires_nearby",
              "nearby_window", "shape_policy", "require_mixed_case"]
-    hits = hits.join(F.broadcast(pack.rules_df(spark).select("rule_id", *gates)), "rule_id")
+    hits = hits.join(pack.rules_df(spark).select("rule_id", *gates), "rule_id")
     hits = hits.where(F.array_contains("encodings", F.col("encoding")))
     hits = with_matches(hits, "string", F.col("regex"), "_m")
     hits = hits.withColumn("_values", F.regexp_extract_all("string", F.col("regex"), F.col("capture")))

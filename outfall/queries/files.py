@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from outfall.functions import decode as DC
 from outfall.functions import text as T
 from outfall.functions.ship import by_value
+from outfall.operators import extract, match
 from outfall.operators import identify as I
 from outfall.operators import unpack as U
+from outfall.queries import oracle as O
 from outfall.queries.inputs import Inputs
 from outfall.queries.registry import query
+from outfall.rules.pack import builtin_pack
 from outfall.sources import artifacts as A
 from outfall.sources.archives import archive_expand
+from outfall.sources.ranges import artifact_ranges
+from outfall.sources.sinks import scratch
 
 
 @query("src_01_artifact_files")
@@ -26,6 +31,24 @@ def _(t):
     return A.artifact_files(t.spark, t.folder).select("path_in_tree", "size_bytes", "truncated", F.sha2("content", 256).alias("sha256"))
 
 
+def _text_files(t: Inputs):
+    """Every text of the given tables, line by line in large files, read back in ranges that border inside strings."""
+    base = scratch(t.spark, "files")
+    t.view("texts").where("content IS NOT NULL").select("content").write.text(base)
+    return artifact_ranges(t.spark, base, 256 << 10)
+
+
+@query("src_01_file_ranges", f"WITH {O.strings_ctes()} SELECT value, CAST(count(*) AS BIGINT) AS places FROM strings GROUP BY value", ("texts",))
+def _(t):
+    return extract.extract_strings(_text_files(t), ["path_in_tree"]).groupBy("value").agg(F.count("*").alias("places"))
+
+
+@query("mat_01_range_scan", f"WITH {O.scan_ctes()} SELECT rule_id, val AS value, CAST(count(*) AS BIGINT) AS places FROM kept GROUP BY ALL", ("texts",))
+def _(t):
+    found = match.scan(_text_files(t), builtin_pack(), ["path_in_tree"], retain_plaintext=True)
+    return found.groupBy("rule_id", F.col("value_plaintext").alias("value")).agg(F.count("*").alias("places"))
+
+
 def _zip_rows(batches):
     """One small archive per text: the text, and a tar.gz that holds its language."""
     for batch in batches:
