@@ -162,7 +162,19 @@ def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | N
     if suppressions is not None:
         suppressed = suppressed_groups(groups.join(rules, "rule_id", "left_semi"), suppressions, "left_semi").select(*GROUP)
         known = suppressed_groups(groups, suppressions, "left_anti")
-    single = cut(score_groups(known, rules))
+    findings, ids = findings_of(known, rules)
+    places_of = places.select(*GROUP, "path_in_tree", "byte_offset", F.col("first.encoding").alias("encoding"))
+    locations = (
+        places_of.join(ids, GROUP)
+        .groupBy("run_id", "finding_id", "path_in_tree", "byte_offset")
+        .agg(F.min(F.struct("member_id", "encoding"))["encoding"].alias("encoding"))
+    )
+    return Correlation(findings, locations, suppressed, unknown)
+
+
+def findings_of(groups: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings of groups, clusters included, and the finding of each group (finding_id; member_id as if there were no clusters)."""
+    single = cut(score_groups(groups, rules))
     clusters = cluster_rules(single)
     heads = clusters.select("run_id", "rule_id", F.col("id").alias("cluster_id"))
     marked = single.join(heads, ["run_id", "rule_id"], "left")
@@ -173,13 +185,13 @@ def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | N
         grouped = grouped.withColumn("tags", F.array_append("tags", F.lit("clustered")))
     findings = kept.unionByName(grouped)
     ids = marked.select(*GROUP, F.coalesce("cluster_id", "id").alias("finding_id"), F.col("id").alias("member_id"))
-    places_of = places.select(*GROUP, "path_in_tree", "byte_offset", F.col("first.encoding").alias("encoding"))
-    locations = (
-        places_of.join(ids, GROUP)
-        .groupBy("run_id", "finding_id", "path_in_tree", "byte_offset")
-        .agg(F.min(F.struct("member_id", "encoding"))["encoding"].alias("encoding"))
-    )
-    return Correlation(findings, locations, suppressed, unknown)
+    return findings, ids
+
+
+def merge_groups(groups: DataFrame) -> DataFrame:
+    """Groups whose evidence came in several parts as one row each, as :func:`group_evidence` makes of all of it."""
+    return groups.groupBy(*GROUP).agg(F.min("anchor").alias("anchor"), F.max("peak").alias("peak"),
+                                      F.sum("evidence_count").alias("evidence_count"), F.max("wide").alias("wide"))
 
 
 def in_order(findings: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from outfall.operators.match import literal, possible
+from outfall.operators.ordered import top_k
 
 # Probes in claim order, limits, residue expressions.
 PROBES = (
@@ -108,6 +109,15 @@ def residue(strings: DataFrame, matches: DataFrame, limit: int = RESIDUE_SAMPLE,
     return distinct.select("f.*").orderBy("path_in_tree", "byte_offset", "encoding", "value").limit(limit)
 
 
+def residue_by(strings: DataFrame, matches: DataFrame, by: list[str], limit: int = RESIDUE_SAMPLE) -> DataFrame:
+    """The sample of every group: one per leading text, first by path and offset; salted, so a large group is not one task."""
+    hits = matches.select(*by, "path_in_tree", "byte_offset").distinct()
+    rows = residue_candidates(strings).join(hits, [*by, "path_in_tree", "byte_offset"], "left_anti")
+    first = F.min(F.struct("path_in_tree", "byte_offset", "encoding", "value"))
+    distinct = rows.groupBy(*by, F.substring("value", 1, RESIDUE_KEY).alias("key")).agg(first.alias("f")).select(*by, "f.*")
+    return top_k(distinct, by, ["path_in_tree", "byte_offset", "encoding", "value"], limit)
+
+
 def prompt_sample(residue_rows: DataFrame, limit: int = PROMPT_SAMPLE) -> DataFrame:
     """Distinct shortened values in order, for review."""
     cut = F.substring(F.regexp_replace("value", r"^\s+|\s+$", ""), 1, PROMPT_CHARS)

@@ -16,10 +16,10 @@ from outfall.queries.registry import query
 from outfall.rules.pack import builtin_pack
 from outfall.session import cut
 from outfall.sources.policies import Policy
-from outfall.sources.sinks import scratch
+from outfall.sources.sinks import read_manifest, read_run, scratch
 from outfall.streaming import progress as PR
 from outfall.streaming.recovery import orphan_sweep, requeue_attempts
-from outfall.streaming.scan import read_findings, scan_stream
+from outfall.streaming.scan import read_findings, read_verdicts, scan_stream
 
 U = ("run_updates",)
 TERMINAL = "('completed', 'degraded', 'failed', 'cancelled')"
@@ -103,17 +103,31 @@ sized AS (SELECT *, count(*) OVER (PARTITION BY run_id, rule_id) AS members, sub
 @query("stm_05_scan_stream", f"""WITH {DOCS}, {scored("JOIN documents ON path_in_tree = 'documents/' || doc_id", "'docs-' || lang")}
 SELECT run_id, rule_id, severity, CAST(sum(CASE WHEN members > 20 THEN 0 ELSE 1 END) AS BIGINT) AS single_findings, CAST(max(CASE WHEN members > 20 THEN 1 ELSE 0 END) AS BIGINT) AS clusters FROM sized GROUP BY run_id, rule_id, severity""")
 def _(t):
-    """Stream the documents table through the scan; the stored findings equal the batch ones."""
-    schema = t.table("documents").schema
-    docs = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
-    artifacts = docs.select(F.concat(F.lit("docs-"), "lang").alias("run_id"), F.concat(F.lit("documents/"), "doc_id").alias("path_in_tree"), F.encode("text", "UTF-8").alias("content"))
-    base = scratch(t.spark, "scan")
-    scan_stream(artifacts, builtin_pack(), base).awaitTermination()
+    """Stream the documents table through the scan, in several micro-batches; the stored findings equal the batch ones."""
+    base = _streamed(t)
     single = F.col("title").endswith("distinct values)")
     return read_findings(t.spark, base).groupBy("run_id", "rule_id", "severity").agg(
         F.count(F.when(~single, 1)).alias("single_findings"), F.count(F.when(single, 1)).alias("clusters"))
 
 
+@query("stm_05_stream_gate", f"""WITH {DOCS}, {scored("JOIN documents ON path_in_tree = 'documents/' || doc_id", "'docs-' || lang")}, f AS (SELECT DISTINCT run_id, severity, CASE WHEN members > 20 THEN rule_id ELSE id END AS fid FROM sized)
+SELECT r.run_id, CASE WHEN count(*) FILTER (WHERE severity IN ('critical', 'high')) > 0 THEN 'blocked' ELSE 'pass' END AS decision, count(fid) AS total_findings, count(*) FILTER (WHERE severity IN ('critical', 'high')) AS violations
+FROM (SELECT DISTINCT 'docs-' || lang AS run_id FROM documents) r LEFT JOIN f ON f.run_id = r.run_id GROUP BY r.run_id""")
+def _(t):
+    """The decision that the last micro-batch of each run left."""
+    return read_verdicts(t.spark, _streamed(t)).select("run_id", "decision", "total_findings", "violations")
+
+
+def _streamed(t: Inputs) -> str:
+    """The documents in four files, one for each micro-batch, streamed through scan and gate."""
+    base = scratch(t.spark, "scan")
+    texts = t.table("documents").select(F.concat(F.lit("docs-"), "lang").alias("run_id"), F.concat(F.lit("documents/"), "doc_id").alias("path_in_tree"), F.encode("text", "UTF-8").alias("content"))
+    texts.repartition(4, "path_in_tree").write.parquet(f"{base}/landed")
+    landed = t.spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+    scan_stream(landed, builtin_pack(), base, [Policy()], F.expr("DATE '2024-02-15'")).awaitTermination()
+    return base
+
+
 @query("snk_01_write_run", f"""WITH {scored("", "regexp_extract(path_in_tree, '^[^/ ]+', 0)")}
 SELECT run_id, CAST((SELECT count(*) FROM ev WHERE ev.run_id = s.run_id) AS BIGINT) AS evidence, CAST(sum(CASE WHEN members > 20 THEN 0 ELSE 1 END) + count(DISTINCT CASE WHEN members > 20 THEN rule_id END) AS BIGINT) AS findings FROM sized s GROUP BY run_id""", ("texts",))
 def _(t):
@@ -123,9 +137,10 @@ def _(t):
     base = scratch(t.spark, "runs")
     for _ in range(2):
         PS.scan_to_tables(artifacts, builtin_pack(), base)
-    evidence = t.spark.read.parquet(f"{base}/evidence").groupBy("run_id").agg(F.count("*").alias("evidence"))
-    findings = t.spark.read.parquet(f"{base}/findings").groupBy("run_id").agg(F.count("*").alias("findings"))
-    return evidence.join(findings, "run_id").select(F.col("run_id").cast("string").alias("run_id"), "evidence", "findings")
+    manifest = read_manifest(t.spark, base)
+    rows = manifest.groupBy("run_id").agg(F.max(F.when(F.col("table") == "evidence", F.col("rows"))).alias("evidence"), F.max(F.when(F.col("table") == "findings", F.col("rows"))).alias("findings"))
+    there = read_run(t.spark, base, "evidence", t.spark.createDataFrame([], "run_id string")).groupBy("run_id").agg(F.count("*").alias("evidence"))
+    return rows.join(there, ["run_id", "evidence"])
 
 
 @query("gat_06_scan_and_gate", f"""WITH {scored("", "'release'")}, f AS (SELECT rule_id, severity, CASE WHEN members > 20 THEN rule_id ELSE id END AS fid FROM sized), d AS (SELECT DISTINCT * FROM f)

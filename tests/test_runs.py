@@ -6,6 +6,7 @@ import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from outfall.operators.correlate import cluster_rules, glob_regex
@@ -15,7 +16,7 @@ from outfall.plans.exports import sarif_lines
 from outfall.rules.pack import builtin_pack
 from outfall.sources.archives import archive_expand
 from outfall.sources.policies import Policy
-from outfall.sources.sinks import read_run
+from outfall.sources.sinks import read_manifest, read_run, vacuum, write_run
 
 SECRET = "token ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
 
@@ -34,7 +35,8 @@ def test_a_clean_rerun_replaces_findings_and_passes(spark, tmp_path):
     base, pack = str(tmp_path / "out"), builtin_pack()
     rows = lambda *r: spark.createDataFrame([(run, path, text.encode()) for run, path, text in r], "run_id string, path_in_tree string, content binary")
     PS.scan_to_tables(rows(("007", "a.txt", SECRET), ("008", "b.txt", SECRET)), pack, base)
-    tables = lambda name: {r["run_id"] for r in spark.read.schema("run_id string, path_in_tree string").parquet(f"{base}/{name}").select("run_id").collect()}
+    run_only = spark.createDataFrame([], "run_id string")
+    tables = lambda name: {r["run_id"] for r in read_run(spark, base, name, run_only).collect()}
     assert tables("findings") == tables("evidence") == tables("locations") == {"007", "008"}
     PS.scan_to_tables(rows(("007", "a.txt", "nothing to see in this clean file")), pack, base)
     assert tables("findings") == tables("evidence") == tables("locations") == {"008"}
@@ -47,6 +49,41 @@ def test_a_clean_rerun_replaces_findings_and_passes(spark, tmp_path):
     assert decisions["007"] == "pass" and decisions["008"] == "blocked"
 
 
+def test_a_write_that_fails_leaves_the_old_run(spark, tmp_path):
+    base = str(tmp_path / "out")
+    runs = spark.createDataFrame([("r1",), ("r2",)], "run_id string")
+    rows = lambda n, run="r1": spark.range(n).select(F.lit(run).alias("run_id"), F.col("id").alias("x"))
+    write_run(base, runs, a=rows(3), b=rows(4))
+    broken = rows(5).withColumn("x", F.when(F.col("x") == 4, F.raise_error(F.lit("lost"))).otherwise(F.col("x")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        write_run(base, runs, a=rows(9), b=broken)
+    count = lambda name: read_run(spark, base, name, rows(1)).count()
+    assert (count("a"), count("b")) == (3, 4)
+    write_run(base, spark.createDataFrame([("r2",)], "run_id string"), a=rows(2, "r2"), b=rows(1, "r2"))
+    assert (count("a"), count("b")) == (5, 5)
+    write_run(base, runs, a=rows(1, "r1"), b=rows(0))
+    assert (count("a"), count("b")) == (1, 0)
+    seen = {(r["run_id"], r["table"]): r["rows"] for r in read_manifest(spark, base).collect()}
+    assert seen == {("r1", "a"): 1, ("r1", "b"): 0, ("r2", "a"): 0, ("r2", "b"): 0}
+    assert len(vacuum(spark, base)) == 2 and (count("a"), count("b")) == (1, 0)
+    again = str(tmp_path / "again")
+    write_run(again, runs, a=rows(1, "r1").repartition(3), b=rows(0))
+    marks = lambda b: sorted((r["run_id"], r["table"], r["fingerprint"] or "") for r in read_manifest(spark, b).collect())
+    assert marks(base) == marks(again)
+
+
+def test_a_scan_with_its_inventory(spark, tmp_path):
+    base = str(tmp_path / "out")
+    files = [("r", "a.txt", SECRET + "\nserver build01.de.example.net\nlicence = contract-4711-x"), ("r", "node_modules/m/package.json", '{"name":"m","version":"1.0"}'), ("clean", "b.txt", "")]
+    artifacts = spark.createDataFrame([(r, p, t.encode()) for r, p, t in files], "run_id string, path_in_tree string, content binary")
+    PS.scan_to_tables(artifacts, builtin_pack(), base, inventory=True)
+    got = {(r["run_id"], r["table"]): r["rows"] for r in read_manifest(spark, base).collect()}
+    assert {t for _, t in got} == {"evidence", "findings", "locations", "scanned", "artifacts", "recon", "residue", "components"}
+    assert got["r", "artifacts"] == 2 and got["r", "components"] == 1 and got["r", "recon"] >= 2 and got["clean", "artifacts"] == 1 and got["clean", "findings"] == 0
+    left = read_run(spark, base, "residue", spark.createDataFrame([], "run_id string, value string"))
+    assert "licence = contract-4711-x" in {r["value"] for r in left.collect()}
+
+
 def test_a_clean_run_has_a_document(spark):
     findings = spark.createDataFrame([("r1", "rule", "t", "c", "high", "m***", "p", 3, "id1", "open", True)] * 2,
                                      "run_id string, rule_id string, title string, category string, severity string, value_masked string, artifact_path string, byte_offset bigint, id string, status string, is_new boolean")
