@@ -42,10 +42,13 @@ def _(t):
 @query("stm_02_progress_stream", f"WITH {CHANGES} SELECT run_id, event_id, payload FROM l WHERE payload IS DISTINCT FROM before AND (fin IS NULL OR (ts, event_id) <= fin)", U)
 def _(t):
     """The stateful stream over the events table, drained once, read back from its sink."""
+    return _drain(t, PR.progress_stream(_updates(t)), "progress").select("run_id", "event_id", "payload")
+
+
+def _updates(t: Inputs):
     schema = t.table("events").schema
     t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).createOrReplaceTempView("events")
-    changes = PR.progress_stream(t.spark.sql(VIEWS["run_updates"]))
-    return _drain(t, changes, "progress").select("run_id", "event_id", "payload")
+    return t.spark.sql(VIEWS["run_updates"])
 
 
 def _drain(t: Inputs, stream, name: str):
@@ -72,6 +75,13 @@ def _(t):
     return orphan_sweep(runs, requeue_attempts(audit), F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'"))
 
 
+@query("stm_03_overdue_stream", """WITH l AS (SELECT run_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS last_ts FROM run_updates GROUP BY run_id)
+SELECT run_id, status FROM l WHERE status IN ('queued', 'running') AND last_ts + INTERVAL 12 HOUR <= (SELECT max(ts) FROM run_updates) - INTERVAL 1 HOUR""", U)
+def _(t):
+    """Open runs that no update has reached for half a day, from timers of the stream."""
+    return _drain(t, PR.overdue_stream(_updates(t), 12 * 3600), "overdue").select("run_id", "status")
+
+
 def step():
     return F.concat("run_id", F.lit(":"), "status")
 
@@ -84,9 +94,7 @@ def _(t):
 
 @query("stm_04_claim_stream", "SELECT DISTINCT run_id || ':' || status AS run_id FROM run_updates", U)
 def _(t):
-    schema = t.table("events").schema
-    t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).createOrReplaceTempView("events")
-    claims = t.spark.sql(VIEWS["run_updates"]).select(step().alias("run_id"), "ts", "event_id")
+    claims = _updates(t).select(step().alias("run_id"), "ts", "event_id")
     return _drain(t, PR.claim_stream(claims, "3650 days"), "claims").select("run_id")
 
 
@@ -119,10 +127,10 @@ def _(t):
 
 
 def _streamed(t: Inputs) -> str:
-    """The documents in four files, one for each micro-batch, streamed through scan and gate."""
+    """The documents in two files, one for each micro-batch, streamed through scan and gate."""
     base = scratch(t.spark, "scan")
     texts = t.table("documents").select(F.concat(F.lit("docs-"), "lang").alias("run_id"), F.concat(F.lit("documents/"), "doc_id").alias("path_in_tree"), F.encode("text", "UTF-8").alias("content"))
-    texts.repartition(4, "path_in_tree").write.parquet(f"{base}/landed")
+    texts.repartition(2, "path_in_tree").write.parquet(f"{base}/landed")
     landed = t.spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
     scan_stream(landed, builtin_pack(), base, [Policy()], F.expr("DATE '2024-02-15'")).awaitTermination()
     return base

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from outfall.functions.ship import by_value
 from outfall.operators.ordered import previous_value
@@ -15,7 +16,8 @@ from outfall.operators.runs import TERMINAL
 
 UNFINISHED = ("pending", "running")  # fixed values
 CHANGE = "run_id string, ts timestamp, event_id bigint, payload string"
-STATE = "payload string, done boolean"
+OPEN = ("queued", "running")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OVERDUE = "run_id string, status string, last_ts timestamp"
 
 
@@ -51,25 +53,69 @@ def progress_changes(updates: DataFrame) -> DataFrame:
     return live.where(~F.col("payload").eqNullSafe(F.col("before"))).select("run_id", "ts", "event_id", "payload")
 
 
-def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    payload, done = state.get if state.exists else (None, False)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out = []
-    for ts, event_id, text in zip(rows.ts, rows.event_id, rows.payload, strict=True):
-        if done:
-            break
-        if text != payload:
-            out.append((key[0], ts, event_id, text))
-            payload = text
-        done = text.split("|")[0] in ("completed", "degraded", "failed", "cancelled")
-    state.update((payload, done))
-    yield pd.DataFrame(out, columns=["run_id", "ts", "event_id", "payload"])
+def with_state_store(df: DataFrame) -> DataFrame:
+    """Stateful processors need a store with column families: set for streams started from this session."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df
+
+
+def _millis(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
+def _texts(values: list[str]) -> pd.Series:
+    return pd.Series(values, dtype=object)
+
 
+class Progress(StatefulProcessor):
+    """The last snapshot of a run; a finished run is remembered for ``linger_ms`` of event time, then nothing of it is left."""
 
-def progress_stream(updates: DataFrame) -> DataFrame:
-    """Streaming twin: the last snapshot of each run is its state."""
-    rows = with_payload(updates).select("run_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "payload")
-    return rows.groupBy("run_id").applyInPandasWithState(_changed, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, linger_ms: int):
+        self.linger_ms = linger_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "payload string, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before, done = self.last.get() if self.last.exists() else (None, False)
+        if done:
+            return
+        words: dict[str | None, int] = {before: 0}
+        parts = []  # per row two numbers and a code, however long the snapshots are
+        for part in rows:
+            codes = part.payload.map(lambda text: words.setdefault(text, len(words))).to_numpy(np.int32)
+            parts.append((_millis(part.ts), part.event_id.to_numpy(np.int64), codes))
+        at, event, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((event, at))
+        at, event, code = at[order], event[order], code[order]
+        names = list(words)
+        final = np.array([(w or "").split("|")[0] in TERMINAL for w in names])
+        ends = np.flatnonzero(final[code])
+        live = slice(0, int(ends[0]) + 1) if len(ends) else slice(None)
+        at, event, code = at[live], event[live], code[live]
+        new = np.flatnonzero(code != np.concatenate(([0], code[:-1])))
+        self.last.update((names[code[-1]], bool(len(ends))))
+        if len(ends):
+            self.handle.registerTimer(max(int(at[-1]) // 1000 + self.linger_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"run_id": _texts([key[0]] * len(new)), "ts": at[new].astype("datetime64[us]"), "event_id": event[new], "payload": _texts([names[c] for c in code[new]])})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def progress_stream(updates: DataFrame, delay: str = "1 hour", linger_s: int = 86_400) -> DataFrame:
+    """Streaming twin: the last snapshot of each run is its state.
+
+    Rows later than ``delay`` are dropped. Rows of a finished run are ignored for ``linger_s`` seconds of event time; a row after that, if it is not too
+    late itself, begins the run anew.
+    """
+    rows = with_payload(updates).select("run_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "payload").withWatermark("ts", delay)
+    return with_state_store(rows).groupBy("run_id").transformWithStateInPandas(Progress(linger_s * 1000), CHANGE, "Append", "EventTime")
 
 
 def claim_once(claims: DataFrame) -> DataFrame:
@@ -83,31 +129,49 @@ def claim_stream(claims: DataFrame, delay: str = "1 hour") -> DataFrame:
     return claims.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id"])
 
 
-def _overdue(timeout_s: int):
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["run_id", "status", "last_ts"]
-        if state.hasTimedOut:
-            status, last = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], status, last)], columns=columns)
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        status, last = rows.status.iloc[-1], rows.ts.iloc[-1]
-        if status in ("queued", "running"):
-            state.update((status, last))
-            state.setTimeoutDuration(timeout_s * 1000)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([], columns=columns)
-
-    return watch
-
-
-def overdue_stream(updates: DataFrame, timeout_s: int) -> DataFrame:
-    """Runs without an update for ``timeout_s``: a processing-time timer per open run."""
-    rows = updates.select("run_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
-    return rows.groupBy("run_id").applyInPandasWithState(
-        _overdue(timeout_s), OVERDUE, "status string, last_ts timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
+class Overdue(StatefulProcessor):
+    """Status and time of the last update of each open run, with one event-time timer."""
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string, at bigint, event_id bigint")
+
+    def _timer(self, at: int) -> int:
+        return at // 1000 + self.timeout_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = self.last.get() if self.last.exists() else None
+        best = (old[1], old[2], old[0]) if old else None
+        for part in rows:
+            at, event = _millis(part.ts), part.event_id.to_numpy(np.int64)
+            i = int(np.lexsort((event, at))[-1])
+            here = (int(at[i]), int(event[i]), part.status.iloc[i])
+            best = here if best is None or here[:2] >= best[:2] else best
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if best[2] in OPEN:
+            self.last.update((best[2], best[0], best[1]))
+            self.handle.registerTimer(max(self._timer(best[0]), timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.last.clear()
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, at, _ = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"run_id": _texts([key[0]]), "status": _texts([status]), "last_ts": np.array([at]).astype("datetime64[us]")})
+
+    def close(self) -> None:
+        pass
+
+
+def overdue_stream(updates: DataFrame, timeout_s: int, delay: str = "1 hour") -> DataFrame:
+    """Open runs without an update for ``timeout_s`` seconds of event time, each once; a later update watches the run anew."""
+    rows = updates.select("run_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status").withWatermark("ts", delay)
+    return with_state_store(rows).groupBy("run_id").transformWithStateInPandas(Overdue(timeout_s * 1000), OVERDUE, "Append", "EventTime")
 
 
 by_value(__name__)
