@@ -8,6 +8,7 @@ everything a decision needs, so no list of findings is ever gathered.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ class Gate:
     warnings: DataFrame
     verdicts: DataFrame
     refused: DataFrame
+    counted: DataFrame
 
 
 def first_locations(locations: DataFrame) -> DataFrame:
@@ -70,14 +72,21 @@ def blocking_reason() -> Column:
     )
 
 
-def outcomes(findings: DataFrame, policies: list[Policy], waivers: DataFrame, today: Column) -> DataFrame:
-    """Each finding under each policy with its outcome.
+#: What a decision can tell findings apart by: those that agree in all of it are one cell.
+CELL = ["run_id", "rule_id", "category", "severity", "status", "llm_dismissed", "is_new", "expires"]
+
+
+def with_waivers(findings: DataFrame, waivers: DataFrame) -> DataFrame:
+    covers = waivers.select(F.col("finding_id").alias("id"), F.col("owner"), F.col("reason").alias("waiver_reason"), "expires")
+    return findings.join(covers, "id", "left")
+
+
+def judged(rows: DataFrame, policies: list[Policy], today: Column) -> DataFrame:
+    """Each row, a finding with its waiver or a cell of them, under each policy with its outcome.
 
     ``outcome``: ignored, inherited, considered, violation, expired_waiver or waived.
     """
-    rows = with_policies(findings, policies).withColumns({"reason": blocking_reason(), "actionable": actionable()})
-    covers = waivers.select(F.col("finding_id").alias("id"), F.col("owner"), F.col("reason").alias("waiver_reason"), "expires")
-    rows = rows.join(covers, "id", "left")
+    rows = with_policies(rows, policies).withColumns({"reason": blocking_reason(), "actionable": actionable()})
     outcome = (
         F.when(~F.col("actionable"), "ignored")
         .when((F.col("baseline_mode") == "new_only") & ~F.col("is_new"), "inherited")
@@ -90,6 +99,23 @@ def outcomes(findings: DataFrame, policies: list[Policy], waivers: DataFrame, to
     return rows.withColumn("outcome", outcome).withColumn("over_ttl", (F.col("outcome") == "waived") & over)
 
 
+def outcomes(findings: DataFrame, policies: list[Policy], waivers: DataFrame, today: Column) -> DataFrame:
+    """Each finding under each policy: as many rows as their product. Decisions are made on cells instead."""
+    return judged(with_waivers(findings, waivers), policies, today)
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Findings counted by all that a policy looks at; policies meet these rows, not the findings."""
+    return rows.groupBy(*CELL).agg(F.count("*").alias("n"))
+
+
+def members(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """The findings of judged cells, with policy and outcome; only these leave the tally as rows."""
+    by = [rows[c].eqNullSafe(F.col(f"cell_{c}")) for c in CELL]
+    named = cases.select(*[F.col(c).alias(f"cell_{c}") for c in CELL], "policy", "reason", "outcome", "max_waiver_days")
+    return rows.join(named, reduce(Column.__and__, by)).drop(*[f"cell_{c}" for c in CELL])
+
+
 def finding_violations(rows: DataFrame) -> DataFrame:
     owner = F.when(F.coalesce("owner", F.lit("")) == "", "unknown").otherwise(F.col("owner"))
     detail = (
@@ -106,11 +132,11 @@ def finding_violations(rows: DataFrame) -> DataFrame:
 
 
 def budget_violations(rows: DataFrame) -> DataFrame:
-    """Severities whose considered findings exceed the policy's budget."""
+    """Severities whose considered findings exceed the policy's budget, from judged cells."""
     limit = F.lit(UNLIMITED)
     for s in SEVERITIES:
         limit = F.when(F.col("severity") == s, F.col(f"budget_{s}")).otherwise(limit)
-    counts = rows.where("outcome = 'considered'").groupBy("run_id", "policy", "severity", limit.alias("limit")).agg(F.count("*").alias("n"))
+    counts = rows.where("outcome = 'considered'").groupBy("run_id", "policy", "severity", limit.alias("limit")).agg(F.sum("n").alias("n"))
     over = counts.where((F.col("limit") != UNLIMITED) & (F.col("n") > F.col("limit")))
     detail = F.concat(F.col("n").cast("string"), F.lit(" "), "severity", F.lit(" findings exceed the budget of "), F.col("limit").cast("string"))
     return over.select(
@@ -137,14 +163,14 @@ def degraded_violations(cases: DataFrame) -> DataFrame:
 
 
 def tally(rows: DataFrame) -> DataFrame:
-    """Everything a verdict needs from the findings of a run, in one aggregate."""
+    """Everything a verdict needs from the judged cells of a run, in one aggregate."""
     outcome, severity = F.col("outcome"), F.col("severity")
 
     def count(condition: Column, name: str) -> Column:
-        return F.count(F.when(condition, 1)).alias(name)
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
 
     return rows.groupBy("run_id", "policy").agg(
-        F.count("*").alias("total_findings"),
+        F.sum("n").alias("total_findings"),
         *[count(severity == s, s) for s in SEVERITIES],
         *[count((severity == s) & F.col("is_new"), f"new_{s}") for s in SEVERITIES],
         *[count((severity == s) & (outcome == "considered"), f"considered_{s}") for s in SEVERITIES],
@@ -196,17 +222,20 @@ def evaluate(runs: DataFrame, findings: DataFrame, degraded: DataFrame, waivers:
     seen = examined(runs, degraded)
     cases = with_policies(seen, policies)
     whole = seen.where("run_status <> 'failed'").select("run_id")
-    rows = outcomes(findings.join(whole, "run_id", "left_semi"), policies, waivers, today)
-    found = finding_violations(rows).unionByName(budget_violations(rows)).unionByName(degraded_violations(cases))
-    waived = rows.where("outcome = 'waived'").select("run_id", "policy", F.col("id").alias("finding_id"), "title", "severity", "owner",
-                                                    F.col("waiver_reason").alias("reason"), "expires")
-    over = rows.where("over_ttl").select(
+    rows = with_waivers(findings.join(whole, "run_id", "left_semi"), waivers)
+    under = judged(cells(rows), policies, today)
+    blocked = members(rows, under.where(F.col("outcome").isin("violation", "expired_waiver")))
+    found = finding_violations(blocked).unionByName(budget_violations(under)).unionByName(degraded_violations(cases))
+    waived = members(rows, under.where("outcome = 'waived'")).select(
+        "run_id", "policy", F.col("id").alias("finding_id"), "title", "severity", "owner", F.col("waiver_reason").alias("reason"), "expires")
+    over = members(rows, under.where("over_ttl")).select(
         "run_id", "policy", F.concat(F.lit("waiver for "), F.substring("id", 1, 12), F.lit(" runs past the "),
                                      F.col("max_waiver_days").cast("string"), F.lit("-day maximum (expires "), F.col("expires").cast("string"), F.lit(")")).alias("warning"))
     partial = cases.where((F.size("stages") > 0) & (F.col("on_degraded") == "warn")).select(
         "run_id", "policy", F.concat(F.lit("scan incomplete: "), F.concat_ws(", ", "stages"), F.lit(" did not finish; findings may be partial")).alias("warning"))
     refused = runs.where(~F.col("status").isin(TERMINAL)).select(
         "run_id", F.concat(F.lit("run is "), "status", F.lit("; the gate needs a finished scan")).alias("error"))
+    inherited = members(rows, under.where("outcome = 'inherited'"))
     return Gate(
-        rows, found, waived, rows.where("outcome = 'inherited'").select("run_id", "policy", "id", "rule_id", "category", "title", "severity", "status", "artifact_path"),
-        partial.unionByName(over), verdicts(cases, tally(rows)), refused)
+        judged(rows, policies, today), found, waived, inherited.select("run_id", "policy", "id", "rule_id", "category", "title", "severity", "status", "artifact_path"),
+        partial.unionByName(over), verdicts(cases, tally(under)), refused, under)

@@ -133,7 +133,7 @@ def _(t):
 
 @query("agg_07_budget_check", f"{THREE} SELECT run_id, policy, severity, detail FROM violations WHERE kind = 'budget_exceeded'", VIEWS_)
 def _(t):
-    return G.budget_violations(gate(t, [DEFAULT, STRICT, OPEN]).outcomes).select("run_id", "policy", "severity", "detail")
+    return G.budget_violations(gate(t, [DEFAULT, STRICT, OPEN]).counted).select("run_id", "policy", "severity", "detail")
 
 
 @query("gat_06_gate_verdict", f"{ONE} SELECT * FROM verdicts", VIEWS_)

@@ -75,12 +75,12 @@ def _(t):
     return R.residue(strings(t), _matches(t))
 
 
-@query("jon_16_unmatched_strings", f"WITH {MATCHED} SELECT path_in_tree, byte_offset, value FROM strings s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.path_in_tree = s.path_in_tree AND k.byte_offset = s.byte_offset)", ("texts",))
+@query("jon_16_unmatched_strings", f"WITH {MATCHED} SELECT path_in_tree, byte_offset, value FROM strings ANTI JOIN (SELECT DISTINCT path_in_tree, byte_offset AS byte_offset FROM kept) k USING (path_in_tree, byte_offset)", ("texts",))
 def _(t):
     return R.unmatched(strings(t), _matches(t)).select("path_in_tree", "byte_offset", "value")
 
 
-@query("jon_16_unmatched_strict", f"WITH {MATCHED} SELECT path_in_tree, byte_offset, value FROM strings s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.path_in_tree = s.path_in_tree AND k.string_offset = s.byte_offset)", ("texts",))
+@query("jon_16_unmatched_strict", f"WITH {MATCHED} SELECT path_in_tree, byte_offset, value FROM strings ANTI JOIN (SELECT DISTINCT path_in_tree, string_offset AS byte_offset FROM kept) k USING (path_in_tree, byte_offset)", ("texts",))
 def _(t):
     return R.unmatched(strings(t), _matches(t), strict=True).select("path_in_tree", "byte_offset", "value")
 

@@ -1,6 +1,7 @@
 """Correlation, gate and ordered operators on small cases."""
 
 import hashlib
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -130,3 +131,21 @@ def test_run_diff(spark):
     f = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2"), ("b", "3")], "run_id string, id string")
     links = spark.createDataFrame([("a", None), ("b", "a")], "run_id string, baseline_id string")
     assert {(r.id, r.change) for r in R.run_diff(f, links).collect()} == {("1", "fixed"), ("2", "inherited"), ("3", "new")}
+
+
+def test_many_policies_meet_cells_not_findings(spark):
+    rows = [("r", f"f{i}", f"rule{i % 3}", "cat", ("critical", "low", "high")[i % 3], "T", "open", None, i % 2 == 0) for i in range(600)]
+    findings = spark.createDataFrame(rows, "run_id string, id string, rule_id string, category string, severity string, title string, status string, llm_verdict string, is_new boolean")
+    findings = findings.withColumns({"llm_dismissed": F.lit(False), "artifact_path": F.lit("p"), "byte_offset": F.lit(1)})
+    waivers = spark.createDataFrame([("f0", "r", "o", date(2024, 3, 1)), ("f3", "r", "o", date(2024, 1, 1)), ("f6", "r", "o", date(2030, 1, 1))], "finding_id string, reason string, owner string, expires date")
+    policies = [Policy(name=f"p{i}", floor="critical" if i % 2 else None, budgets={"low": i}, baseline_mode="all") for i in range(40)]
+    runs = spark.createDataFrame([("r", "completed")], "run_id string, status string")
+    none = spark.createDataFrame([], "run_id string, stages array<string>")
+    gate = G.evaluate(runs, findings, none, waivers, policies, F.expr("DATE '2024-02-15'"))
+    assert gate.counted.count() == 40 * gate.counted.where("policy = 'p0'").count() <= 40 * 9
+    plain = gate.outcomes.groupBy("policy", "outcome").count()
+    cells = gate.counted.groupBy("policy", "outcome").agg(F.sum("n").alias("count"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cells.collect()))
+    assert gate.violations.where("policy = 'p1' AND finding_id <> ''").count() == 198 and gate.waived.where("policy = 'p1'").count() == 2
+    assert {r["n"] for r in gate.violations.where("kind = 'expired_waiver'").groupBy("policy").agg(F.count("*").alias("n")).collect()} == {1}
+    assert gate.warnings.where("policy = 'p1'").count() == 1
