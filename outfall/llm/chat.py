@@ -35,6 +35,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Tokens in one row of the output.
 CHUNK = 65_536
 
+#: White space in a row from which a text is cut; the class is that of the word pattern, which is not Python's.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}")
+
 _RAW = re.compile("|".join(re.escape(m[0]) + r"(\\*)" + re.escape(m[1:]) for m in MARKS))
 _OUT = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("last", pa.bool_()), ("input_ids", pa.list_(pa.int32())),
                   ("loss_mask", pa.list_(pa.int8())), ("text", pa.string())])
@@ -56,15 +60,29 @@ def _encoding(raw: bytes):
     return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
+def encode(encoding, text: str) -> list[int]:
+    """The encoding's own ids of a text of any shape.
+
+    Its word pattern gives up, and the process with it, on about a million white-space characters in a row. Such a run is one word up to its last
+    place, which may belong to the next word, so the text is cut there and the run is merged without the pattern.
+    """
+    ids, at = [], 0
+    for run in _LONG_SPACE.finditer(text) if len(text) >= LONG_SPACE else ():
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at:run.start()]) + encoding._encode_single_piece(text[run.start():end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def _segments(raw: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each turn's own tokens: an escaped role (empty for the known ones) and an escaped text."""
     encoding, _ = _encoding(raw)
     for batch in pieces(batches, "text"):
         roles = [escape(r) if r not in TURNS else "" for r in batch.column("role").to_pylist()]
         texts = [escape(t) for t in batch.column("text").to_pylist()]
-        ids = encoding.encode_ordinary_batch(texts, num_threads=1)
+        ids = [encode(encoding, t) for t in texts]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), pa.array(texts, pa.string()),
-                                          pa.array([encoding.encode_ordinary(r) for r in roles], pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))],
+                                          pa.array([encode(encoding, r) for r in roles], pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))],
                                          names=["conv_id", "turn", "role", "written", "role_ids", "ids"])
 
 

@@ -8,6 +8,7 @@ of a bounded sample of the pages: as they stand, labelled by the elements they a
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
@@ -26,9 +27,11 @@ SAMPLE_PAGES = 300
 BUCKETS = 1 << 12
 EMBED, HIDDEN, SHAPE = 12, 12, 5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|textarea|title|svg|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_RAW = re.compile(r"(script|style|template|noscript|iframe|textarea|title|svg|select|object)\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style template noscript iframe textarea title svg select object".split()}
+_INNER = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+")
+_MARK = re.compile(r"['\">]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements that run inside a line of text, that stand alone, and that an opening block closes.
@@ -49,17 +52,112 @@ class Block:
     linked: int
 
 
+class Tags:
+    """Where a tag ends: at the first ``>`` outside of quotes, or with the page.
+
+    A quote that is never closed makes a text of what looked like a tag. To find that out takes a look at the rest of the page; from then on each quote
+    is looked at once only, so a page full of such quotes still takes time in proportion to its size.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends: dict[int, int] | None = None
+
+    def _ends(self) -> dict[int, int]:
+        """For each quote or ``>``, met outside of quotes: the end of its tag, or -1."""
+        marks = [(m.start(), m[0]) for m in _MARK.finditer(self.page)]
+        after: dict[str, int] = {}  # the next quote of a kind
+        ends: dict[int, int] = {}
+        self.marks = [at for at, _ in marks]
+        for k in range(len(marks) - 1, -1, -1):
+            at, c = marks[k]
+            if c == ">":
+                ends[k] = at
+            else:
+                close = after.get(c)
+                ends[k] = -1 if close is None else ends.get(close + 1, len(self.page))
+                after[c] = k
+        return ends
+
+    def end(self, start: int) -> int:
+        """The place of the ``>``, the length of the page, or -1."""
+        if self.ends is None:
+            at = _INNER.match(self.page, start).end()
+            if at == len(self.page) or self.page[at] == ">":
+                return at
+            self.ends = self._ends()
+        return self.ends.get(bisect.bisect_left(self.marks, start), len(self.page))
+
+
+class Stack:
+    """Open elements with the names on the way to the innermost, each once, in order; no step looks through all of it."""
+
+    def __init__(self) -> None:
+        self.names: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.count: dict[str, int] = {}
+
+    def push(self, name: str, hints: list[str]) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        own = (name, *(f".{h}" for h in hints))
+        self.names.append((name, own))
+        for n in own:
+            self.count[n] = self.count.get(n, 0) + 1
+
+    def pop(self) -> None:
+        name, own = self.names.pop()
+        self.at[name].pop()
+        for n in own:
+            self.count[n] -= 1
+            if not self.count[n]:
+                del self.count[n]
+
+    def close(self, name: str) -> None:
+        if self.at.get(name):
+            to = self.at[name][-1]
+            while len(self.names) > to:
+                self.pop()
+
+    def path(self) -> tuple[str, ...]:
+        return tuple(self.count)
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, closing, name, attributes) of markup; the name of what is no element, or holds no text to read, is None."""
+    tags, at = Tags(page), 0
+    while m := _TOKEN.search(page, at):
+        if m[2] is None:
+            yield m.start(), m.end(), False, None, ""
+            at = m.end()
+            continue
+        raw = None if m[1] else _RAW.match(page, m.start(2))
+        if raw and 0 <= (end := tags.end(raw.end())) < len(page):
+            stop = _RAW_END[raw[1].lower()].search(page, end + 1)
+            at = stop.end() if stop else len(page)
+            yield m.start(), at, False, None, ""
+            continue
+        name = m[2]
+        if (end := tags.end(m.end())) < 0 and (quote := _MARK.search(name)):
+            name = name[: quote.start()]
+            end = tags.end(m.start(2) + len(name))
+        if end < 0:
+            at = m.start() + 1
+            continue
+        at = min(end + 1, len(page))
+        yield m.start(), at, bool(m[1]), name.lower(), page[m.start(2) + len(name):end]
+
+
 def blocks(page: str) -> list[Block]:
     """Runs of text between block elements, with character references decoded and white space as one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     run: list[str] = []
     linked = anchors = at = 0
 
     def end() -> None:
         nonlocal linked
         if run and (text := " ".join("".join(run).split())):
-            out.append(Block(tuple(dict.fromkeys(n for _, names in stack for n in names)), text, linked))
+            out.append(Block(stack.path(), text, linked))
         run.clear()
         linked = 0
 
@@ -71,30 +169,26 @@ def blocks(page: str) -> list[Block]:
             if anchors:
                 linked += len(text)
 
-    for m in _TOKEN.finditer(page):
-        say(page[at:m.start()])
-        at = m.end()
-        if not m[3]:
+    for start, stop, closing, name, attributes in tokens(page):
+        say(page[at:start])
+        at = stop
+        if not name:
             continue
-        name = m[3].lower()
         if name in INLINE:
-            anchors = max(0, anchors + (-1 if m[2] else 1)) if name == "a" else anchors
+            anchors = max(0, anchors + (-1 if closing else 1)) if name == "a" else anchors
             continue
         if name in ("br", "hr") or name in VOID:
             run.append(" ")
             continue
         end()
         anchors = 0
-        names = [n for n, _ in stack]
-        if m[2]:
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name):]
+        if closing:
+            stack.close(name)
             continue
-        while stack and (stack[-1][0] in CLOSES.get(name, ()) or stack[-1][0] == "p" and name in CLOSE_P):
+        while stack.names and (stack.names[-1][0] in CLOSES.get(name, ()) or stack.names[-1][0] == "p" and name in CLOSE_P):
             stack.pop()
-        hints = [w for a in _ATTRIBUTE.finditer(m[4]) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())] if m[4] else []
-        if not m[4].endswith("/") or name not in VOID:
-            stack.append((name, (name, *(f".{h}" for h in hints))))
+        hints = [w for a in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())] if attributes else []
+        stack.push(name, hints)
     say(page[at:])
     end()
     return out
