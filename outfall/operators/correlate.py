@@ -83,13 +83,28 @@ def group_evidence(places: DataFrame) -> DataFrame:
     )
 
 
+def probe(pattern: Column) -> Column:
+    """Struct (tail, size, text): the longer of the pattern's literal beginning and literal end; a path it covers has it in the same place."""
+    head, tail = F.regexp_extract(pattern, r"^[^*?\[]*", 0), F.regexp_extract(pattern, r"[^*?\[\]]*$", 0)
+    longer = F.length(tail) > F.length(head)
+    text = F.when(longer, tail).otherwise(head)
+    return F.struct(longer.alias("tail"), F.length(text).alias("size"), text.alias("text"))
+
+
 def suppressed_groups(groups: DataFrame, suppressions: DataFrame, how: str) -> DataFrame:
-    """Groups (``left_semi``) or all others (``left_anti``) whose anchor path an exemption covers."""
-    s = suppressions.select(
-        F.col("rule_id").alias("s_rule"), F.col("value_hash").alias("s_hash"), glob_regex(F.col("path_pattern")).alias("s_path"),
-    )
-    same = (F.col("rule_id") == F.col("s_rule")) & (F.col("value_hash") == F.col("s_hash"))
-    return groups.join(s, same & F.regexp_like("anchor.path_in_tree", F.col("s_path")), how)
+    """Groups (``left_semi``) or all others (``left_anti``) whose anchor path an exemption covers.
+
+    A path is looked up by its beginnings and ends of the sizes that patterns of its (rule, value) have, so it meets the patterns that share
+    their literal part with it, not all of them; the expression runs on those only.
+    """
+    s = suppressions.select("rule_id", "value_hash", "path_pattern", probe(F.col("path_pattern")).alias("p")).select("rule_id", "value_hash", "path_pattern", "p.*")
+    sizes = s.groupBy("rule_id", "value_hash").agg(F.collect_set(F.struct("tail", "size")).alias("sizes"))  # at most two for each length of a pattern
+    asked = groups.select(*GROUP, F.col("anchor.path_in_tree").alias("path")).join(sizes, ["rule_id", "value_hash"])
+    asked = asked.select(*GROUP, "path", F.inline("sizes")).where(F.col("size") <= F.length("path"))
+    asked = asked.withColumn("text", F.when(F.col("tail"), F.expr("right(path, size)")).otherwise(F.expr("left(path, size)")))
+    met = asked.join(s, ["rule_id", "value_hash", "tail", "size", "text"])
+    covered = met.where(F.regexp_like("path", glob_regex(F.col("path_pattern")))).select(*GROUP).distinct()
+    return groups.join(covered, GROUP, how)
 
 
 def score_groups(groups: DataFrame, rules: DataFrame) -> DataFrame:

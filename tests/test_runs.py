@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from outfall.operators.correlate import cluster_rules, glob_regex
+from outfall.operators.correlate import cluster_rules, glob_regex, suppressed_groups
 from outfall.operators.gate import Gate
 from outfall.plans import scan as PS
 from outfall.plans.exports import sarif_lines
@@ -31,6 +31,25 @@ def test_path_patterns_match_like_a_shell(spark):
         assert row["hit"] == bool(re.match(fnmatch.translate(row["pattern"]), row["path"])), row
 
 
+def test_many_patterns_of_one_value(spark):
+    rng = random.Random(3)
+    pieces = ["a", "b/", "x.z", "*", "?", "[ab]", "[!a]", "[", "]", "é"]
+    patterns = sorted({"".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(300)} - {"*", "?*", "*?", "**"})
+    paths = sorted({"".join(rng.choice(["a", "b/", "x.z", "[", "]", "é", "q"]) for _ in range(rng.randint(1, 4))) for _ in range(60)})
+    groups = spark.createDataFrame([(f"r{i}", "rule", "v", (p,)) for i, p in enumerate(paths)], "run_id string, rule_id string, value_hash string, anchor struct<path_in_tree: string>")
+    one = lambda found: spark.createDataFrame([("rule", "v", p) for p in found], "rule_id string, value_hash string, path_pattern string")
+    for some in (patterns[::7], patterns[3::40], patterns[5:8]):
+        want = sorted(p for p in paths if any(re.match(fnmatch.translate(x), p) for x in some))
+        for how in ("left_semi", "left_anti"):
+            got = sorted(r["anchor"]["path_in_tree"] for r in suppressed_groups(groups, one(some), how).collect())
+            assert got == (want if how == "left_semi" else sorted(set(paths) - set(want))), some
+    # 100,000 patterns on one value: only those that share their literal part are tried
+    many = spark.range(100_000).select(F.lit("rule").alias("rule_id"), F.lit("v").alias("value_hash"), F.concat(F.lit("dir"), F.format_string("%06d", "id"), F.lit("/*.txt")).alias("path_pattern"))
+    rows = spark.range(2_000).select(F.concat(F.lit("r"), "id").alias("run_id"), F.lit("rule").alias("rule_id"), F.lit("v").alias("value_hash"),
+                                     F.struct(F.concat(F.lit("dir"), F.format_string("%06d", F.col("id") * 70), F.lit("/a.txt")).alias("path_in_tree")).alias("anchor"))
+    assert suppressed_groups(rows, many, "left_semi").count() == 1429
+
+
 def test_a_clean_rerun_replaces_findings_and_passes(spark, tmp_path):
     base, pack = str(tmp_path / "out"), builtin_pack()
     rows = lambda *r: spark.createDataFrame([(run, path, text.encode()) for run, path, text in r], "run_id string, path_in_tree string, content binary")
