@@ -137,21 +137,3 @@ def extract_strings(artifacts: DataFrame, keys: list[str], content: str = "conte
     """``strings``: keys, value, byte_offset, encoding, of whole files or of the ranges of ``artifact_ranges``."""
     df = with_string_columns(_latin1_rows(artifacts, keys, content))
     return df.select(*keys, F.inline(string_array(is_ranged(artifacts))))
-
-
-def strings_sql(content: str = "content") -> str:
-    """The ASCII extraction as SQL text for a lateral ``inline``; ``content`` names a binary column.
-
-    ``SELECT key, s.* FROM t LATERAL VIEW inline(<this>) s AS value, byte_offset, encoding``
-    """
-    text = f"decode({content}, 'ISO-8859-1')"
-    # string literals in SQL text: a backslash is written twice
-    run = ASCII_RUN.replace("\\", "\\\\")
-    once = f"named_struct('r', regexp_extract_all({text}, '{run}', 0), 'g', transform(split({text}, '{run}', -1), g -> length(g)))"
-    # the array of one struct binds matches and gaps once per row
-    return (
-        f"flatten(transform(array({once}), t -> transform(filter(sequence(0, size(t.r)), i -> i < size(t.r)), i -> named_struct("
-        f"'value', t.r[i], 'byte_offset',"
-        f" aggregate(slice(t.g, 1, i + 1), 0L, (a, x) -> a + x)"
-        f" + aggregate(slice(t.r, 1, i), 0L, (a, m) -> a + length(m)), 'encoding', 'ascii'))))"
-    )

@@ -50,7 +50,7 @@ def claim(value: str, lowered: str) -> Column:
     branches = []
     for name, regex, needs in PROBES:
         pattern = literal("(?i)" + regex)
-        found = f"substring(regexp_extract({value}, {pattern}, 1), 1, {VALUE_CHARS})"
+        found = f"regexp_extract({value}, {pattern}, 1)"
         branches.append(f"WHEN {possible(needs, value, lowered)} AND rlike({value}, {pattern}) THEN named_struct('category', '{name}', 'found', {found})")
     return F.expr(f"CASE {' '.join(branches)} END")
 
@@ -73,11 +73,11 @@ def recon_summary(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def recon_samples(counts: DataFrame, by: list[str], per_category: int = PER_CATEGORY) -> DataFrame:
-    """Rare values first, then by value; values seen too often are structure and drop out."""
+    """Rare values first, then by value; values seen too often are structure and drop out.  Values are counted whole and shown shortened."""
     rank = W.partitionBy(*by, "category").orderBy("occurrences", "found")
     kept = counts.where(F.col("occurrences") <= UBIQUITY).withColumn("rank", F.row_number().over(rank))
     return kept.where(F.col("rank") <= per_category).select(
-        *by, "category", "rank", "found", "occurrences", "first.path_in_tree", "first.byte_offset", "first.encoding")
+        *by, "category", "rank", F.substring("found", 1, VALUE_CHARS).alias("found"), "occurrences", "first.path_in_tree", "first.byte_offset", "first.encoding")
 
 
 def files_scanned(strings: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outfall.functions import text as T
+from outfall.functions.register import register_functions
 from outfall.operators import composition as M
 from outfall.operators import extract, match
 from outfall.operators import recon as R
@@ -28,7 +29,7 @@ def _re2(name: str, regex: str) -> str:
 CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(value, {O.q(_re2(n, x))}) THEN {O.q(n)}" for n, x, _ in R.PROBES) + " END"
 FOUND = "CASE category " + " ".join(f"WHEN {O.q(n)} THEN regexp_extract(value, {O.q(_re2(n, x))}, 1)" for n, x, _ in R.PROBES) + " END"
 CLAIMS = f"""{O.strings_ctes()}, tagged AS (SELECT *, {CATEGORY} AS category FROM strings),
-claims AS MATERIALIZED (SELECT path_in_tree, byte_offset, category, substr({FOUND}, 1, 200) AS found FROM tagged WHERE category IS NOT NULL),
+claims AS MATERIALIZED (SELECT path_in_tree, byte_offset, category, {FOUND} AS found FROM tagged WHERE category IS NOT NULL),
 counts AS (SELECT category, found, count(*) AS occurrences, arg_min(path_in_tree, (path_in_tree, byte_offset)) AS path_in_tree, arg_min(byte_offset, (path_in_tree, byte_offset)) AS byte_offset FROM claims GROUP BY ALL)"""
 
 
@@ -51,7 +52,7 @@ def _(t):
     return R.recon_summary(counts(t), []).withColumn("files_scanned", scanned.scalar())
 
 
-@query("win_01_recon_ranking", f"""WITH {CLAIMS} SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY occurrences, found) AS INT) AS rank, found, CAST(occurrences AS BIGINT) AS occurrences, path_in_tree, byte_offset, 'ascii' AS encoding
+@query("win_01_recon_ranking", f"""WITH {CLAIMS} SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY occurrences, counts.found) AS INT) AS rank, substr(counts.found, 1, 200) AS found, CAST(occurrences AS BIGINT) AS occurrences, path_in_tree, byte_offset, 'ascii' AS encoding
 FROM counts WHERE occurrences <= 40 QUALIFY rank <= 60""", ("texts",))
 def _(t):
     return R.recon_samples(counts(t), [])
@@ -175,6 +176,13 @@ def _(t):
     return both.select("path_in_tree", "name", "version", T.purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"))
 
 
+@query("udf_01_purl", f"WITH {DECLARED} SELECT path_in_tree, name, version, {PURL} AS purl FROM declared", ("manifest_files",))
+def _(t):
+    register_functions(t.spark)
+    declared(t).createOrReplaceTempView("outfall_declared")
+    return t.spark.sql("SELECT path_in_tree, name, version, outfall_purl(ecosystem, name, version) AS purl FROM outfall_declared")
+
+
 @query("fn_09_clean_spdx", f"""WITH w AS (SELECT o_orderkey, CASE o_custkey % 6 WHEN 0 THEN ' Unknown ' WHEN 1 THEN 'SEE LICENSE IN x' WHEN 2 THEN './' || o_orderpriority WHEN 3 THEN o_orderpriority || '.md' WHEN 4 THEN chr(9) || o_orderpriority || ' ' ELSE 'null' END AS v FROM orders)
 SELECT o_orderkey, {_clean('v')} AS cleaned, {_spdx('v')} AS expression FROM w""")
 def _(t):

@@ -165,15 +165,16 @@ def _(t):
 
 # --- SQL functions ---------------------------------------------------------------------
 @query("udf_01_sql_functions", f"""WITH {O.strings_ctes()} SELECT path_in_tree, byte_offset, round({O.entropy('value')}, 6) AS entropy, {O.mask('value')} AS masked, substr(sha256('r' || chr(31) || sha256(value) || chr(31) || path_in_tree || chr(31) || byte_offset), 1, 32) AS id,
- 99 AS rank, regexp_replace(value, '([A-Za-z0-9+/=_-]{{4}})[A-Za-z0-9+/=_-]{{12,}}([A-Za-z0-9+/=_-]{{4}})', '\\1••••••••••••\\2', 'g') AS hidden FROM strings""", ("texts",))
+ CAST(least(byte_offset % 7, 5) + CASE WHEN byte_offset % 7 >= 5 THEN 94 ELSE 0 END AS INT) AS rank, regexp_replace(value, '([A-Za-z0-9+/=_-]{{4}})[A-Za-z0-9+/=_-]{{12,}}([A-Za-z0-9+/=_-]{{4}})', '\\1••••••••••••\\2', 'g') AS hidden FROM strings""", ("texts",))
 def _(t):
     register_functions(t.spark)
     extract.extract_strings(t.artifacts(), ["path_in_tree"]).createOrReplaceTempView("outfall_strings")
     return t.spark.sql("""SELECT path_in_tree, byte_offset, round(outfall_entropy(value), 6) AS entropy, outfall_mask(value) AS masked,
-        outfall_finding_id('r', sha2(value, 256), path_in_tree, byte_offset) AS id, outfall_severity_rank(value) AS rank, outfall_mask_secretish(value) AS hidden FROM outfall_strings""")
+        outfall_finding_id('r', sha2(value, 256), path_in_tree, byte_offset) AS id, outfall_severity_rank(element_at(array('critical', 'high', 'medium', 'low', 'info', 'none', ''), CAST(byte_offset % 7 AS INT) + 1)) AS rank, outfall_mask_secretish(value) AS hidden FROM outfall_strings""")
 
 
 @query("udf_02_lateral_strings", f"WITH {O.strings_ctes()} SELECT path_in_tree, value, byte_offset, 'ascii' AS encoding FROM strings", ("texts",))
 def _(t):
+    register_functions(t.spark)
     t.artifacts().createOrReplaceTempView("outfall_artifacts")
-    return t.spark.sql(f"SELECT path_in_tree, s.* FROM outfall_artifacts LATERAL VIEW inline({extract.strings_sql()}) s AS value, byte_offset, encoding")
+    return t.spark.sql("SELECT a.path_in_tree, s.* FROM outfall_artifacts a, LATERAL outfall_strings(a.content) s")

@@ -113,3 +113,39 @@ def test_result_does_not_depend_on_partitioning(spark):
     one = match.scan(df.coalesce(1), builtin_pack(), KEYS)
     many = match.scan(df.repartition(7), builtin_pack(), KEYS)
     assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
+def test_sql_functions(spark):
+    from outfall.functions.register import register_functions
+
+    register_functions(spark)
+    big = b"\x01".join([b"text line %06d" % i for i in range(400_000)]) + "wide secret".encode("utf-16le")
+    rows = [("big", bytearray(big)), ("none", None), ("empty", bytearray()), ("odd", bytearray(b"odd\0" + "wide value here".encode("utf-16le")))]
+    spark.createDataFrame(rows, "path_in_tree string, content binary").createOrReplaceTempView("outfall_test_files")
+    found = spark.sql("SELECT f.path_in_tree, s.* FROM outfall_test_files f, LATERAL outfall_strings(f.content) s")
+    want = extract.extract_strings(spark.table("outfall_test_files"), KEYS)
+    assert found.count() == want.count() == 400_002 and found.exceptAll(want).isEmpty()
+    cases = [("npm", "@a b/c", "1.0+x"), ("golang", "github.com/x/é", "v1"), ("pypi", "lib", ""), ("npm", "plain", "2")]
+    from pyspark.sql import functions as F
+
+    from outfall.functions import text as T
+
+    frame = spark.createDataFrame(cases, "e string, n string, v string")
+    for r in frame.select(F.expr("outfall_purl(e, n, v)").alias("a"), T.purl(F.col("e"), F.col("n"), F.col("v")).alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+def test_the_pack_is_the_one_findings_were_made_with():
+    """Fixed digests of what must not change: rules, expressions, limits, benign values."""
+    import hashlib
+    import json
+
+    pack = builtin_pack()
+    digest = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True).encode()).hexdigest()[:16]
+    rules = [{k: r[k] for k in sorted(r) if k not in ("patterns", "positive", "negative", "remediation")} for r in pack.rules]
+    patterns = [[(p["regex"], p["capture"]) for p in r["patterns"]] for r in pack.rules]
+    assert (len(pack.rules), len(pack.patterns()), len(pack.false_positives)) == (20, 39, 54)
+    assert (digest(rules), digest(patterns), digest(pack.false_positives)) == DIGESTS
+
+
+DIGESTS = ("cfee3cd5c97f42cd", "9fd53a4f011e1014", "cf517772d7cdf50e")
