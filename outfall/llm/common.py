@@ -26,6 +26,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def erase(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` once everything that reads them has been written."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def ship(spark: SparkSession, path: str, most: int = 64 << 20) -> bytes:
     """A model or vocabulary file of bounded size, read through Spark so that any store works."""
     found = spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content", "length").first()

@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from outfall.llm.common import pieces, stored
+from outfall.llm.common import erase, pieces, stored
 from outfall.llm.words import Words, _LOWER, joined, split_words
 
 #: Bytes in an n-gram; six fit a long.
 ORDER = 6
-#: Labelled rows to fit the logistic curve on, at most about; a larger set of labels is sampled by hash. Counts are of all rows.
+#: Labelled rows to fit the logistic curve on, at most about; they are of two folds, sampled by hash if those are larger. Counts are of all rows.
 FIT_ROWS = 20_000
+CURVE_FOLDS = (1, 2)
 #: Bytes of text in a block that is scored together, about.
 BLOCK = 16 << 20
 END = 1
@@ -162,11 +163,15 @@ def _mask(order: int) -> Column:
     return F.lit((1 << (8 * order)) - 1).cast("long")
 
 
-def backoff_table(types: DataFrame) -> DataFrame:
-    """(suffix, below): ``shared_backoff`` by aggregation, for the n-gram types (gram) of a table without repeats. A context has at most 256 successors."""
+def backoff_table(types: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """(suffix, below): ``shared_backoff`` by aggregation, for the n-gram types (gram) of a table without repeats. A context has at most 256 successors.
+
+    Tables that the result reads are added to ``made``.
+    """
     level, upper = {}, types.select("gram")
     for order in range(ORDER - 1, 0, -1):
         level[order] = upper = stored(upper.groupBy(F.col("gram").bitwiseAND(_mask(order)).alias("gram")).agg(F.count(F.lit(1)).alias("continued")), f"order-{order}")
+    made += level.values()
     lower = None
     for order in range(1, ORDER):
         same = W.partitionBy(F.shiftright("gram", 8))
@@ -179,53 +184,45 @@ def backoff_table(types: DataFrame) -> DataFrame:
     return lower
 
 
-def ratio_table(counts: DataFrame) -> DataFrame:
-    """Log-ratio of each n-gram type: r0 to r3 of the models without a fold, r4 of the model of all.
+def ratio_table(counts: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
+    """Log-ratio of each n-gram type: r0 of the model without the curve's folds, r1 of the model of all.
 
-    counts: gram, n0 to n7 (fold x 2 + class), zeros for types that only texts without a label have; no repeats.
+    counts: gram, n0 to n3 (whether of the curve's folds x 2 + class), zeros for types that only texts without a label have; no repeats.
     """
     same = W.partitionBy(F.shiftright("gram", 8))
-    sets = [[f for f in range(4) if f != m] for m in range(5)]
-    some = counts.select("gram", *(sum((F.col(f"n{2 * f + c}") for f in folds), F.lit(0)).alias(f"c{m}{c}") for m, folds in enumerate(sets) for c in (0, 1)))
-    names = [f"{m}{c}" for m in range(5) for c in (0, 1)]
+    names = [f"{m}{c}" for m in (0, 1) for c in (0, 1)]
+    some = counts.select("gram", *(F.col(f"n{c}").alias(f"c0{c}") for c in (0, 1)), *((F.col(f"n{c}") + F.col(f"n{2 + c}")).alias(f"c1{c}") for c in (0, 1)))
     some = some.select("gram", *(f"c{x}" for x in names), *(F.sum(f"c{x}").over(same).alias(f"t{x}") for x in names), *(F.sum((F.col(f"c{x}") > 0).cast("long")).over(same).alias(f"k{x}") for x in names))
-    some = some.withColumn("suffix", F.col("gram").bitwiseAND(_mask(ORDER - 1))).join(backoff_table(counts), "suffix")
+    some = some.withColumn("suffix", F.col("gram").bitwiseAND(_mask(ORDER - 1))).join(backoff_table(counts, [] if made is None else made), "suffix")
 
     def log(x: str) -> Column:
         total = F.col(f"t{x}")
         weight = F.when(total > 0, _DISCOUNT * F.col(f"k{x}") / F.greatest(total, F.lit(1))).otherwise(F.lit(1.0))
         return F.log(F.greatest(F.col(f"c{x}") - _DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1)) + weight * F.col("below"))
 
-    return some.select("gram", *((log(f"{m}1") - log(f"{m}0")).alias(f"r{m}") for m in range(5)))
-
-
-def _block_features(models: int):
-    def of_block(found: pa.Table, texts: pa.Table) -> pa.Table:
-        """Of each text of a block: the length-normalised log-ratio of all its bytes, and the largest of a word. No words: zeros."""
-        row = {c: texts.column(c).combine_chunks() for c in texts.column_names}
-        doc, kind, bound, word, n, size = (row[c].flatten() for c in ("doc", "kind", "bound", "word", "n", "size"))
-        bound, word, n, size = (x.to_numpy().astype(np.int64) for x in (bound, word, n, size))
-        out = np.zeros((len(doc), 2))
-        if len(word):
-            packed, order = _block_grams(row["flat"][0].as_py(), size), np.argsort(found.column("gram").to_numpy())
-            keys = found.column("gram").to_numpy()[order]
-            at, starts, has = np.searchsorted(keys, packed), np.cumsum(size + 1) - size - 1, np.flatnonzero(np.diff(bound))
-            lengths = np.add.reduceat((size + 1)[word] * n, bound[:-1][has])
-            model = (kind.to_numpy() // 2)[has] if models > 1 else np.zeros(len(has), np.int64)
-            for m in range(models):
-                each = np.add.reduceat(found.column(f"r{m}" if models > 1 else "r4").to_numpy()[order][at], starts)
-                mean, most = np.add.reduceat(each[word] * n, bound[:-1][has]) / lengths, np.maximum.reduceat((each / (size + 1))[word], bound[:-1][has])
-                mine = model == m
-                out[has[mine], 0], out[has[mine], 1] = mean[mine], most[mine]
-        return pa.table([doc, kind, pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc_id", "kind", "mean", "most"])
-    return of_block
-
-
-def block_features(blocks: DataFrame, ratios: DataFrame, models: int) -> DataFrame:
-    """doc_id, kind, mean, most of each text. models: 1 for the model of all rows, 4 for the one without the fold of a row's kind."""
-    columns = [f"r{m}" for m in range(models)] if models > 1 else ["r4"]
-    found = gram_rows(blocks).join(ratios.select("gram", *columns), "gram")
-    return found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_block_features(models), "doc_id long, kind int, mean double, most double")
+    return some.select("gram", *((log(f"{m}1") - log(f"{m}0")).alias(f"r{m}") for m in (0, 1)))
+
+
+def _of_block(found: pa.Table, texts: pa.Table) -> pa.Table:
+    """Of each text of a block: the length-normalised log-ratio of all its bytes, and the largest of a word. No words: zeros."""
+    row = {c: texts.column(c).combine_chunks() for c in texts.column_names}
+    doc, kind, bound, word, n, size = (row[c].flatten() for c in ("doc", "kind", "bound", "word", "n", "size"))
+    bound, word, n, size = (x.to_numpy().astype(np.int64) for x in (bound, word, n, size))
+    out = np.zeros((len(doc), 2))
+    if len(word):
+        packed, order = _block_grams(row["flat"][0].as_py(), size), np.argsort(found.column("gram").to_numpy())
+        at, starts, has = np.searchsorted(found.column("gram").to_numpy()[order], packed), np.cumsum(size + 1) - size - 1, np.flatnonzero(np.diff(bound))
+        lengths = np.add.reduceat((size + 1)[word] * n, bound[:-1][has])
+        each = np.add.reduceat(found.column("r").to_numpy()[order][at], starts)
+        out[has, 0] = np.add.reduceat(each[word] * n, bound[:-1][has]) / lengths
+        out[has, 1] = np.maximum.reduceat((each / (size + 1))[word], bound[:-1][has])
+    return pa.table([doc, kind, pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc_id", "kind", "mean", "most"])
+
+
+def block_features(blocks: DataFrame, ratios: DataFrame, model: str) -> DataFrame:
+    """doc_id, kind, mean, most of each text by the log-ratios in column ``model``."""
+    found = gram_rows(blocks).join(ratios.select("gram", F.col(model).alias("r")), "gram")
+    return found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_of_block, "doc_id long, kind int, mean double, most double")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -241,22 +238,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 
 def usable_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id, kind) of all training rows; kind: fold x 2 + class; of repeated labels the largest."""
+    """(doc_id, kind) of all training rows; kind: whether of the curve's folds x 2 + class; of repeated labels the largest."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return usable.select("doc_id", (F.col("toxic") + 2 * (fold(F.col("doc_id")) - 1)).cast("int").alias("kind"))
+    return usable.select("doc_id", (F.col("toxic") + 2 * (fold(F.col("doc_id")).isin(*CURVE_FOLDS)).cast("int")).cast("int").alias("kind"))
 
 
 def train(docs: DataFrame, labels: DataFrame, blocks: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The stored log-ratios of all training rows; scale and weights of the curve, fitted on rows scored by a model without their fold."""
+    """The stored log-ratios of all training rows; scale and weights of the curve, fitted on rows of two folds that were scored without them."""
     usable = stored(usable_labels(labels), "labels")
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(usable, "doc_id")
     counts = rows.select("text", "kind").mapInArrow(_counted, "gram long, kind int, n long")
     types = gram_rows(blocks).select("gram", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("n"))
-    counts = stored(counts.union(types).groupBy("gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(8))), "grams")
-    ratios = stored(ratio_table(counts), "ratios")
-    share = min(1.0, fit_rows / max(1, usable.count()))
-    trial = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    unseen = block_features(stored_blocks(trial), ratios, 4).select("kind", "mean", "most").toArrow()  # bounded by fit_rows
+    counts = stored(counts.union(types).groupBy("gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4))), "grams")
+    made = [counts]
+    ratios = stored(ratio_table(counts, made), "ratios")
+    erase(*made)
+    own = usable.where("kind >= 2")
+    share = min(1.0, fit_rows / max(1, own.count()))
+    chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    trial = docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
+    trial = stored_blocks(trial)
+    unseen = block_features(trial, ratios, "r0").select("kind", "mean", "most").toArrow()  # bounded by fit_rows
+    erase(trial, usable)
     x, y = np.column_stack((unseen["mean"].to_numpy(), unseen["most"].to_numpy())), (unseen["kind"].to_numpy() % 2).astype(float)
     scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(2)
     weights = logistic(np.column_stack((x / scale, np.ones(len(x)))), y) if len(x) else np.zeros(3)
@@ -266,13 +269,13 @@ def train(docs: DataFrame, labels: DataFrame, blocks: DataFrame, fit_rows: int =
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= 0.5), and both log-ratios of every document.
 
-    Labels of rows whose crc32(doc_id) mod 5 is 0 are not used. A null or empty text scores what no evidence scores. Without
+    Labels of rows whose crc32(doc_id) mod 5 is 0 are not used; the curve is fitted on rows of remainder 1 or 2, which a model without them has scored. A null or empty text scores what no evidence scores. Without
     labels every score is 0.5. Repeated rows score alike; a null doc_id is not held out; other columns are left out. No documents: no rows.
     """
     blocks = stored_blocks(docs.select("doc_id", F.lit(-1).alias("kind"), "text"))
     ratios, scale, weights = train(docs, labels, blocks, fit_rows)
     a, b, c = (float(w) for w in (weights[0] / scale[0], weights[1] / scale[1], weights[2]))
     x = F.col("mean") * a + F.col("most") * b + c
-    scored = block_features(blocks, ratios, 1).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
+    scored = block_features(blocks, ratios, "r1").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("mean").alias("mean_log_ratio"), F.col("most").alias("largest_log_ratio"))

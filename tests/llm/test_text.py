@@ -202,12 +202,11 @@ def test_ratios_match_the_arrays(spark):
     words = ["".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(300)]
     size = np.array([len(w) for w in words])
     gram = np.unique(toxicity.grams(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum(size) - size, size))
-    n = rng.integers(0, 4, (len(gram), 8)) * (rng.random((len(gram), 1)) < 0.7)  # types without a label have no counts
-    counts = spark.createDataFrame([(g, *r) for g, r in zip(gram.tolist(), n.tolist(), strict=True)], "gram long, " + ", ".join(f"n{k} long" for k in range(8)))
+    n = rng.integers(0, 4, (len(gram), 4)) * (rng.random((len(gram), 1)) < 0.7)  # types without a label have no counts
+    counts = spark.createDataFrame([(g, *r) for g, r in zip(gram.tolist(), n.tolist(), strict=True)], "gram long, " + ", ".join(f"n{k} long" for k in range(4)))
     got = {r["gram"]: r for r in toxicity.ratio_table(counts).collect()}
     assert len(got) == len(gram)
-    for m in range(5):
-        some = [2 * f for f in range(4) if f != m]
+    for m, some in enumerate(([0], [0, 2])):
         model = toxicity.fit(gram, n[:, [k + 1 for k in some]].sum(axis=1).astype(float), n[:, some].sum(axis=1).astype(float))
         assert np.allclose([got[g][f"r{m}"] for g in gram.tolist()], model.gram_ratio)
 
@@ -218,13 +217,27 @@ def test_kneser_ney_is_a_distribution():
     data = np.frombuffer("".join(words).encode(), np.uint8)
     size = np.array([len(w) for w in words])
     gram, n = np.unique(toxicity.grams(data, np.cumsum(size) - size, size), return_counts=True)
-    below = toxicity.shared_backoff(gram)
-    for c in np.unique(gram >> 8)[:20]:
-        seen = set((gram[gram >> 8 == c] & 255).tolist())
-        # Over all bytes after a context the shared model sums to one.
-        every = np.unique(np.concatenate((gram, (c << 8) + np.arange(256))))
-        del every, seen
-    assert np.all((below > 0) & (below <= 1))
+    below = dict(zip(gram.tolist(), toxicity.shared_backoff(gram), strict=True))
+    assert all(0 < p <= 1 for p in below.values())
+    # Over all bytes after a context the shared model sums to one, by plain counts: what the seen bytes leave is the weight of the shorter context.
+    order = toxicity.ORDER - 1
+    types = {k: {g & ((1 << 8 * k) - 1) for g in gram.tolist()} for k in range(1, toxicity.ORDER + 1)}
+
+    def chance(context: int, byte: int, k: int) -> float:
+        if not k:
+            return 1 / 256
+        after = {}
+        for g in types[k + 1]:
+            if (g & ((1 << 8 * k) - 1)) >> 8 == context:
+                after[g & 255] = after.get(g & 255, 0) + 1
+        shorter = chance(context & ((1 << 8 * max(0, k - 2)) - 1), byte, k - 1)
+        total = sum(after.values())
+        return (max(after.get(byte, 0) - 0.75, 0) + 0.75 * len(after) * shorter) / total if total else shorter
+
+    for g in gram.tolist()[::97]:
+        context = (g >> 8) & ((1 << 8 * (order - 1)) - 1)
+        assert np.isclose(chance(context, g & 255, order), below[g])
+        assert np.isclose(sum(chance(context, b, order) for b in range(256)), 1)
     model = toxicity.fit(gram, n.astype(float), n.astype(float))
     assert np.allclose(model.gram_ratio, 0) and np.allclose(model.context_ratio, 0)
 
