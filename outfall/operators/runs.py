@@ -82,10 +82,12 @@ def run_diff(findings: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("run_id", "id", change.alias("change"))
 
 
-def severity_counts(findings: DataFrame, where: Column | None = None) -> DataFrame:
-    """One row per run with a count per severity."""
-    hit = F.lit(True) if where is None else where
-    return findings.groupBy("run_id").agg(*[F.count(F.when((F.col("severity") == s) & hit, 1)).alias(s) for s in SEVERITIES])
+def severity_counts(findings: DataFrame, **parts: Column) -> DataFrame:
+    """One row per run with a count per severity; each of ``parts``, a condition, adds counts of its own in the same pass, named ``<part>_<severity>``."""
+    def counts(prefix: str, hit: Column) -> list[Column]:
+        return [F.count(F.when((F.col("severity") == s) & hit, 1)).alias(prefix + s) for s in SEVERITIES]
+
+    return findings.groupBy("run_id").agg(*counts("", F.lit(True)), *[c for name, hit in parts.items() for c in counts(f"{name}_", hit)])
 
 
 def category_rollup(findings: DataFrame) -> DataFrame:

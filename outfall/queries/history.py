@@ -98,8 +98,7 @@ FROM findings f LEFT JOIN old o ON f.run_id = o.run_id AND f.id = o.id GROUP BY
 def _(t):
     found = t.view("findings")
     marked = R.with_is_new(found, R.baseline_ids(links(t), found))
-    new = R.severity_counts(marked, F.col("is_new")).toDF("run_id", *[f"new_{s}" for s in SEV])
-    return R.severity_counts(marked).join(new, "run_id")
+    return R.severity_counts(marked, new=F.col("is_new"))
 
 
 @query("agg_06_category_rollup", """SELECT run_id, category, CAST(count(*) AS BIGINT) AS findings,
