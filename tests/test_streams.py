@@ -43,6 +43,8 @@ def test_merged_state_equals_all_evidence_at_once(spark, tmp_path):
         for n, rows in enumerate(batches()):
             merge_batch(files(spark, rows), n, pack, base, [Policy()], day, every)
             seen += rows
+            if n < (1 if every > 1 else 2):
+                continue
             evidence = match.scan(files(spark, seen), pack, ["run_id", "path_in_tree"])
             whole = C.correlate(evidence, PS.rule_dimension(pack, spark))
             assert key(read_findings(spark, base)) == key(whole.findings), (every, n)
