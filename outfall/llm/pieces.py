@@ -7,9 +7,12 @@ a document's matrices are combined, and every row is traced back on its own betw
 stretch. Inside a stretch, paths meet wherever no piece can straddle (before a space that follows another character), so equal words are solved
 once, many at a time. Scores are integers, so the result does not depend on where texts are cut. Ties: the longest last piece.
 
-That is how a unigram model reads. The shipped model is one of merges (BPE): its scores are ranks, and ``encode_merges`` gives its own ids:
-in each word the adjacent pair of the best rank is merged until none is a piece. No piece straddles a word, so a long
-text is cut between words and its parts are encoded apart.
+That is how a unigram model reads (``encode``). The shipped model is one of merges (BPE): in each word the adjacent pair of the best rank is merged until
+none is a piece. ``encode_merges`` gives its ids by the same scan. Merges never cross the border of two final pieces, so a sequence of pieces is what the
+merges make of a text exactly if each two neighbours are what the merges make of those two alone: of all segmentations one has only
+such neighbours. With weight 0 for such a step and minus infinity for any other, the ids are the longest path, and what a path needs to know of its past is its last
+piece. The states at a cut are the pieces that may lie across it or end at it; a chunk is the matrix between the states at its two cuts, wherever they fall, also
+inside a word. Matrices are multiplied in a tree of bounded groups, the states are handed down the same tree, and each chunk is traced back on its own.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ _SCALE = 1000
 _CELLS = 100_000
 #: Characters of a word from which merges are taken from a heap.
 LONG_WORD = 64
+#: Adjacent matrices that are multiplied in one task.
+FAN = 64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -72,6 +77,20 @@ class Vocabulary:
             todo = todo[~hit & (key != 0)]
         return out
 
+    @cached_property
+    def whole(self) -> np.ndarray:
+        """Of each slot: whether the merges make this piece from its characters."""
+        slots = np.flatnonzero(self.keys)
+        names = [points(self.flat[a:b].tobytes().decode()) for a, b in zip(self.flat_at[self.id[slots]], self.flat_at[self.id[slots] + 1], strict=True)]
+        size = np.array([len(name) for name in names])
+        part = np.zeros((len(slots), self.longest), np.uint32)
+        part[np.arange(self.longest)[None, :] < size[:, None]] = np.concatenate(names)
+        out = np.zeros(len(self.keys), bool)
+        for at in range(0, len(slots), _CELLS // LONG_WORD):
+            some = slice(at, at + _CELLS // LONG_WORD)
+            out[slots[some]] = np.bincount(merges(_Spans(self, part[some]), size[some])[0]) == 1
+        return out
+
 
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -527,26 +546,210 @@ def _merged(raw: bytes, keep: list[str], batches: Iterator[pa.RecordBatch]) -> I
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(flat, pa.int32()))], names=[*keep, "ids"])
 
 
-def parted(v: Vocabulary, whole: str, chunk: int) -> list[str]:
-    """Parts of about ``chunk`` characters, cut between words; a word is never cut."""
-    cuts = np.concatenate(([0], word_cuts(v, points(whole)), [len(whole)]))
-    ends = np.unique(cuts[np.searchsorted(cuts, np.arange(chunk, len(whole) + chunk, chunk).clip(max=len(whole)))])
-    return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+def compatible(v: Vocabulary, cp: np.ndarray, at: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Whether the merges of the ``before`` and ``behind`` characters around each place, alone, end in these two pieces."""
+    out = np.zeros(len(at), bool)
+    n = before + behind
+    order = np.argsort(n, kind="stable")
+    for some in np.split(order, np.arange(_CELLS // LONG_WORD, len(order), _CELLS // LONG_WORD)) if len(order) else []:
+        place = np.arange(int(n[some].max()))[None, :]
+        part = np.where(place < n[some][:, None], cp[np.minimum((at - before)[some][:, None] + place, len(cp) - 1)], 0).astype(np.uint32)
+        row, begin, _ = merges(_Spans(v, part), n[some])
+        out[some] = (np.bincount(row) == 2) & (np.bincount(row, begin) == before[some])
+    return out
+
 
+def steps(v: Vocabulary, cp: np.ndarray, limit: int) -> np.ndarray:
+    """[s, p, l]: whether a piece of l characters may follow one of p at place s; p = longest + 1: nothing is before it. Pieces begin before ``limit``."""
+    n, top = len(cp), v.longest
+    spans, zero = _Spans(v, cp[None]), np.zeros(n + 1, np.int64)
+    kind, before = np.full((n + 1, top + 1), -1), np.full((n + 1, top + 1), -1)
+    for size in range(1, min(n, top) + 1):
+        a = np.arange(n - size + 1)
+        slot = spans.slots(zero[a], a, a + size)
+        now = np.where((slot >= 0) & v.whole[slot], slot, -1)
+        if size == 1:
+            now = np.where(now < 0, len(v.keys) + cp.astype(np.int64), now)
+        kind[a, size] = before[a + size, size] = now
+    kind[max(0, limit):] = -1
+    s, p, l = np.nonzero((before[:, :, None] >= 0) & (kind[:, None, :] >= 0))
+    _, first, inverse = np.unique(before[s, p] * (len(v.keys) + 0x110000) + kind[s, l], return_index=True, return_inverse=True)
+    out = np.zeros((n + 1, top + 2, top + 1), bool)
+    out[s, p, l] = compatible(v, cp, s[first], p[first], l[first])[inverse]
+    out[:, top + 1, :] = kind >= 0
+    return out
 
-def _parts(raw: bytes, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    v = vocabulary(raw)
+
+def walk(v: Vocabulary, cp: np.ndarray, starts: list[tuple[int, int]], limit: int) -> np.ndarray:
+    """[i, e]: characters of the last piece of the one path from start i to place e, 0 if there is none. A start: the place, and the length of the piece that ends there."""
+    allowed = steps(v, cp, limit)
+    some = allowed.any(axis=1)
+    last = np.zeros((len(starts), len(cp) + 1), np.int64)
+    for i, (place, size) in enumerate(starts):
+        last[i, place] = size
+    sizes = np.arange(1, v.longest + 1)
+    for end in range(min(place for place, _ in starts) + 1, len(cp) + 1):
+        size = sizes[:end]
+        size = size[some[end - size, size]]
+        if len(size):
+            into = (allowed[end - size, last[:, end - size], size] * size).max(axis=1)
+            last[:, end] = np.where(into > 0, into, last[:, end])
+    return last
+
+
+def states(v: Vocabulary, cp: np.ndarray, cut: int) -> np.ndarray:
+    """Pieces that begin before a cut and end at or behind it: characters before it << 16 | characters behind it. At the start of a text: 0."""
+    if not cut:
+        return np.zeros(1, np.int64)
+    d, f = np.meshgrid(np.arange(1, min(v.longest, cut) + 1), np.arange(0, min(v.longest - 1, len(cp) - cut) + 1), indexing="ij")
+    d, f = d[d + f <= v.longest], f[d + f <= v.longest]
+    slot = _Spans(v, cp[None]).slots(np.zeros(len(d), np.int64), cut - d, cut + f)
+    valid = ((slot >= 0) & v.whole[slot]) | (d + f == 1)
+    return d[valid] << 16 | f[valid]
+
+
+@dataclass
+class Part:
+    """One chunk of a text to be merged: ``left`` characters in front of it, ``size`` of its own, and what a piece may take from the next."""
+
+    cp: np.ndarray
+    left: int
+    size: int
+    cuts: np.ndarray
+
+    @staticmethod
+    def of(v: Vocabulary, text: str, left: int, size: int) -> Part:
+        cp = points(text)
+        cuts = word_cuts(v, cp)
+        return Part(cp, left, size, cuts[(cuts >= left) & (cuts < left + size)])
+
+    @property
+    def end(self) -> int:
+        return self.left + self.size
+
+    def start(self, v: Vocabulary, state: int) -> tuple[int, int]:
+        return (self.left + (state & 0xFFFF), (state >> 16) + (state & 0xFFFF)) if state else (0, v.longest + 1)
+
+
+def transfer_merges(v: Vocabulary, s: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States at the chunk's two cuts and the max-plus matrix between them: 0 where a path of allowed steps leads from one to the other."""
+    into, out = states(v, s.cp, s.left), states(v, s.cp[: s.end + v.longest - 1], s.end)
+    ahead, size = out & 0xFFFF, (out >> 16) + (out & 0xFFFF)
+    starts = [s.start(v, x) for x in into.tolist()]
+    if not len(s.cuts):
+        linked = walk(v, s.cp, starts, s.end)[:, s.end + ahead] == size
+    else:
+        first, last = int(s.cuts[0]), int(s.cuts[-1])
+        head = walk(v, s.cp[:first], starts, first)[:, first] > 0
+        tail = walk(v, s.cp[last:], [(0, v.longest + 1)], s.end - last)[0]
+        linked = head[:, None] & (tail[s.end - last + ahead] == size)[None, :]
+    return into, out, np.where(linked, 0, NONE)
+
+
+def _back(last: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
+    found = []
+    while end > start:
+        found.append((end - int(last[end]), end))
+        end = found[-1][0]
+    return found[::-1]
+
+
+def _ids(v: Vocabulary, cp: np.ndarray, found: list[tuple[int, int]]) -> np.ndarray:
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    zero = np.zeros(len(a), np.int64)
+    slot = _Spans(v, cp[None]).slots(zero, a, b)
+    return spelled(v, zero, np.where(slot >= 0, v.id[slot].astype(np.int64), cp[a].astype(np.int64) + (1 << 32)), 1)[0]
+
+
+def trace_merges(v: Vocabulary, s: Part, enter: int, leave: int) -> np.ndarray:
+    """Ids of the pieces behind the entering one, up to the leaving one."""
+    start = s.start(v, enter)
+    behind = leave & 0xFFFF
+    if not len(s.cuts):
+        return _ids(v, s.cp, _back(walk(v, s.cp, [start], s.end)[0], start[0], s.end + behind))
+    first, last = int(s.cuts[0]), int(s.cuts[-1])
+    head = _back(walk(v, s.cp[:first], [start], first)[0], start[0], first)
+    tail = _back(walk(v, s.cp[last:], [(0, v.longest + 1)], s.end - last)[0], 0, s.end - last + behind)
+    return np.concatenate((_ids(v, s.cp, head), merge_words(v, s.cp, s.cuts)[0], _ids(v, s.cp[last:], tail)))
+
+
+def _parts(chunk: int, longest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for k, part in enumerate(parted(v, marked(text), chunk)):
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([part])], names=["row", "k", "part"])
+            whole = marked(text)
+            many = -(-len(whole) // chunk)
+            for k in range(many):
+                a, b = k * chunk, min((k + 1) * chunk, len(whole))
+                left = min(a, longest)
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *(pa.array([x], pa.int32()) for x in (k, many, left, b - a)), pa.array([whole[a - left:b + longest - 1]])],
+                                                 names=["row", "k", "many", "left", "size", "part"])
+
+
+_MATRIX = "row long, k int, into array<int>, out array<int>, cells binary"
+
+
+def _merge_matrices(raw: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(raw)
+    for batch in batches:
+        made = [transfer_merges(v, Part.of(v, *x)) for x in zip(*(batch.column(c).to_pylist() for c in ("part", "left", "size")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), *(pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (0, 1)),
+                                          pa.array([m[2].tobytes() for m in made], pa.binary())], names=["row", "k", "into", "out", "cells"])
+
+
+def _chain(frame) -> list[np.ndarray]:
+    return [np.frombuffer(c, np.int64).reshape(len(a), len(b)) for a, b, c in zip(frame["into"], frame["out"], frame["cells"], strict=True)]
+
+
+def _product(key, frame):
+    """Adjacent chunks as one, of number key[1]: the product of their matrices."""
+    import pandas as pd
+
+    frame = frame.sort_values("k")
+    made, *more = _chain(frame)
+    for m in more:
+        made = times(made, m)
+    return pd.DataFrame({"row": [frame["row"].iloc[0]], "k": [key[1]], "into": [frame["into"].iloc[0]], "out": [frame["out"].iloc[-1]], "cells": [made.tobytes()]})
+
+
+def _handed_down(frame):
+    """Entering and leaving state of each of adjacent chunks, from those of the whole: the one state at each cut that a path comes to and leads on from."""
+    import pandas as pd
+
+    frame = frame.sort_values("k")
+    chain = _chain(frame)
+    right = [np.where(np.asarray(frame["out"].iloc[-1]) == frame["leave"].iloc[0], 0, NONE)[:, None]]
+    for m in reversed(chain):
+        right.append(times(m, right[-1]))
+    right.reverse()
+    left = np.where(np.asarray(frame["into"].iloc[0]) == frame["enter"].iloc[0], 0, NONE)[None, :]
+    at = [int(frame["enter"].iloc[0])]
+    for m, out, after in zip(chain, frame["out"], right[1:], strict=True):
+        left = times(left, m)
+        at.append(int(out[int((left[0] + after[:, 0]).argmax())]))
+    return pd.DataFrame({"row": frame["row"].to_numpy(), "k": frame["k"].to_numpy(), "enter": at[:-1], "leave": at[1:]})
+
+
+def _scanned(matrices: DataFrame, many: int) -> DataFrame:
+    """(row, k, enter, leave): the states at the cuts of each chunk, by products up a tree of FAN matrices to a node and states handed down."""
+    levels = [matrices]
+    while many > 1:
+        levels.append(stored(levels[-1].groupBy("row", F.expr(f"cast(k div {FAN} as int)")).applyInPandas(_product, _MATRIX), "products"))
+        many = -(-many // FAN)
+    # A whole text begins at state 0; of the pieces that end it, one is reached.
+    reached = F.udf(lambda out, cells: out[int(np.frombuffer(cells, np.int64).argmax())], "int")
+    known = levels[-1].select("row", "k", F.lit(0).alias("enter"), reached("out", "cells").alias("leave"))
+    for level in reversed(levels[:-1]):
+        above = known.select("row", F.col("k").alias("above"), "enter", "leave")
+        known = stored(level.withColumn("above", F.expr(f"cast(k div {FAN} as int)")).join(above, ["row", "above"]).groupBy("row", "above").applyInPandas(_handed_down, "row long, k int, enter int, leave int"), "states")
+    return known
 
 
 def _merged_parts(raw: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     v = vocabulary(raw)
-    for batch in row_pieces(batches, "part"):
-        flat, bound = merge_texts(v, batch.column("part").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(flat, pa.int32()))], names=["row", "k", "ids"])
+    for batch in batches:
+        for row, k, *part, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("row", "k", "part", "left", "size", "enter", "leave")), strict=True):
+            ids = trace_merges(v, Part.of(v, *part), enter, leave)
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], names=["row", "k", "ids"])
 
 
 def _in_order(frame):
@@ -559,6 +762,7 @@ def encode_merges(docs: DataFrame, keep: list[str], model: str = MODEL, chunk: i
     """Columns ``keep`` of every document and the ids that the library gives it with this model of merges. Otherwise as ``encode``."""
     spark = docs.sparkSession
     raw = ship(spark, model)
+    longest = vocabulary(raw).longest
     if not vocabulary(raw).splits:
         raise ValueError("a piece has a space behind another character")
     shared = spark.sparkContext.broadcast(raw)  # of a size that ship() has checked
@@ -568,11 +772,17 @@ def encode_merges(docs: DataFrame, keep: list[str], model: str = MODEL, chunk: i
     short = clean.where(F.length("text") < chunk).select(*dict.fromkeys([*keep, "text"]))
     done = short.mapInArrow(lambda batches: _merged(shared.value, keep, batches), f"{kinds}{', ' if kinds else ''}ids array<int>")
     # Rows get a number where the long ones are stored, so that repeated rows stay apart.
-    long = stored(clean.where(F.length("text") >= chunk).withColumn("__row", F.monotonically_increasing_id()).select(F.struct(*keep).alias("kept") if keep else F.lit(1).alias("kept"), "text", F.col("__row").alias("row")), "long")
-    parts = long.select("row", "text").mapInArrow(lambda batches: _parts(shared.value, chunk, batches), "row long, k int, part string").repartition("row", "k")
-    found = parts.mapInArrow(lambda batches: _merged_parts(shared.value, batches), "row long, k int, ids array<int>")
-    whole = found.groupBy("row").applyInPandas(_in_order, "row long, ids array<int>")
-    return done.union(long.select("row", "kept").join(whole, "row").select(*([f"kept.`{c}`" for c in keep]), "ids"))
+    others = [c for c in keep if c != "text"]
+    long = stored(clean.where(F.length("text") >= chunk).select(*others, "text").withColumn("__row", F.monotonically_increasing_id()), "long")
+    parts = stored(long.select(F.col("__row").alias("row"), "text").mapInArrow(lambda batches: _parts(chunk, longest, batches), "row long, k int, many int, left int, size int, part string").repartition("row", "k"), "parts")
+    many = parts.agg(F.max("many").alias("many")).first()["many"]
+    if many is None:
+        return done
+    matrices = stored(parts.mapInArrow(lambda batches: _merge_matrices(shared.value, batches), _MATRIX), "matrices")
+    traced = parts.join(_scanned(matrices, many), ["row", "k"]).select("row", "k", "part", "left", "size", "enter", "leave").mapInArrow(
+        lambda batches: _merged_parts(shared.value, batches), "row long, k int, ids array<int>")
+    whole = traced.groupBy("row").applyInPandas(_in_order, "row long, ids array<int>")
+    return done.union(long.join(whole, F.col("__row") == F.col("row")).select(*keep, "ids"))
 
 
 def _digested(raw: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

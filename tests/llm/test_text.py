@@ -107,13 +107,64 @@ def test_merges_match_the_library(spark, raw):
     flat, bound = pieces.merge_texts(v, [pieces.marked(t) for t in some])
     for i, ids in enumerate(expected):
         assert flat[bound[i]:bound[i + 1]].tolist() == ids, some[i]
-    for t in some:
-        assert "".join(pieces.parted(v, pieces.marked(t), 7)) == pieces.marked(t)
     docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
     assert {r["doc_id"]: r["ids"] for r in pieces.encode_merges(docs, ["doc_id"], chunk=150).collect()} == dict(enumerate(expected))
     assert {r["doc_id"]: r["ids_sha256"] for r in pieces.token_digest(docs).collect()} == {i: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for i, ids in enumerate(expected)}
 
 
+def scanned(v, text, chunk):
+    whole = pieces.marked(text)
+    at = [(a, min(a + chunk, len(whole)), min(a, v.longest)) for a in range(0, len(whole), chunk)]
+    cut = [pieces.Part.of(v, whole[a - left:b + v.longest - 1], left, b - a) for a, b, left in at]
+    made = [pieces.transfer_merges(v, s) for s in cut]
+    frame = pd.DataFrame({"row": 0, "k": range(len(cut)), "into": [m[0] for m in made], "out": [m[1] for m in made], "cells": [m[2].tobytes() for m in made]})
+    top = pieces._product((0, 0), frame)
+    cells = np.frombuffer(top.cells[0], np.int64)
+    assert (cells == 0).sum() == 1  # one path leads through the whole text
+    given = pieces._handed_down(frame.assign(enter=0, leave=int(top.out[0][cells.argmax()])))
+    return np.concatenate([pieces.trace_merges(v, s, a, b) for s, a, b in zip(cut, given.enter, given.leave, strict=True)]).tolist()
+
+
+def test_transfer_matrices_of_merges_give_the_library_s_ids(raw):
+    import sentencepiece
+
+    library, v, rng = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.vocabulary(raw), random.Random(3)
+    kinds = ["aabcdeth é\n梦", "aaab  ", "=-_ ab", "▁▁ x", "the and ing er", "你好 我们在的中文字", "абвгд ежик", "\x00\x01é\u0301👍🏽 ", " ", "x"]
+    for n in range(30):
+        text = "".join(rng.choice(kinds[n % len(kinds)]) for _ in range(rng.randint(1, 120)))
+        for chunk in ((1, 64), (3,), (7, 16))[n % 3]:
+            assert scanned(v, text, chunk) == library.encode(text), (text, chunk)
+
+
+def test_every_step_of_the_library_is_allowed_and_no_other(raw):
+    import sentencepiece
+
+    library, v = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.vocabulary(raw)
+    for word in ("unemployment", "internationalization", "x" * 30, "straße", "梦想"):
+        cp = pieces.points("▁" + word)
+        allowed = pieces.steps(v, cp, len(cp))
+        paths = {0: [[(0, v.longest + 1)]]}
+        for end in range(1, len(cp) + 1):  # all paths of allowed steps, by brute force
+            paths[end] = [p + [(end, size)] for size in range(1, min(end, v.longest) + 1) for p in paths[end - size] if allowed[end - size, p[-1][1], size]]
+            assert len(paths[end]) == 1
+        ids = pieces._ids(v, cp, [(e - n, e) for e, n in paths[len(cp)][0][1:]])
+        assert ids.tolist() == library.encode(word)
+
+
+def test_one_giant_word_over_many_chunks_and_levels(spark, raw, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "FAN", 4)
+    library, rng = sentencepiece.SentencePieceProcessor(model_proto=raw), random.Random(5)
+    giant = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))  # 40 chunks, three levels
+    some = [giant, giant[:5001] + " two words " + giant[7:12_000], "é" * 6000, " " * 5000, "short", None, ""]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(some)] + [(1, some[1], "x")], "doc_id long, text string, ids string")
+    got = pieces.encode_merges(docs, ["doc_id", "text"], chunk=5000).collect()
+    assert len(got) == len(some) + 1
+    for r in got:
+        assert r["ids"] == library.encode(some[r["doc_id"]] or "") and r["text"] == (some[r["doc_id"]] or "")
+
+
 def _counts(text):
     w = WORD.findall(text or "")
     seen, dup = set(), 0
