@@ -79,9 +79,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("b", "a"))
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), "low")
         large = stored(both.join(low, "a").where("b > a").selectExpr("b AS a", "m AS b").distinct(), "large")
+        erase(now, low)
         low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         joined = large.join(low, "a")
         now = stored(joined.where("b <> m").selectExpr("b AS a", "m AS b").union(low.selectExpr("a", "m AS b")).distinct(), "small")
+        erase(large, low)
     return now.selectExpr("a AS node", "b AS label").union(now.selectExpr("b AS node", "b AS label").distinct())
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outfall.llm.common import components, pieces, row_key, stored
+from outfall.llm.common import components, erase, pieces, row_key, stored
 from outfall.llm.words import joined, mix, shingles, split_words
 
 SIZE = 5
@@ -219,8 +219,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
     members = shared.groupBy("sig").agg(F.max(F.struct("df", "token")).alias("x"), F.count(F.lit(1)).alias("held")).select("sig", F.col("x.token").alias("g"), "held")
     named = stored(members.join(least, "sig").where(f"held >= {needed('n')}"), "named")
     kept = stored(shared.select("token", "sig").join(named.select("sig", "g", "n"), "sig"), "kept")
+    erase(shared)
     matrix = stored(kept.select("token", "g").distinct(), "matrix")
-    led = stored(kept.select("token", "sig", "n").join(matrix, "token").groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}").select("sig", "g"), "led")
+    # Its own group leads a class to itself; other groups do by tokens that more than one group holds.
+    across = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
+    shared_out = stored(matrix.join(across, "token", "left_semi").withColumnRenamed("g", "other"), "across")
+    met = kept.join(shared_out, "token").where("g <> other").groupBy("sig", "other").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    led = stored(named.select("sig", "g").union(met.where(f"c >= {needed('n')}").select("sig", F.col("other").alias("g"))), "led")
+    erase(kept, matrix, shared_out)
     wanted = named.select("sig", F.col("doc_id").alias("least"))
     sets = stored(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "sig").mapInArrow(_sets, "sig long, tokens binary").dropDuplicates(["sig"]), "sets")
 
@@ -231,6 +237,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     apart = led.join(pivots, "g").where("sig <> pivot").join(labels, "sig").join(labels.select(F.col("sig").alias("pivot"), F.col("comp").alias("other")), "pivot").where("comp <> other")
     apart = apart.join(named.select("sig", F.col("g").alias("own")), "sig").where("g <> own")  # with its own pivot it has been compared
     links = links.union(stored(verified(apart.select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "links"))
+    erase(labels)
     labels = _labels(links, named)
 
     # Groups are opened for a class if a member other than the pivot lies in another component.
@@ -239,6 +246,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     asking = stored(led.join(labels, "sig").join(spread, "g").where("low <> comp OR high <> comp").select("sig", "g", "comp", "blocks"), "asking")
     tasks = openings(asking, placed, spread).join(sets, "sig")
     opened = stored(tasks.groupBy("g", "block", "part").applyInPandas(_opened, "a long, b long"), "opened")
+    erase(sets, asking, spread, labels, led, pivots)
     labels = components(links.union(opened))
 
     whole = stored(least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("comp")), "whole")
