@@ -14,6 +14,7 @@ from outfall.session import cut
 ENTROPY_STRONG = 4.5
 ENTROPY_WEAK = 2.5
 CLUSTER_ABOVE = 20
+SAMPLES = 3
 
 GROUP = ["run_id", "rule_id", "value_hash"]
 
@@ -91,8 +92,8 @@ def probe(pattern: Column) -> Column:
     return F.struct(longer.alias("tail"), F.length(text).alias("size"), text.alias("text"))
 
 
-def suppressed_groups(groups: DataFrame, suppressions: DataFrame, how: str) -> DataFrame:
-    """Groups (``left_semi``) or all others (``left_anti``) whose anchor path an exemption covers.
+def covered_groups(groups: DataFrame, suppressions: DataFrame) -> DataFrame:
+    """(run, rule, value) of the groups whose anchor path an exemption covers.
 
     A path is looked up by its beginnings and ends of the sizes that patterns of its (rule, value) have, so it meets the patterns that share
     their literal part with it, not all of them; the expression runs on those only.
@@ -103,8 +104,12 @@ def suppressed_groups(groups: DataFrame, suppressions: DataFrame, how: str) -> D
     asked = asked.select(*GROUP, "path", F.inline("sizes")).where(F.col("size") <= F.length("path"))
     asked = asked.withColumn("text", F.when(F.col("tail"), F.expr("right(path, size)")).otherwise(F.expr("left(path, size)")))
     met = asked.join(s, ["rule_id", "value_hash", "tail", "size", "text"])
-    covered = met.where(F.regexp_like("path", glob_regex(F.col("path_pattern")))).select(*GROUP).distinct()
-    return groups.join(covered, GROUP, how)
+    return met.where(F.regexp_like("path", glob_regex(F.col("path_pattern")))).select(*GROUP).distinct()
+
+
+def suppressed_groups(groups: DataFrame, suppressions: DataFrame, how: str) -> DataFrame:
+    """Groups (``left_semi``) or all others (``left_anti``) whose anchor path an exemption covers."""
+    return groups.join(covered_groups(groups, suppressions), GROUP, how)
 
 
 def score_groups(groups: DataFrame, rules: DataFrame) -> DataFrame:
@@ -127,7 +132,9 @@ def cluster_rules(findings: DataFrame, above: int = CLUSTER_ABOVE) -> DataFrame:
 
     The hash runs over the hashes of id prefixes, each of them over the value
     hashes in id order: one definition for every size, and no list grows with
-    the cluster by more than one in 65 536 of it.
+    the cluster by more than one in 65 536 of it.  A task holds the lists of
+    many clusters at once, so prefixes are first joined by their own beginnings
+    and a cluster's list has 256 texts and three samples each at most.
     """
     sizes = findings.groupBy("run_id", "rule_id").agg(F.count("*").alias("members")).where(F.col("members") > above)
     members = findings.join(sizes, ["run_id", "rule_id"]).withColumn("part", F.substring("id", 1, 4))
@@ -141,15 +148,19 @@ def cluster_rules(findings: DataFrame, above: int = CLUSTER_ABOVE) -> DataFrame:
     text = F.concat_ws(",", F.transform("o", lambda x: x["value_hash"]))
     parts = parts.select(
         "run_id", "rule_id", "members", "part", F.sha2(text, 256).alias("text"),
-        F.slice("o", 1, 3).alias("top"), "confidence", "anchor", "rule",
-    )
-    merged = parts.groupBy("run_id", "rule_id", "members").agg(
-        F.array_sort(F.collect_list(F.struct("part", "text"))).alias("texts"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 3).alias("top"),
-        F.max("confidence").alias("confidence"), F.min("anchor").alias("anchor"), F.min("rule").alias("rule"),
+        F.slice("o", 1, SAMPLES).alias("top"), "confidence", "anchor", "rule",
     )
-    joined = F.concat_ws(",", F.transform("texts", lambda x: x["text"]))
-    merged = merged.withColumn("value_hash", F.sha2(F.concat(F.lit("cluster:"), F.col("rule_id"), F.lit(":"), joined), 256))
+
+    def joined(rows: DataFrame, *key) -> DataFrame:
+        grouped = rows.groupBy("run_id", "rule_id", "members", *key).agg(
+            F.array_sort(F.collect_list(F.struct("part", "text"))).alias("texts"),
+            F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, SAMPLES).alias("top"),
+            F.max("confidence").alias("confidence"), F.min("anchor").alias("anchor"), F.min("rule").alias("rule"),
+        )
+        return grouped.withColumn("text", F.concat_ws(",", F.transform("texts", lambda x: x["text"]))).drop("texts")
+
+    merged = joined(joined(parts, F.substring("part", 1, 2).alias("head")).withColumnRenamed("head", "part"))
+    merged = merged.withColumn("value_hash", F.sha2(F.concat(F.lit("cluster:"), F.col("rule_id"), F.lit(":"), F.col("text")), 256))
     masks = F.concat_ws(", ", F.transform("top", lambda x: x["value_masked"]))
     count = F.col("members").cast("string")
     return merged.select(
@@ -171,12 +182,14 @@ def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | N
     """
     places = evidence_places(evidence)
     groups = group_evidence(places)
-    unknown = groups.join(rules, "rule_id", "left_anti").groupBy("run_id", "rule_id").agg(F.count("*").alias("dropped"))
     known = groups
     suppressed = groups.select(*GROUP).where(F.lit(False))
     if suppressions is not None:
-        suppressed = suppressed_groups(groups.join(rules, "rule_id", "left_semi"), suppressions, "left_semi").select(*GROUP)
-        known = suppressed_groups(groups, suppressions, "left_anti")
+        groups = cut(groups)  # read for the exemptions, for the others and for unknown rules
+        covered = cut(covered_groups(groups, suppressions))
+        suppressed = covered.join(rules, "rule_id", "left_semi").select(*GROUP)
+        known = groups.join(covered, GROUP, "left_anti")
+    unknown = groups.join(rules, "rule_id", "left_anti").groupBy("run_id", "rule_id").agg(F.count("*").alias("dropped"))
     findings, ids = findings_of(known, rules)
     places_of = places.select(*GROUP, "path_in_tree", "byte_offset", F.col("first.encoding").alias("encoding"))
     locations = (
