@@ -84,6 +84,24 @@ def group_evidence(places: DataFrame) -> DataFrame:
     )
 
 
+def evidence_groups(evidence: DataFrame) -> DataFrame:
+    """What :func:`group_evidence` makes of the places, from the evidence itself in one pass.
+
+    All of it combines on the map side, so a hot value reaches a task as one row of each partition.
+    """
+    context = F.col("context") if "context" in evidence.columns else F.lit(None).cast("string")
+    anchor = F.min(
+        F.struct(
+            F.col("path_in_tree"), F.coalesce("byte_offset", F.lit(0)).alias("at"), F.col("encoding"),
+            F.col("byte_offset"), F.col("value_masked"), F.col("entropy"), context.alias("context"),
+        )
+    )
+    return evidence.groupBy(*GROUP).agg(
+        anchor.alias("anchor"), F.max("entropy").alias("peak"), F.count("*").alias("evidence_count"),
+        F.max((F.col("encoding") == "utf-16le").cast("int")).alias("wide"),
+    )
+
+
 def probe(pattern: Column) -> Column:
     """Struct (tail, size, text): the longer of the pattern's literal beginning and literal end; a path it covers has it in the same place."""
     head, tail = F.regexp_extract(pattern, r"^[^*?\[]*", 0), F.regexp_extract(pattern, r"[^*?\[\]]*$", 0)
@@ -180,8 +198,7 @@ def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | N
     The scored groups (one row per run, rule and value) feed the cluster sizes,
     the clusters, the findings and the locations, so they are checkpointed once.
     """
-    places = evidence_places(evidence)
-    groups = group_evidence(places)
+    groups = evidence_groups(evidence)
     known = groups
     suppressed = groups.select(*GROUP).where(F.lit(False))
     if suppressions is not None:
@@ -191,9 +208,8 @@ def correlate(evidence: DataFrame, rules: DataFrame, suppressions: DataFrame | N
         known = groups.join(covered, GROUP, "left_anti")
     unknown = groups.join(rules, "rule_id", "left_anti").groupBy("run_id", "rule_id").agg(F.count("*").alias("dropped"))
     findings, ids = findings_of(known, rules)
-    places_of = places.select(*GROUP, "path_in_tree", "byte_offset", F.col("first.encoding").alias("encoding"))
     locations = (
-        places_of.join(ids, GROUP)
+        evidence.select(*GROUP, "path_in_tree", "byte_offset", "encoding").join(ids, GROUP)
         .groupBy("run_id", "finding_id", "path_in_tree", "byte_offset")
         .agg(F.min(F.struct("member_id", "encoding"))["encoding"].alias("encoding"))
     )

@@ -40,7 +40,7 @@ def rules(t: Inputs):
 
 
 def singles(t: Inputs):
-    return C.score_groups(C.group_evidence(C.evidence_places(t.evidence())), rules(t))
+    return C.score_groups(C.evidence_groups(t.evidence()), rules(t))
 
 
 @query("agg_01_correlate", f"WITH {ALL} SELECT run_id, rule_id, value_hash, id, value_masked, CAST(n AS BIGINT) AS evidence_count FROM singles", EV)

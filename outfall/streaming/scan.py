@@ -80,7 +80,7 @@ def merge_batch(batch: DataFrame, batch_id: int, pack: RulePack, base: str, poli
     whole = before.last is not None and batch_id - before.first >= compact_every
     touched = None if whole else [r["bucket"] for r in runs.select(bucket()).distinct().collect()]  # at most BUCKETS
 
-    delta = C.group_evidence(C.evidence_places(evidence))
+    delta = C.evidence_groups(evidence)
     old = before.read("groups", GROUPS, touched)
     if not whole:
         old = old.join(delta.select(*PAIR).distinct(), PAIR, "left_semi")
