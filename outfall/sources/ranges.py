@@ -24,6 +24,9 @@ from outfall.rules.pack import MAX_DIMENSION_ROWS
 from outfall.sources.sinks import scratch
 
 RANGE_BYTES = 64 << 20
+#: Bytes of ranges that one task reads, about, and tasks from which on it gets as many: small ranges share a task, since starting one costs more than reading them.
+TASK_BYTES = 16 << 20
+TASKS = 64
 LOOKBACK = 64 << 10
 #: The window of a hit reaches two bytes for each character of the string beyond its start.
 AHEAD = 2 * MAX_STRING + CONTEXT
@@ -83,22 +86,22 @@ class RangeReader(DataSourceReader):
             raise ValueError(f"range_bytes has to be {2 * LOOKBACK} or more")
 
     def partitions(self) -> list[FileRange]:
-        """Ranges of all files; small files share a partition."""
+        """Ranges of all files; small files and small ranges share a partition."""
         store, inner = _opened(self.path)
         info = store.get_file_info(inner)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [info] if info.is_file else sorted((f for f in store.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file), key=lambda f: f.path)
+        files = [f for f in files if not f.base_name.startswith(("_", "."))]
+        together = max(self.size, min(TASK_BYTES, sum(f.size for f in files) // TASKS))
         out: list[list[tuple[str, int, int, int]]] = []
         room = 0
         for f in files:
-            if f.base_name.startswith(("_", ".")):
-                continue
             for start in range(0, max(f.size, 1), self.size):
                 end = min(f.size, start + self.size)
                 if room < end - start or not out:
                     out.append([])
-                    room = self.size
+                    room = together
                 out[-1].append((f.path, f.size, start, end))
                 room -= end - start
         return [FileRange(r) for r in out] or [FileRange([])]
