@@ -27,6 +27,7 @@ from outfall.session import cut
 EXPANDABLE = ("zip", "jar", "apk", "tar", "gzip", "asar")
 MEMBER = "root string, parent_path_in_tree string, member string, depth int, extracted_by string, content binary, error string"
 BATCH_BYTES = 64 * 1024 * 1024
+BATCH_ROWS = 4096
 
 
 def _zip(data: bytes, _name: str) -> Iterator[tuple[str, int, object]]:
@@ -81,9 +82,10 @@ READERS = {"zip": _zip, "jar": _zip, "apk": _zip, "tar": _tar, "gzip": _gzip, "a
 def _expander(max_bytes: int, max_files: int):
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in MEMBER.split(", ")]
+        out, held = [], 0  # members of several small archives go on together
         for batch in batches:
             for row in batch.itertuples(index=False):
-                out, held, files, total = [], 0, 0, 0
+                files, total = 0, 0
                 head = (row.root, row.path_in_tree)
                 name = row.path_in_tree.rsplit(" → ", 1)[-1].rsplit("/", 1)[-1]
                 try:
@@ -107,8 +109,11 @@ def _expander(max_bytes: int, max_files: int):
                             out, held = [], 0
                 except Exception as exc:  # an archive that cannot be read is a row, not a failed job
                     out.append((*head, None, row.depth + 1, row.container, None, f"{row.container} extraction failed: {exc}"))
-                if out:
+                if len(out) >= BATCH_ROWS:
                     yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     return expand
 
