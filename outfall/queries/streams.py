@@ -126,12 +126,18 @@ def _(t):
     return read_verdicts(t.spark, _streamed(t)).select("run_id", "decision", "total_findings", "violations")
 
 
+#: Bytes of text in a landed file, about.
+LANDED_BYTES = 64 << 20
+
+
 def _streamed(t: Inputs) -> str:
-    """The documents in two files, one for each micro-batch, streamed through scan and gate."""
+    """The documents in files of bounded size, half of them for each of two micro-batches, streamed through scan and gate."""
     base = scratch(t.spark, "scan")
     texts = t.table("documents").select(F.concat(F.lit("docs-"), "lang").alias("run_id"), F.concat(F.lit("documents/"), "doc_id").alias("path_in_tree"), F.encode("text", "UTF-8").alias("content"))
-    texts.repartition(2, "path_in_tree").write.parquet(f"{base}/landed")
-    landed = t.spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+    size = texts.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    half = size // (2 * LANDED_BYTES) + 1
+    texts.repartition(2 * half, "path_in_tree").write.parquet(f"{base}/landed")
+    landed = t.spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", half).parquet(f"{base}/landed")
     scan_stream(landed, builtin_pack(), base, [Policy()], F.expr("DATE '2024-02-15'")).awaitTermination()
     return base
 
