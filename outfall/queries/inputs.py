@@ -133,6 +133,10 @@ SELECT root AS run_id, path_in_tree, parent_path_in_tree, depth, size_bytes, md5
 FROM ({VIEWS['unpack_nodes']}) n"""
 
 
+#: Parts for each split of an input that is spread: a split holds up to 128 MB of a file, and some times that in memory.
+PARTS = 4
+
+
 class Inputs:
     """The tables of one folder plus the derived views, as DataFrames."""
 
@@ -155,12 +159,12 @@ class Inputs:
         return spread(self.view("evidence"), "path_in_tree", "byte_offset")
 
     def artifacts(self) -> DataFrame:
-        """``texts`` as bytes, spread over the cores when there are only a few files to split."""
+        """``texts`` as bytes, spread over the cores when there are only a few splits."""
         texts = self.view("texts").withColumn("content", F.encode("content", "UTF-8"))
         return spread(texts, "path_in_tree")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows by key when the input has fewer files than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    """Spread rows by key when Spark reads the input in fewer splits than there are cores, into several parts for each split."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(max(cores, PARTS * splits), *keys) if splits < cores else df
