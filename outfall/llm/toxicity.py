@@ -5,9 +5,10 @@ class, everything below are continuation counts of both. Log-likelihoods are com
 text and for its most telling expression (word), because a few expressions in a long text decide. A logistic curve
 fitted on rows that the counts have not seen turns both into a score.
 
-All training rows are counted, and the n-gram types of all documents stand behind the shared orders. Counts, continuation counts and
-log-ratios are tables; texts are scored block by block, each block joined to the ratios of the n-grams that it has. Only the
-three numbers of the curve are fitted on a sample.
+All training rows are counted, and the n-gram types of all documents stand behind the shared orders; one pass over the texts gives both. Counts,
+continuation counts and log-ratios are tables. Up to HELD log-ratios go to every task, which scores texts as it reads them. Of more, texts are
+scored block by block, each block joined to the ratios of the n-grams that it has; both ways give the same scores. Only the three numbers of the curve are
+fitted on a sample.
 """
 
 from __future__ import annotations
@@ -29,7 +30,17 @@ ORDER = 6
 #: Labelled rows to fit the logistic curve on, at most about; they are of two folds, sampled by hash if those are larger. Counts are of all rows.
 FIT_ROWS = 20_000
 CURVE_FOLDS = (1, 2)
-#: Bytes of text in a block that is scored together, about.
+#: Kinds of labelled rows: whether of the curve's folds x 2 + class. Rows without a label have kind -1.
+KINDS = 4
+#: Labelled training rows that are broadcast to the texts, at most; to more of them texts are shuffled.
+LABELS = 2_000_000
+#: N-gram types whose log-ratios every task may hold (16 bytes each); of more, texts get theirs through joins.
+HELD = 4 << 20
+#: Bytes of text that are counted or scored together, about.
+PIECE = 8 << 20
+#: N-gram types that a counting task gathers before it hands them on, about.
+GATHERED = 1 << 19
+#: Bytes of text in a block that is joined to its ratios, about.
 BLOCK = 16 << 20
 END = 1
 _DISCOUNT = 0.75
@@ -102,20 +113,62 @@ def fit(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     return Model(gram, logs[0] - logs[1], known, unseen[0] - unseen[1]) if len(gram) else Model(gram, gram.astype(float), gram, gram.astype(float))
 
 
+def _gathered(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))[:-1]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 4 << 20):
+    """N-gram types with their counts by kind, gathered over pieces of text; rows without a label give types only."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = lambda found: pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["gram", *(f"n{k}" for k in range(KINDS))])
+    for batch in pieces(batches, "text", PIECE):
         data, starts = joined(batch.column("text"))
         data = _LOWER[data]
         words = split_words(data, starts)
-        kind = batch.column("kind").to_numpy()
-        for k in np.unique(kind):
-            of = np.flatnonzero(kind[words.doc] == k)
-            if not len(of):
-                continue
-            _, first, count = np.unique(words.hash[of], return_index=True, return_counts=True)
-            size = (words.end - words.start)[of][first]
-            unique, total, _ = _grouped(grams(data, words.start[of][first], size), np.repeat(count, size + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.full(len(unique), k, np.int32)), pa.array(total.astype(np.int64))], names=["gram", "kind", "n"])
+        if not len(words.hash):
+            continue
+        first, inverse, size = distinct_words(data, words)
+        kind = batch.column("kind").to_numpy()[words.doc]
+        each = [np.repeat(np.bincount(inverse[kind == k], minlength=len(first)), size + 1) for k in range(KINDS)]
+        held.append(_grouped(grams(data, words.start[first], size), *each)[:-1])
+        if sum(len(x[0]) for x in held) > 2 * GATHERED:
+            held = [_gathered(held)]
+            if len(held[0][0]) > GATHERED:
+                yield rows(held.pop())
+    if held:
+        yield rows(_gathered(held))
+
+
+def _in_texts(words: Words, inverse: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the numbers of its distinct words, ascending, and how often it has them, flat, and where each text begins."""
+    pairs, n = np.unique(words.doc * max(1, distinct) + inverse, return_counts=True)
+    doc, word = np.divmod(pairs, max(1, distinct))
+    return np.searchsorted(doc, np.arange(len(words.first))), word, n
+
+
+def _features(ratio: np.ndarray, size: np.ndarray, bound: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each text: the length-normalised log-ratio of all its bytes, and the largest of a word. No words: zeros. ratio: of the n-grams of the distinct words."""
+    out = np.zeros((len(bound) - 1, 2))
+    if len(word):
+        starts, has = np.cumsum(size + 1) - size - 1, np.flatnonzero(np.diff(bound))
+        lengths = np.add.reduceat((size + 1)[word] * n, bound[:-1][has])
+        each = np.add.reduceat(ratio, starts)
+        out[has, 0] = np.add.reduceat(each[word] * n, bound[:-1][has]) / lengths
+        out[has, 1] = np.maximum.reduceat((each / (size + 1))[word], bound[:-1][has])
+    return out
+
+
+def _scored(model: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """model: all n-gram types, ascending, and their log-ratios."""
+    gram, ratio = model
+    for batch in pieces(batches, "text", PIECE):
+        data, starts = joined(batch.column("text"))
+        data = _LOWER[data]
+        words = split_words(data, starts)
+        first, inverse, size = distinct_words(data, words)
+        found = ratio[np.searchsorted(gram, grams(data, words.start[first], size))] if len(first) else np.zeros(0)
+        out = _features(found, size, *_in_texts(words, inverse, len(first)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("kind").cast(pa.int32()), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc_id", "kind", "mean", "most"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +178,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = _LOWER[data]
         words = split_words(data, starts)
         first, inverse, size = distinct_words(data, words)
-        pairs, n = np.unique(words.doc * max(1, len(first)) + inverse, return_counts=True)
-        doc, word = np.divmod(pairs, max(1, len(first)))
+        bound, word, n = _in_texts(words, inverse, len(first))
         ends = np.concatenate(([0], np.cumsum(size)))
         flat = data[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(words.start[first], size)]
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        yield pa.RecordBatch.from_arrays([one(batch.column("doc_id").cast(pa.int64())), one(batch.column("kind").cast(pa.int32())), one(pa.array(np.searchsorted(doc, np.arange(len(starts))), pa.int32())),
+        yield pa.RecordBatch.from_arrays([one(batch.column("doc_id").cast(pa.int64())), one(batch.column("kind").cast(pa.int32())), one(pa.array(bound, pa.int32())),
                                           one(pa.array(word, pa.int32())), one(pa.array(n, pa.int32())), pa.array([flat.tobytes()], pa.binary()), one(pa.array(size, pa.int32()))], names=_BLOCK_FIELDS)
 
 
@@ -204,18 +256,15 @@ def ratio_table(counts: DataFrame, made: list[DataFrame] | None = None) -> DataF
 
 
 def _of_block(found: pa.Table, texts: pa.Table) -> pa.Table:
-    """Of each text of a block: the length-normalised log-ratio of all its bytes, and the largest of a word. No words: zeros."""
+    """``_features`` of the texts of a block by the log-ratios of its n-grams."""
     row = {c: texts.column(c).combine_chunks() for c in texts.column_names}
     doc, kind, bound, word, n, size = (row[c].flatten() for c in ("doc", "kind", "bound", "word", "n", "size"))
     bound, word, n, size = (x.to_numpy().astype(np.int64) for x in (bound, word, n, size))
-    out = np.zeros((len(doc), 2))
+    ratio = np.zeros(0)
     if len(word):
-        packed, order = _block_grams(row["flat"][0].as_py(), size), np.argsort(found.column("gram").to_numpy())
-        at, starts, has = np.searchsorted(found.column("gram").to_numpy()[order], packed), np.cumsum(size + 1) - size - 1, np.flatnonzero(np.diff(bound))
-        lengths = np.add.reduceat((size + 1)[word] * n, bound[:-1][has])
-        each = np.add.reduceat(found.column("r").to_numpy()[order][at], starts)
-        out[has, 0] = np.add.reduceat(each[word] * n, bound[:-1][has]) / lengths
-        out[has, 1] = np.maximum.reduceat((each / (size + 1))[word], bound[:-1][has])
+        order = np.argsort(found.column("gram").to_numpy())
+        ratio = found.column("r").to_numpy()[order][np.searchsorted(found.column("gram").to_numpy()[order], _block_grams(row["flat"][0].as_py(), size))]
+    out = _features(ratio, size, bound, word, n)
     return pa.table([doc, kind, pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc_id", "kind", "mean", "most"])
 
 
@@ -225,6 +274,29 @@ def block_features(blocks: DataFrame, ratios: DataFrame, model: str) -> DataFram
     return found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_of_block, "doc_id long, kind int, mean double, most double")
 
 
+def held_ratios(ratios: DataFrame, held: int = HELD) -> dict[str, np.ndarray] | None:
+    """The columns of the log-ratios, by ascending n-gram, if there are no more than ``held``."""
+    if ratios.count() > held:
+        return None
+    found = ratios.toArrow()
+    order = np.argsort(found.column("gram").to_numpy())
+    return {c: found.column(c).to_numpy()[order] for c in found.column_names}
+
+
+def text_features(rows: DataFrame, ratios: DataFrame, known: dict[str, np.ndarray] | None, model: str, made: list[DataFrame] | None = None) -> DataFrame:
+    """doc_id, kind, mean, most of each row (doc_id, kind, text) by the log-ratios in column ``model``; known: those of ``held_ratios``.
+
+    Tables that the result reads are added to ``made``.
+    """
+    if known is None:
+        blocks = stored_blocks(rows)
+        if made is not None:
+            made.append(blocks)
+        return block_features(blocks, ratios, model)
+    shared = rows.sparkSession.sparkContext.broadcast((known["gram"], known[model]))  # at most HELD n-grams
+    return rows.select("doc_id", "kind", "text").mapInArrow(lambda batches: _scored(shared.value, batches), "doc_id long, kind int, mean double, most double")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; the last column of x is ones."""
     w = np.zeros(x.shape[1])
@@ -243,39 +315,43 @@ def usable_labels(labels: DataFrame) -> DataFrame:
     return usable.select("doc_id", (F.col("toxic") + 2 * (fold(F.col("doc_id")).isin(*CURVE_FOLDS)).cast("int")).cast("int").alias("kind"))
 
 
-def train(docs: DataFrame, labels: DataFrame, blocks: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The stored log-ratios of all training rows; scale and weights of the curve, fitted on rows of two folds that were scored without them."""
+def labelled(texts: DataFrame, usable: DataFrame, most: int = LABELS) -> DataFrame:
+    """text and kind of all texts; -1 without a label."""
+    few = usable.count() <= most
+    return texts.join(F.broadcast(usable) if few else usable, "doc_id", "left").select("text", F.coalesce("kind", F.lit(-1)).alias("kind"))
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held: int = HELD) -> tuple[DataFrame, dict[str, np.ndarray] | None, np.ndarray, np.ndarray]:
+    """The stored log-ratios of all training rows, and as ``held_ratios``; scale and weights of the curve, fitted on rows of two folds that were scored without them."""
     usable = stored(usable_labels(labels), "labels")
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(usable, "doc_id")
-    counts = rows.select("text", "kind").mapInArrow(_counted, "gram long, kind int, n long")
-    types = gram_rows(blocks).select("gram", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("n"))
-    counts = stored(counts.union(types).groupBy("gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4))), "grams")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL")
+    counts = labelled(rows, usable).mapInArrow(_counted, ", ".join(["gram long", *(f"n{k} long" for k in range(KINDS))]))
+    counts = stored(counts.groupBy("gram").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(KINDS))), "grams")
     made = [counts]
     ratios = stored(ratio_table(counts, made), "ratios")
     erase(*made)
+    known = held_ratios(ratios, held)
     own = usable.where("kind >= 2")
     share = min(1.0, fit_rows / max(1, own.count()))
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    trial = docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
-    trial = stored_blocks(trial)
-    unseen = block_features(trial, ratios, "r0").select("kind", "mean", "most").toArrow()  # bounded by fit_rows
-    erase(trial, usable)
+    made = [usable]
+    unseen = text_features(rows.join(F.broadcast(chosen), "doc_id"), ratios, known, "r0", made).select("kind", "mean", "most").toArrow()  # bounded by fit_rows
+    erase(*made)
     x, y = np.column_stack((unseen["mean"].to_numpy(), unseen["most"].to_numpy())), (unseen["kind"].to_numpy() % 2).astype(float)
     scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(2)
     weights = logistic(np.column_stack((x / scale, np.ones(len(x)))), y) if len(x) else np.zeros(3)
-    return ratios, scale, weights
+    return ratios, known, scale, weights
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held: int = HELD) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= 0.5), and both log-ratios of every document.
 
     Labels of rows whose crc32(doc_id) mod 5 is 0 are not used; the curve is fitted on rows of remainder 1 or 2, which a model without them has scored. A null or empty text scores what no evidence scores. Without
     labels every score is 0.5. Repeated rows score alike; a null doc_id is not held out; other columns are left out. No documents: no rows.
     """
-    blocks = stored_blocks(docs.select("doc_id", F.lit(-1).alias("kind"), "text"))
-    ratios, scale, weights = train(docs, labels, blocks, fit_rows)
+    ratios, known, scale, weights = train(docs, labels, fit_rows, held)
     a, b, c = (float(w) for w in (weights[0] / scale[0], weights[1] / scale[1], weights[2]))
     x = F.col("mean") * a + F.col("most") * b + c
-    scored = block_features(blocks, ratios, "r1").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
+    scored = text_features(docs.select("doc_id", F.lit(-1).alias("kind"), "text"), ratios, known, "r1").withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("mean").alias("mean_log_ratio"), F.col("most").alias("largest_log_ratio"))

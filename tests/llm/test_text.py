@@ -13,9 +13,10 @@ import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from fixtures import DOCS, WORD, rows, texts  # noqa: E402
+from fixtures import DOCS, LOW, WORD, rows, texts  # noqa: E402
 
 from outfall.llm import chat, pages, pieces, quality, toxicity  # noqa: E402
+from outfall.llm.words import joined  # noqa: E402
 
 
 def test_escape_is_reversible():
@@ -248,6 +249,62 @@ def test_counts_are_of_all_rows_whatever_the_curve_is_fitted_on(spark):
     assert ratios[0] == ratios[1]
 
 
+def test_scores_are_the_same_by_held_ratios_and_by_joins(spark):
+    docs, labels = _train_rows(spark)
+    every = [{(r["doc_id"], r["held_out"], round(r["score"], 9), round(r["mean_log_ratio"], 9), round(r["largest_log_ratio"], 9)) for r in toxicity.toxicity(docs, labels, held=n).collect()} for n in (0, toxicity.HELD)]
+    assert every[0] == every[1] and len(every[0]) == docs.distinct().count()
+
+
+def test_texts_are_not_shuffled_to_few_labels(spark):
+    docs, labels = _train_rows(spark)
+    usable, was = toxicity.usable_labels(labels).localCheckpoint(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        few, many = toxicity.labelled(docs, usable), toxicity.labelled(docs, usable, 10)
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (few, many)]
+        assert ["Exchange hashpartitioning" in p for p in plans] == [False, True]
+        assert few.count() == docs.count() and few.exceptAll(many).count() == many.exceptAll(few).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_a_task_hands_on_each_type_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 200)
+    some = [t for t in texts() if t]
+    kinds = [i % 5 - 1 for i in range(len(some))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(some[i::3]), pa.array(kinds[i::3], pa.int32())], names=["text", "kind"]) for i in range(3)]
+    expected = collections.defaultdict(lambda: [0] * toxicity.KINDS)
+    for text, kind in zip(some, kinds, strict=True):
+        for word in WORD.findall(text.translate(LOW)):
+            raw = bytes(toxicity.ORDER - 1) + word.encode() + bytes([toxicity.END])
+            for i in range(toxicity.ORDER, len(raw) + 1):
+                n = expected[int.from_bytes(raw[i - toxicity.ORDER:i], "big")]
+                if kind >= 0:
+                    n[kind] += 1
+    out = list(toxicity._counted(iter(batches)))
+    got = [(r["gram"], [r[f"n{k}"] for k in range(toxicity.KINDS)]) for b in out for r in b.to_pylist()]
+    assert len(out) == 1 and len(got) == len(expected) and dict(got) == dict(expected)
+    monkeypatch.setattr(toxicity, "GATHERED", 100)  # more types than a task gathers: parts, with the same sums
+    out, total = list(toxicity._counted(iter(batches))), collections.defaultdict(lambda: [0] * toxicity.KINDS)
+    for r in (r for b in out for r in b.to_pylist()):
+        total[r["gram"]] = [x + r[f"n{k}"] for k, x in enumerate(total[r["gram"]])]
+    assert len(out) > 1 and dict(total) == dict(expected)
+
+
+def test_joining_texts_takes_no_index_by_byte():
+    import tracemalloc
+
+    some = pa.array([None, "", "é"] + ["word " * 100_000] * 8 + ["end"]).slice(1)
+    tracemalloc.start()
+    data, starts = joined(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    plain = [(t or "") + "\n" for t in some.to_pylist()]
+    assert data.tobytes() == "".join(plain).encode() and starts.tolist() == [0, *np.cumsum([len(t.encode()) for t in plain]).tolist()]
+    assert joined(pa.array([None, "a"]))[1].tolist() == [0, 1, 3]
+    assert peak < 4 * len(data)
+
+
 def test_ratios_match_the_arrays(spark):
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(300)]
