@@ -109,6 +109,18 @@ def _shared(frame):
     return pd.DataFrame({"token": pair[many, 0].view(np.int64), "sig": pair[many, 1].view(np.int64), "df": np.full(int(many.sum()), 1 << 30) if often else df[many]})
 
 
+def shared_across(kept: DataFrame) -> DataFrame:
+    """The rows (token, sig, g, n) whose token more than one group holds."""
+    groups = kept.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
+    return kept.join(groups, "token", "left_semi")
+
+
+def able(across: DataFrame) -> DataFrame:
+    """Of the rows of ``shared_across`` those of sets with enough tokens in more than one group to need another group; fewer cannot reach ``needed`` with any."""
+    enough = across.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}").select("sig")
+    return across.join(enough, "sig", "left_semi")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", _PIECE):
         flat, bound, sig = token_sets(batch.column("text"))
@@ -220,13 +232,13 @@ def similar_components(docs: DataFrame) -> DataFrame:
     named = stored(members.join(least, "sig").where(f"held >= {needed('n')}"), "named")
     kept = stored(shared.select("token", "sig").join(named.select("sig", "g", "n"), "sig"), "kept")
     erase(shared)
-    matrix = stored(kept.select("token", "g").distinct(), "matrix")
     # Its own group leads a class to itself; other groups do by tokens that more than one group holds.
-    across = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
-    shared_out = stored(matrix.join(across, "token", "left_semi").withColumnRenamed("g", "other"), "across")
-    met = kept.join(shared_out, "token").where("g <> other").groupBy("sig", "other").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    across = stored(shared_across(kept), "across")
+    erase(kept)
+    matrix = stored(across.select("token", F.col("g").alias("other")).distinct(), "matrix")
+    met = able(across).join(matrix, "token").where("g <> other").groupBy("sig", "other").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
     led = stored(named.select("sig", "g").union(met.where(f"c >= {needed('n')}").select("sig", F.col("other").alias("g"))), "led")
-    erase(kept, matrix, shared_out)
+    erase(across, matrix)
     wanted = named.select("sig", F.col("doc_id").alias("least"))
     sets = stored(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "sig").mapInArrow(_sets, "sig long, tokens binary").dropDuplicates(["sig"]), "sets")
 

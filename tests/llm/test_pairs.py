@@ -241,3 +241,25 @@ def test_asking_classes_are_dealt_into_parts(spark):
     assert max(len(q) for q, _ in frames.values()) < 2 * jaccard.PART and max(len(m) for _, m in frames.values()) < 2 * jaccard.BLOCK
     pairs = [(q, m) for qs, ms in frames.values() for q in qs for m in ms]
     assert len(pairs) == len(set(pairs)) == 2000 * 150
+
+
+def test_only_sets_that_can_need_another_group_meet_others(spark):
+    rng = random.Random(8)
+    kept = []
+    for sig in range(120):
+        n, g = rng.choice((4, 60, 200)), sig % 5
+        kept += [(t, sig, g, n) for t in {rng.randrange(100 * g, 100 * g + 100) for _ in range(30)} | {rng.randrange(1000, 1020) for _ in range(sig % 25)}]
+    need = {n: max(1, -(-n * 75 // 100) * jaccard.LEAD // 100) for n in (4, 60, 200)}
+    groups, of, size = {}, {}, {}
+    for t, sig, g, n in kept:
+        groups.setdefault(t, set()).add(g)
+        of.setdefault(sig, set()).add(t)
+        size[sig] = (n, g)
+    expected = {(s, g) for s in of for g in range(5) if g != size[s][1] and sum(g in groups[t] for t in of[s]) >= need[size[s][0]]}
+    across = jaccard.shared_across(spark.createDataFrame(kept, "token long, sig long, g long, n int")).localCheckpoint()
+    assert {(r["token"], r["sig"]) for r in across.collect()} == {(t, s) for t, s, _, _ in kept if len(groups[t]) > 1}
+    asking = jaccard.able(across)
+    met = asking.join(across.select("token", F.col("g").alias("other")).distinct(), "token").where("g <> other").groupBy("sig", "other").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    assert {(r["sig"], r["other"]) for r in met.where(f"c >= {jaccard.needed('n')}").collect()} == expected
+    left = {r["sig"] for r in asking.collect()}
+    assert left == {s for s in of if sum(len(groups[t]) > 1 for t in of[s]) >= need[size[s][0]]} and len(left) < len({s for t, s, _, _ in kept if len(groups[t]) > 1})
