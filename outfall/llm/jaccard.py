@@ -2,7 +2,7 @@
 
 Documents are sets of word shingles; equal sets are one class. Two sets can only reach the threshold if they share tokens among their
 first ones in one global order (frequent tokens last). Classes that share such tokens are put into groups; the matrix has, for each
-token, the groups that hold it, and bounds what a class and a group have in common. A class is compared with the groups its first tokens lead to: first with each group's pivot, and only
+token, the groups that hold it, and bounds what a class and a group have in common; tokens of the same groups are one row of it. A class is compared with the groups its first tokens lead to: first with each group's pivot, and only
 where that leaves a member of another component, the group is opened, block by block, if the overlap with the union of the block's tokens
 allows a link at all. Links inside a component are not needed and not listed; none between different components is lost.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outfall.llm.common import components, erase, pieces, row_key, stored
@@ -34,6 +34,8 @@ BUCKET = 400_000
 BLOCK = 64
 #: Classes that ask a group in one part, about.
 PART = 256
+#: Bits of the table that tells which rows are surely not asked for, at most.
+BITS = 1 << 27
 _PIECE = 4 << 20
 
 
@@ -115,12 +117,67 @@ def shared_across(kept: DataFrame) -> DataFrame:
     return kept.join(groups, "token", "left_semi")
 
 
-def able(across: DataFrame) -> DataFrame:
+def able(across: DataFrame, tokens: str = "count(1)") -> DataFrame:
     """Of the rows of ``shared_across`` those of sets with enough tokens in more than one group to need another group; fewer cannot reach ``needed`` with any."""
-    enough = across.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}").select("sig")
+    enough = across.groupBy("sig").agg(F.expr(tokens).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}").select("sig")
     return across.join(enough, "sig", "left_semi")
 
 
+def grouped(shared: DataFrame, least: DataFrame) -> DataFrame:
+    """The rows (token, sig) of sets that hold enough shared first tokens, with n, held, doc_id, rk and the set's group g.
+
+    A set joins the group of its most common token (frequent ones before all others), so that copies of one text gather in few groups.
+    A set that shares fewer first tokens than a similar one would has none.
+    """
+    own = Window.partitionBy("sig")
+    told = shared.select("token", "sig", F.max(F.struct("df", "token")).over(own).getField("token").alias("g"), F.count(F.lit(1)).over(own).alias("held"))
+    return told.join(least, "sig").where(f"held >= {needed('n')}")
+
+
+def by_mark(across: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens that the same groups hold are one mark (k groups, x, y): (sig, g, n, mark, w tokens), and (mark, other group).
+
+    Sets of groups with equal marks would only add candidates.
+    """
+    matrix = stored(across.select("token", F.col("g").alias("other")).distinct(), "matrix")
+    marks = stored(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.expr("bit_xor(xxhash64(other)) AS x"), F.expr("bit_xor(xxhash64(1, other)) AS y")), "marks")
+    held = stored(across.join(marks, "token").groupBy("sig", "k", "x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("g").alias("g"), F.min("n").alias("n")), "held")
+    one = marks.groupBy("k", "x", "y").agg(F.min("token").alias("token"))
+    lead = stored(matrix.join(one, "token").select("k", "x", "y", "other"), "lead")
+    erase(matrix, marks)
+    return held, lead
+
+
+def candidates(held: DataFrame, lead: DataFrame) -> DataFrame:
+    """(sig, g): the other groups that may hold as many of a set's tokens as ``needed``, and few more.
+
+    Of a set's marks those of most groups do not ask, as long as all that do not ask have fewer tokens than are needed; a group that
+    holds enough is then met by another mark, and all that did not ask count for every group.
+    """
+    rank = Window.partitionBy("sig").orderBy(F.desc("k"), "x", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asks = held.withColumn("upto", F.sum("w").over(rank)).withColumn("silent", F.max(F.expr(f"CASE WHEN upto < {needed('n')} THEN upto ELSE 0 END")).over(Window.partitionBy("sig")))
+    met = asks.where(f"upto >= {needed('n')}").join(lead, ["k", "x", "y"]).where("g <> other")
+    enough = met.groupBy("sig", "other").agg((F.sum("w") + F.min("silent")).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}")
+    return enough.select("sig", F.col("other").alias("g"))
+
+
+def maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose rk is one of ``keys``, and some others: a bit table of bounded size drops most others before a shuffle."""
+    size = 1 << 10
+    while size < min(BITS, 16 * keys.count()):
+        size *= 2
+    words = keys.select((F.col("rk").bitwiseAND(size - 1)).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT))) AS bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    held = rows.sparkSession.sparkContext.broadcast(bits)  # at most BITS / 8 bytes
+
+    def known(rk: pa.Array) -> pa.Array:
+        at = rk.to_numpy().view(np.uint64) & np.uint64(size - 1)
+        return pa.array((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+
+    return rows.where(F.arrow_udf(known, "boolean")("rk"))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", _PIECE):
         flat, bound, sig = token_sets(batch.column("text"))
@@ -225,22 +282,19 @@ def similar_components(docs: DataFrame) -> DataFrame:
     packed = texts.mapInArrow(lambda batches: _first_tokens(frequent.value, buckets, batches), "bucket int, packed binary")
     shared = stored(packed.groupBy("bucket").applyInPandas(_shared, "token long, sig long, df int"), "shared")
 
-    # A set that shares fewer first tokens than a similar one would has none.
-    least = stored(found.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    # A set joins the group of its most common token (frequent ones before all others), so that copies of one text gather in few groups.
-    members = shared.groupBy("sig").agg(F.max(F.struct("df", "token")).alias("x"), F.count(F.lit(1)).alias("held")).select("sig", F.col("x.token").alias("g"), "held")
-    named = stored(members.join(least, "sig").where(f"held >= {needed('n')}"), "named")
-    kept = stored(shared.select("token", "sig").join(named.select("sig", "g", "n"), "sig"), "kept")
+    least = stored(found.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.min("n").alias("n")), "classes")
+    kept = stored(grouped(shared, least), "kept")
     erase(shared)
+    named = stored(kept.select("sig", "g", "held", "doc_id", "rk", "n").distinct(), "named")
     # Its own group leads a class to itself; other groups do by tokens that more than one group holds.
-    across = stored(shared_across(kept), "across")
+    across = stored(shared_across(kept.select("token", "sig", "g", "n")), "across")
     erase(kept)
-    matrix = stored(across.select("token", F.col("g").alias("other")).distinct(), "matrix")
-    met = able(across).join(matrix, "token").where("g <> other").groupBy("sig", "other").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-    led = stored(named.select("sig", "g").union(met.where(f"c >= {needed('n')}").select("sig", F.col("other").alias("g"))), "led")
-    erase(across, matrix)
-    wanted = named.select("sig", F.col("doc_id").alias("least"))
-    sets = stored(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "sig").mapInArrow(_sets, "sig long, tokens binary").dropDuplicates(["sig"]), "sets")
+    held, lead = by_mark(across)
+    led = stored(named.select("sig", "g").union(candidates(able(held, "sum(w)"), lead)), "led")
+    erase(across, held, lead)
+    wanted = named.select("sig", "rk")
+    rows = maybe(texts.select("rk", "text"), wanted).join(wanted, "rk").select("rk", "sig", "text").distinct()  # repeated rows once
+    sets = stored(rows.select("text", "sig").mapInArrow(_sets, "sig long, tokens binary"), "sets")
 
     # The pivot of a group is the member whose first tokens are shared the most: what others are copies of.
     pivots = stored(named.groupBy("g").agg(F.max(F.struct((F.col("held") / F.col("n")).alias("share"), "sig")).alias("p")).select("g", F.col("p.sig").alias("pivot")), "pivots")

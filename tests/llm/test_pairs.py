@@ -263,3 +263,45 @@ def test_only_sets_that_can_need_another_group_meet_others(spark):
     assert {(r["sig"], r["other"]) for r in met.where(f"c >= {jaccard.needed('n')}").collect()} == expected
     left = {r["sig"] for r in asking.collect()}
     assert left == {s for s in of if sum(len(groups[t]) > 1 for t in of[s]) >= need[size[s][0]]} and len(left) < len({s for t, s, _, _ in kept if len(groups[t]) > 1})
+
+
+def test_tokens_of_the_same_groups_meet_other_groups_once(spark):
+    rng = random.Random(9)
+    kept = []
+    for sig in range(300):
+        n, g = rng.choice((4, 60, 200, 400)), sig % 20
+        shared = {t for p in range(sig % 4) for t in range(1000 * p, 1000 * p + 60)}  # passages of many groups
+        pair = {5000 + 100 * (g // 2) + t for t in rng.sample(range(100), 50)} if sig % 3 else set()  # of two groups
+        kept += [(t, sig, g, n) for t in shared | pair | {100_000 + 100 * g + t for t in range(10)}]
+    groups, of, size = {}, {}, {}
+    for t, sig, g, n in kept:
+        groups.setdefault(t, set()).add(g)
+        of.setdefault(sig, set()).add(t)
+        size[sig] = (n, g)
+    need = {n: max(1, -(-n * 75 // 100) * jaccard.LEAD // 100) for n in (4, 60, 200, 400)}
+    expected = {(s, g) for s in of for g in range(20) if g != size[s][1] and sum(g in groups[t] for t in of[s]) >= need[size[s][0]]}
+    held, lead = jaccard.by_mark(jaccard.shared_across(spark.createDataFrame(kept, "token long, sig long, g long, n int")))
+    got = {(r["sig"], r["g"]) for r in jaccard.candidates(jaccard.able(held, "sum(w)"), lead).collect()}
+    assert expected <= got and len(got) < 1.2 * len(expected)
+    assert {r["sig"]: r["w"] for r in held.groupBy("sig").agg(F.sum("w").alias("w")).collect()} == {s: w for s in of if (w := sum(len(groups[t]) > 1 for t in of[s]))}
+    met = held.join(lead, ["k", "x", "y"]).where("g <> other").count()
+    assert 20 * met < sum(len(groups[t]) - 1 for t, *_ in kept)  # by token
+
+
+def test_rows_that_are_asked_for_pass_the_bit_table(spark):
+    rows = spark.range(20000).selectExpr("xxhash64(id) AS rk", "id")
+    asked = rows.where("id % 50 = 0")
+    left = {r["id"] for r in jaccard.maybe(rows, asked.select("rk")).collect()}
+    assert {i for i in range(0, 20000, 50)} <= left and len(left) < 3000
+    assert jaccard.maybe(rows, asked.where("id < 0")).count() == 0
+
+
+def test_rows_of_one_key_are_one_class(spark):
+    data = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f g h"), (7, "x y z u v w a b c"), (9, "x y z u v w a b c"), (9, None), (None, "x y z u v w a b c d")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.similar_components(docs).collect())
+    sets = brute_sets([t for _, t in data])
+    links = [(a, b) for a in range(len(data)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = closure(len(data), links)
+    least = {r: min(d[0] for i, d in enumerate(data) if root[i] == r and d[0] is not None) for r in set(root) if any(root[i] == r and d[0] is not None for i, d in enumerate(data))}
+    assert got == sorted((str(d), len(sets[i]), str(least.get(root[i]))) for i, (d, _) in enumerate(data))
