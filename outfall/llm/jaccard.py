@@ -2,9 +2,9 @@
 
 Documents are sets of word shingles; equal sets are one class. Two sets can only reach the threshold if they share tokens among their
 first ones in one global order (frequent tokens last). Classes that share such tokens are put into groups; the matrix has, for each
-token, the groups that hold it, and bounds what a class and a group have in common; tokens of the same groups are one row of it. A class is compared with the groups its first tokens lead to: first with each group's pivot, and only
-where that leaves a member of another component, the group is opened, block by block, if the overlap with the union of the block's tokens
-allows a link at all. Links inside a component are not needed and not listed; none between different components is lost.
+token, the groups that hold it, and bounds what a class and a group have in common; tokens of the same groups are one row of it. A class is compared with its own group and the larger ones its first tokens lead to (of two groups the smaller asks): first with
+each group's pivot, and only where that leaves a member of another component, the group is opened, block by block, if the overlap with the union of the
+block's tokens allows a link at all. Links inside a component are not needed and not listed; none between different components is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LEAD = 15
 FREQUENT = 200_000
 #: Documents of one piece of text from which a token is reported as frequent.
 OFTEN = 6
+#: Stands for the number of sets of a frequent token where that is not known yet.
+MANY = 1 << 30
 #: Entries in a bucket of tokens, about.
 BUCKET = 400_000
 #: Members of a group in one block.
@@ -108,7 +110,7 @@ def _shared(frame):
     df = np.repeat(np.diff(np.append(begin, len(pair))), np.diff(np.append(begin, len(pair))))
     often = bool(frame["bucket"].iloc[0] < 0)
     many = (df > 1) | often
-    return pd.DataFrame({"token": pair[many, 0].view(np.int64), "sig": pair[many, 1].view(np.int64), "df": np.full(int(many.sum()), 1 << 30) if often else df[many]})
+    return pd.DataFrame({"token": pair[many, 0].view(np.int64), "sig": pair[many, 1].view(np.int64), "df": np.full(int(many.sum()), MANY) if often else df[many]})
 
 
 def shared_across(kept: DataFrame) -> DataFrame:
@@ -126,10 +128,13 @@ def able(across: DataFrame, tokens: str = "count(1)") -> DataFrame:
 def grouped(shared: DataFrame, least: DataFrame) -> DataFrame:
     """The rows (token, sig) of sets that hold enough shared first tokens, with n, held, doc_id, rk and the set's group g.
 
-    A set joins the group of its most common token (frequent ones before all others), so that copies of one text gather in few groups.
+    A set joins the group of the token that most sets have among their first ones, so that copies of one text gather in few groups. Frequent tokens are
+    counted here: the last ones among a set's first tokens differ from copy to copy, and so would a choice by order.
     A set that shares fewer first tokens than a similar one would has none.
     """
     own = Window.partitionBy("sig")
+    counted = shared.where(F.col("df") == MANY).groupBy("token").agg(F.count(F.lit(1)).alias("sets"))  # at most FREQUENT tokens
+    shared = shared.join(F.broadcast(counted), "token", "left").withColumn("df", F.coalesce("sets", "df")).where("df > 1")
     told = shared.select("token", "sig", F.max(F.struct("df", "token")).over(own).getField("token").alias("g"), F.count(F.lit(1)).over(own).alias("held"))
     return told.join(least, "sig").where(f"held >= {needed('n')}")
 
@@ -148,15 +153,28 @@ def by_mark(across: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held, lead
 
 
-def candidates(held: DataFrame, lead: DataFrame) -> DataFrame:
+def extents(named: DataFrame) -> DataFrame:
+    """(g, room, low, high): how many sets a group has, and the sizes of its smallest and largest set."""
+    return named.groupBy("g").agg(F.count(F.lit(1)).alias("room"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+
+def candidates(held: DataFrame, lead: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(sig, g): the other groups that may hold as many of a set's tokens as ``needed``, and few more.
 
+    With ``sizes`` (of ``extents``) only those that have sets of a similar size and are larger than the set's own group, or as large and of a higher
+    number: two similar sets share what is needed of either, so the one in the smaller group finds the other, and the many sets of a large group ask few.
+
     Of a set's marks those of most groups do not ask, as long as all that do not ask have fewer tokens than are needed; a group that
     holds enough is then met by another mark, and all that did not ask count for every group.
     """
     rank = Window.partitionBy("sig").orderBy(F.desc("k"), "x", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     asks = held.withColumn("upto", F.sum("w").over(rank)).withColumn("silent", F.max(F.expr(f"CASE WHEN upto < {needed('n')} THEN upto ELSE 0 END")).over(Window.partitionBy("sig")))
-    met = asks.where(f"upto >= {needed('n')}").join(lead, ["k", "x", "y"]).where("g <> other")
+    asks, other = asks.where(f"upto >= {needed('n')}"), "g <> other"
+    if sizes is not None:
+        asks = asks.join(sizes.select("g", F.col("room").alias("own")), "g")
+        lead = lead.join(sizes.withColumnRenamed("g", "other"), "other")
+        other = f"(room > own OR room = own AND other > g) AND 100 * high >= {PERCENT} * n AND 100 * n >= {PERCENT} * low"
+    met = asks.join(lead, ["k", "x", "y"]).where(other)
     enough = met.groupBy("sig", "other").agg((F.sum("w") + F.min("silent")).alias("c"), F.min("n").alias("n")).where(f"c >= {needed('n')}")
     return enough.select("sig", F.col("other").alias("g"))
 
@@ -286,12 +304,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
     kept = stored(grouped(shared, least), "kept")
     erase(shared)
     named = stored(kept.select("sig", "g", "held", "doc_id", "rk", "n").distinct(), "named")
-    # Its own group leads a class to itself; other groups do by tokens that more than one group holds.
+    sizes = stored(extents(named), "sizes")
+    # Its own group leads a class to itself; larger groups do by tokens that more than one group holds.
     across = stored(shared_across(kept.select("token", "sig", "g", "n")), "across")
     erase(kept)
     held, lead = by_mark(across)
-    led = stored(named.select("sig", "g").union(candidates(able(held, "sum(w)"), lead)), "led")
-    erase(across, held, lead)
+    others = candidates(able(held, "sum(w)"), lead, sizes)
+    led = stored(named.select("sig", "g", F.lit(True).alias("own")).union(others.select("sig", "g", F.lit(False))), "led")
+    erase(across, held, lead, sizes)
     wanted = named.select("sig", "rk")
     rows = maybe(texts.select("rk", "text"), wanted).join(wanted, "rk").select("rk", "sig", "text").distinct()  # repeated rows once
     sets = stored(rows.select("text", "sig").mapInArrow(_sets, "sig long, tokens binary"), "sets")
@@ -300,19 +320,21 @@ def similar_components(docs: DataFrame) -> DataFrame:
     pivots = stored(named.groupBy("g").agg(F.max(F.struct((F.col("held") / F.col("n")).alias("share"), "sig")).alias("p")).select("g", F.col("p.sig").alias("pivot")), "pivots")
     links = stored(verified(named.join(pivots, "g").where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")), sets), "links")
     labels = _labels(links, named)
-    apart = led.join(pivots, "g").where("sig <> pivot").join(labels, "sig").join(labels.select(F.col("sig").alias("pivot"), F.col("comp").alias("other")), "pivot").where("comp <> other")
-    apart = apart.join(named.select("sig", F.col("g").alias("own")), "sig").where("g <> own")  # with its own pivot it has been compared
+    apart = led.where("NOT own").join(pivots, "g").join(labels, "sig").join(labels.select(F.col("sig").alias("pivot"), F.col("comp").alias("other")), "pivot").where("comp <> other")
     links = links.union(stored(verified(apart.select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "links"))
     erase(labels)
     labels = _labels(links, named)
 
-    # Groups are opened for a class if a member other than the pivot lies in another component.
+    # Groups are opened for a class if a member other than the pivot lies in another component; its own group only for one that lies outside
+    # the pivot's component itself, which of two members that may still be linked at least one does.
     placed = named.select("sig", "g").join(labels, "sig").join(pivots, "g").where("sig <> pivot").select("sig", "g", "comp")
     spread = stored(placed.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "spread")
-    asking = stored(led.join(labels, "sig").join(spread, "g").where("low <> comp OR high <> comp").select("sig", "g", "comp", "blocks"), "asking")
+    hubs = stored(pivots.join(labels.select(F.col("sig").alias("pivot"), F.col("comp").alias("hub")), "pivot").select("g", "hub").join(spread, "g"), "hubs")
+    asking = led.join(labels, "sig").join(hubs, "g").where("(low <> comp OR high <> comp) AND NOT (own AND hub = comp)")
+    asking = stored(asking.select("sig", "g", "comp", "blocks"), "asking")
     tasks = openings(asking, placed, spread).join(sets, "sig")
     opened = stored(tasks.groupBy("g", "block", "part").applyInPandas(_opened, "a long, b long"), "opened")
-    erase(sets, asking, spread, labels, led, pivots)
+    erase(sets, asking, hubs, spread, labels, led, pivots)
     labels = components(links.union(opened))
 
     whole = stored(least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("comp")), "whole")

@@ -288,6 +288,36 @@ def test_tokens_of_the_same_groups_meet_other_groups_once(spark):
     assert 20 * met < sum(len(groups[t]) - 1 for t, *_ in kept)  # by token
 
 
+def test_copies_whose_frequent_tokens_end_anywhere_gather_in_few_groups(spark):
+    rng = random.Random(10)
+    shared = [(t, sig, jaccard.MANY) for sig in range(300) for t in range(1, 60 + rng.randrange(60)) if rng.random() < 0.9]
+    least = spark.range(300).selectExpr("id AS sig", "id AS doc_id", "id AS rk", "400L AS n")
+    told = jaccard.grouped(spark.createDataFrame([*shared, (1000, 7, jaccard.MANY)], "token long, sig long, df int"), least)
+    assert {(r["token"], r["sig"]) for r in told.select("token", "sig").collect()} == {(t, s) for t, s, _ in shared}  # one that a single set holds leads nowhere
+    assert told.select("g").distinct().count() < 8 and told.select("sig", "g").distinct().count() == 300
+
+
+def test_of_two_groups_the_smaller_asks(spark):
+    rng = random.Random(11)
+    met = []
+    for many in (100, 500):
+        # a family: one large group, and as many copies that stand alone as it has sets in ten
+        size = {sig: (400, 0 if sig < many else sig) for sig in range(many + many // 10)}
+        kept = [(t, sig, g, n) for sig, (n, g) in size.items() for t in range(150) if rng.random() < 0.9]
+        kept += [(t, 5000 + i, 6000 + i, n) for i, n in enumerate((100, 300, 533, 534, 2000)) for t in range(150)]  # one group of each size
+        size |= {5000 + i: (n, 6000 + i) for i, n in enumerate((100, 300, 533, 534, 2000))}
+        frame = spark.createDataFrame(kept, "token long, sig long, g long, n int")
+        sizes = jaccard.extents(frame.select("sig", "g", "n").distinct())
+        held, lead = jaccard.by_mark(jaccard.shared_across(frame))
+        got = {(r["sig"], r["g"]) for r in jaccard.candidates(jaccard.able(held, "sum(w)"), lead, sizes).collect()}
+        room = {g: sum(x == g for _, x in size.values()) for _, g in size.values()}
+        near = lambda n, m: 100 * min(n, m) >= 75 * max(n, m)
+        expected = {(s, h) for s, (n, g) in size.items() for m, h in set(size.values()) if (room[h], h) > (room[g], g) and near(n, m)}
+        assert got == expected
+        met.append(len([s for s, _ in got if s < many]))
+    assert met == [0, 0]  # by either side, before: as many as the large group has sets, for each small one
+
+
 def test_rows_that_are_asked_for_pass_the_bit_table(spark):
     rows = spark.range(20000).selectExpr("xxhash64(id) AS rk", "id")
     asked = rows.where("id % 50 = 0")
