@@ -14,6 +14,22 @@ SEVERITY_RANKS = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
 UNKNOWN_RANK = 99
 
 
+def compact(text: Column, null: bytes = b"") -> Column:
+    """A text as bytes that :func:`expanded` gives back: 16 for one of 32 lower-case hexadecimal digits, as ids are; others behind 17 zero bytes.
+
+    A null becomes ``null``, of fewer than 16 bytes. Two sides of a join that give their own keep nulls apart, and Spark has no reason to filter them
+    on one side only, which would make another exchange of it.
+    """
+    half = F.unhex(text)
+    same = (F.octet_length(text) == 32) & (F.lower(F.hex(half)) == text)
+    return F.coalesce(F.when(same, half).otherwise(F.concat(F.lit(bytes(17)), text.cast("binary"))), F.lit(null))
+
+
+def expanded(data: Column) -> Column:
+    size = F.octet_length(data)
+    return F.when(size == 16, F.lower(F.hex(data))).when(size > 16, F.substring(data, 18, 2**31 - 1).cast("string"))
+
+
 def shannon_entropy(value: Column) -> Column:
     """Bits per character; 0 for the empty string."""
     size = F.length(value).cast("double")

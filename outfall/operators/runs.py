@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from outfall.functions import text as T
 from outfall.operators.ordered import previous_value
@@ -61,10 +62,39 @@ def resolve_baselines(requests: DataFrame, runs: DataFrame) -> DataFrame:
         "usable", "candidate")
 
 
-def baseline_ids(links: DataFrame, findings: DataFrame) -> DataFrame:
-    """(run_id, id) of the findings each run is measured against; ``links``: run_id, baseline_id."""
+def _texts(findings: DataFrame) -> list[str]:
+    return [f.name for f in findings.schema if isinstance(f.dataType, StringType) and f.name not in ("run_id", "id")]
+
+
+def packed(findings: DataFrame) -> DataFrame:
+    """run_id, all other texts as one value, and what is not a text.
+
+    Readers of the same findings that take other columns need the same exchange by run, so it is written once. The texts of a rule lie side by
+    side, where a shuffle's compression finds them as one piece.
+    """
+    texts = _texts(findings)
+    row = F.array(T.compact(F.col("id")), *[F.col(c).cast("binary") for c in texts])
+    return findings.select("run_id", row.alias("_row"), *[c for c in findings.columns if c not in ("run_id", "id", *texts)])
+
+
+def unpacked(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """What :func:`packed` made of ``findings``, as columns again, with those that were added since."""
+    at = {c: F.col("_row")[i + 1].cast("string") for i, c in enumerate(_texts(findings))} | {"id": T.expanded(F.col("_row")[0])}
+    added = [c for c in rows.columns if c not in ("_row", *findings.columns)]
+    return rows.select(*[at[c].alias(c) if c in at else F.col(c) for c in findings.columns], *added)
+
+
+def baseline_ids(links: DataFrame, findings: DataFrame, once: bool = True) -> DataFrame:
+    """(run_id, id) of the findings each run is measured against; ``links``: run_id, baseline_id.
+
+    Without ``once`` pairs may repeat, and the findings are read through the exchange that :func:`packed` makes.
+    """
+    wanted = links.where("baseline_id IS NOT NULL").select("run_id", "baseline_id")
+    if not once:
+        wanted = wanted.select(F.col("run_id").alias("_of"), F.col("baseline_id").alias("run_id"))
+        return wanted.join(packed(findings), "run_id").select(F.col("_of").alias("run_id"), T.expanded(F.col("_row")[0]).alias("id"))
     old = findings.select(F.col("run_id").alias("baseline_id"), "id")
-    return links.where("baseline_id IS NOT NULL").select("run_id", "baseline_id").join(old, "baseline_id").select("run_id", "id").distinct()
+    return wanted.join(old, "baseline_id").select("run_id", "id").distinct()
 
 
 def with_is_new(findings: DataFrame, baseline: DataFrame) -> DataFrame:
