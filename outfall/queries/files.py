@@ -28,7 +28,7 @@ from outfall.sources.sinks import scratch
 @query("src_01_artifact_files")
 def _(t):
     """The files of the given folder as artifacts."""
-    return A.artifact_files(t.spark, t.folder).select("path_in_tree", "size_bytes", "truncated", F.sha2("content", 256).alias("sha256"))
+    return A.artifact_files(t.spark, t.folder, digest=True).select("path_in_tree", "size_bytes", "truncated", "sha256")
 
 
 def _text_files(t: Inputs):
