@@ -66,22 +66,29 @@ def _texts(findings: DataFrame) -> list[str]:
     return [f.name for f in findings.schema if isinstance(f.dataType, StringType) and f.name not in ("run_id", "id")]
 
 
-def packed(findings: DataFrame) -> DataFrame:
-    """run_id, all other texts as one value, and what is not a text.
+def packed(findings: DataFrame, keyed: bool = False) -> DataFrame:
+    """run_id, all other texts as one value ``_row``, and what is not a text.
 
     Readers of the same findings that take other columns need the same exchange by run, so it is written once. The texts of a rule lie side by
-    side, where a shuffle's compression finds them as one piece.
+    side, where a shuffle's compression finds them as one piece. ``keyed``: the id is not in ``_row`` but a column ``_id`` to join by.
     """
     texts = _texts(findings)
-    row = F.array(T.compact(F.col("id")), *[F.col(c).cast("binary") for c in texts])
-    return findings.select("run_id", row.alias("_row"), *[c for c in findings.columns if c not in ("run_id", "id", *texts)])
+    key = T.compact(F.col("id"))
+    row = F.array(F.lit(b"") if keyed else key, *[F.col(c).cast("binary") for c in texts])
+    return findings.select("run_id", *[key.alias("_id")] * keyed, row.alias("_row"), *[c for c in findings.columns if c not in ("run_id", "id", *texts)])
+
+
+def columns_of(rows: DataFrame, findings: DataFrame) -> dict[str, Column]:
+    """The columns of ``findings`` in what :func:`packed` made of them."""
+    key = F.col("_id") if "_id" in rows.columns else F.col("_row")[0]
+    at = {c: F.col("_row")[i + 1].cast("string") for i, c in enumerate(_texts(findings))} | {"id": T.expanded(key)}
+    return {c: at[c].alias(c) if c in at else F.col(c) for c in findings.columns}
 
 
 def unpacked(rows: DataFrame, findings: DataFrame) -> DataFrame:
     """What :func:`packed` made of ``findings``, as columns again, with those that were added since."""
-    at = {c: F.col("_row")[i + 1].cast("string") for i, c in enumerate(_texts(findings))} | {"id": T.expanded(F.col("_row")[0])}
-    added = [c for c in rows.columns if c not in ("_row", *findings.columns)]
-    return rows.select(*[at[c].alias(c) if c in at else F.col(c) for c in findings.columns], *added)
+    added = [c for c in rows.columns if c not in ("_row", "_id", *findings.columns)]
+    return rows.select(*columns_of(rows, findings).values(), *added)
 
 
 def baseline_ids(links: DataFrame, findings: DataFrame, once: bool = True) -> DataFrame:
