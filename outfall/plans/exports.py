@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outfall.functions import text as T
+from outfall.operators.runs import packed, unpacked
 
 # Fixed values
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
@@ -43,9 +44,18 @@ def rule_index(findings: DataFrame) -> DataFrame:
     return rules.withColumn("rule_index", place)
 
 
+def with_rule_index(findings: DataFrame) -> DataFrame:
+    """Findings of a rule with its ``rule_index``, looked up in the list of their run's rules, which the pack bounds."""
+    rule = F.col("rule_id")
+    rules = findings.groupBy("run_id").agg(F.array_sort(F.collect_set(rule)).alias("_rules"), F.max(rule.isNull().cast("int")).alias("_blank"))
+    joined = unpacked(packed(findings).join(rules, "run_id"), findings)
+    indexed = joined.withColumn("rule_index", (F.array_position("_rules", rule) - 1).cast("int") + F.col("_blank")).drop("_rules", "_blank")
+    return indexed.where("rule_index IS NOT NULL")  # not those without a rule; said so, the filter stays above the shared exchange
+
+
 def sarif_rows(findings: DataFrame) -> DataFrame:
-    """Flat result rows.  ``findings``: gate columns plus value_masked, artifact_path, byte_offset, is_new."""
-    indexed = findings.join(rule_index(findings).select("run_id", "rule_id", "rule_index"), ["run_id", "rule_id"])
+    """Flat result rows.  ``findings``: gate columns plus value_masked, artifact_path, byte_offset, is_new, and rule_index if it is known."""
+    indexed = findings if "rule_index" in findings.columns else with_rule_index(findings)
     message = F.concat("title", F.lit(": "), "value_masked", F.when(F.col("is_new"), F.lit(" (introduced by this build)")).otherwise(F.lit("")))
     return indexed.select(
         "run_id", "rule_id", "rule_index", _lookup(F.col("severity"), LEVELS).alias("level"), message.alias("message"),

@@ -164,7 +164,8 @@ SELECT f.run_id, f.rule_id, CAST(dense_rank() OVER (PARTITION BY f.run_id ORDER
  coalesce(uri, 'unknown') AS uri, byte_offset, CASE WHEN byte_offset IS NOT NULL THEN 4 END AS byte_length, f.id AS fingerprint, severity, category, status, o.id IS NULL AS is_new
 FROM findings f LEFT JOIN l ON l.run_id = f.run_id AND l.id = f.id LEFT JOIN old o ON o.run_id = f.run_id AND o.id = f.id""", RFL)
 def _(t):
-    return X.sarif_rows(projected(t).withColumn("value_masked", F.lit("****")))
+    found = t.view("findings")
+    return X.sarif_rows(projected(t, found, X.with_rule_index(found)).withColumn("value_masked", F.lit("****")))
 
 
 @query("snk_02_sarif_rules", f"""WITH w AS (SELECT *, {RANK} AS rank FROM findings), g AS (SELECT run_id, rule_id, arg_min(severity, rank) AS worst, min(title) AS title, min(category) AS category FROM w GROUP BY ALL)
